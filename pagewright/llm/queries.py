@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings
+from . import language, packing, simhash, substrings, toxicity
 from .common import read
 
 
@@ -15,6 +15,25 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train=_remainder(5) != 0)
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, train=_remainder(4) != 2)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -29,4 +48,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(docs, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
