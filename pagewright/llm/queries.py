@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, simhash, substrings, toxicity
+from . import language, merkle, packing, simhash, substrings, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, train=_remainder(4) != 2)
@@ -48,4 +52,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(docs, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_merkle_fingerprints, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}

@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Candidate voters are mined from labelled training rows: whole words (lexicon voters) and word beginnings of four and
-   five letters (pattern voters), by how much more often toxic texts hold them. Two more patterns vote for "clean":
-   no lexicon voter and no pattern voter fires.
+1. Candidate voters are mined from labelled training rows: whole words (lexicon voters), and word beginnings of four and
+   six letters that occur once or at least twice (pattern voters), by how much more often toxic texts hold them. Two
+   more patterns vote for "clean": no lexicon voter and no pattern voter fires.
 2. A generative label model takes each voter's vote as drawn given the hidden class. Expectation maximisation, begun at
    the labels' rates, estimates how often each voter votes in each class; the correlation of every two voters
    within the classes (given the posterior) divides the weight of voters that only repeat one another.
@@ -16,6 +16,7 @@ text alone.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +30,36 @@ MAX_VOTERS = 240
 SURE = 16.0
 #: Voters where labels are too few for any to be that sure.
 FEW = 40
-STEMS = (4, 5)
+STEMS = (4, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def stems(words: dict[str, int]) -> dict[str, int]:
+    """How often each beginning of words occurs."""
+    found: dict[str, int] = {}
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) >= k:
+                found[w[:k]] = found.get(w[:k], 0) + n
+    return found
+
+
 def grams(text: str | None) -> set[str]:
-    """Words (``w:``) and word beginnings (``s:``) of a text, lower-cased."""
-    words = set(_WORD.findall((text or "").lower()))
-    return {f"w:{w}" for w in words} | {f"s:{w[:n]}" for w in words for n in STEMS if len(w) >= n}
+    """Words (``w:``), word beginnings (``s:``) and beginnings that occur twice or more (``d:``), lower-cased."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    found = {f"w:{w}" for w in words}
+    for s, n in stems(words).items():
+        found.add(f"s:{s}")
+        if n > 1:
+            found.add(f"d:{s}")
+    return found
 
 
 class Matcher:
     """Which voters fire in a text."""
 
     def __init__(self, voters: list[str]):
-        self.voters = voters
-        self.words = {v[2:]: i for i, v in enumerate(voters) if v[0] == "w"}
-        self.stems = [{v[2:]: i for i, v in enumerate(voters) if v[0] == "s" and len(v) == n + 2} for n in STEMS]
+        self.at = {v: i for i, v in enumerate(voters)}
         starts = sorted({v[2:] for v in voters}, key=lambda v: (-len(v), v))
         # Finds the few words that matter; what fires is then looked up exactly.
         self.pattern = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, starts))})[^\W\d_]*") if starts else None
@@ -53,11 +67,12 @@ class Matcher:
     def fired(self, text: str | None) -> list[int]:
         if not text or self.pattern is None:
             return []
-        found = set()
-        for w in set(self.pattern.findall(text.lower())):
-            found.add(self.words.get(w))
-            for n, stems in zip(STEMS, self.stems, strict=True):
-                found.add(stems.get(w[:n]))
+        words = Counter(self.pattern.findall(text.lower()))
+        found = {self.at.get(f"w:{w}") for w in words}
+        for s, n in stems(words).items():
+            found.add(self.at.get(f"s:{s}"))
+            if n > 1:
+                found.add(self.at.get(f"d:{s}"))
         return sorted(found - {None})
 
 
