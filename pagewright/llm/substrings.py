@@ -24,13 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, WORDS_TOO, Rolling, fields, prepare, word_hashes
+from .common import WORDS, WORDS_TOO, Rolling, Scratch, fields, prepare, word_hashes
 
 #: Words of an anchor k-mer.
 ANCHOR = 6
 _KEYS = "k1 long, k2 long, "
 
 
+def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the leftmost smallest of each ``width`` consecutive values stands, by doubling."""
+    at, value, have = np.arange(len(x)), x, 1
+    while have < width:
+        step = min(have, width - have)
+        left = value[:-step] <= value[step:]
+        at, value = np.where(left, at[:-step], at[step:]), np.minimum(value[:-step], value[step:])
+        have += step
+    return at
+
+
 def segments(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
     """Path segments of one text: first window, number of windows, anchor hash, hash of all the segment's words."""
     words = word_hashes(raw)
@@ -40,8 +51,7 @@ def segments(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
     k = min(ANCHOR, width)
     at = np.arange(len(words) - k + 1)
     kmers = Rolling(words, WORDS).of(at, at + k)
-    view = np.lib.stride_tricks.sliding_window_view(kmers, width - k + 1)
-    place = np.concatenate([view[s : s + 65536].argmin(axis=1) for s in range(0, n, 65536)]) + np.arange(n)
+    place = leftmost_least(kmers, width - k + 1)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     many = np.diff(np.append(first, n))
     return first, many, kmers[place[first]], Rolling(words, WORDS_TOO).of(first, first + many + width - 1)
@@ -64,6 +74,7 @@ def _batch(keys: pa.RecordBatch, row: list[np.ndarray], **columns: np.ndarray) -
 
 def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFrame:
     """(k1, k2, spans): for each text with repeated windows, [first window, number of windows]s, in no order."""
+    scratch = Scratch(docs.sparkSession)
     texts = _keyed(docs.select(F.col(f"`{text_col}`").alias("_text")), "_text").select("k1", "k2", F.coalesce("_text", F.lit("")).alias("text"))
 
     def cut(batches):
@@ -74,12 +85,14 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
                 first, many, anchor, words = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield _batch(part, row, start=first.astype(np.int32), n=many.astype(np.int32), anchor=anchor.view(np.int64), words=words.view(np.int64))
 
-    # Copies of a text give the same segments; counting them first keeps a hot text from being joined copy by copy.
-    each = texts.mapInArrow(cut, fields(_KEYS + "start int, n int, anchor long, words long"))
+    each = scratch.put("segments", texts.mapInArrow(cut, fields(_KEYS + "start int, n int, anchor long, words long")))
     anchors = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("words").alias("lo"), F.max("words").alias("hi"))
     anchors = anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("branching"))
     hit = each.join(anchors, "anchor").select("k1", "k2", F.struct("start", "n", "branching").alias("s"))
-    hit = hit.groupBy("k1", "k2").agg(F.collect_set("s").alias("s")).checkpoint()
+    # Copies of a text have the same segments: they merge into one set before they are dealt out.
+    hit = scratch.put("hits", hit.groupBy("k1", "k2").agg(F.collect_set("s").alias("s")))
+    del each, anchors
+    scratch.drop("segments")
 
     whole = hit.select("k1", "k2", F.filter("s", lambda s: ~s["branching"]).alias("s"))
     open_ = hit.select("k1", "k2", F.filter("s", lambda s: s["branching"]).alias("s")).filter(F.size("s") > 0)
@@ -97,13 +110,15 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
                     two.append(Rolling(words, WORDS_TOO).of(at, at + width))
                 yield _batch(part, row, pos=np.concatenate(pos).astype(np.int32), w1=np.concatenate(one).view(np.int64), w2=np.concatenate(two).view(np.int64))
 
-    # A copy counts as often as it stands in the corpus; its windows are told apart by position only once.
-    at = texts.join(open_, ["k1", "k2"]).mapInArrow(windows, fields(_KEYS + "pos int, w1 long, w2 long"))
-    at = at.groupBy("k1", "k2", "pos", "w1", "w2").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    twice = at.groupBy("w1", "w2").agg(F.sum("c").alias("c")).filter("c > 1").select("w1", "w2")
-    single = at.join(twice, ["w1", "w2"]).select("k1", "k2", F.array(F.struct(F.col("pos").alias("start"), F.lit(1).alias("n"), F.lit(True).alias("branching"))).alias("s"))
-    both = whole.unionByName(single).select("k1", "k2", F.explode("s").alias("s")).groupBy("k1", "k2")
-    return both.agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.n").alias("n"))).alias("spans"))
+    at = scratch.put("windows", texts.join(open_, ["k1", "k2"]).mapInArrow(windows, fields(_KEYS + "pos int, w1 long, w2 long")))
+    scratch.drop()
+    twice = at.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
+    single = at.join(twice, ["w1", "w2"]).select("k1", "k2", F.struct(F.col("pos").alias("start"), F.lit(1).alias("n")).alias("s"))
+    whole = whole.select("k1", "k2", F.explode("s").alias("s")).select("k1", "k2", F.struct("s.start", "s.n").alias("s"))
+    spans = scratch.put("spans", whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")))
+    del hit, whole, open_, at, twice, single
+    scratch.drop("hits", "windows")
+    return spans
 
 
 def clean(raw: bytes, spans: list[dict] | None, width: int) -> tuple[int, int, bytes]:
@@ -128,7 +143,7 @@ def remove_repeated(docs: DataFrame, text_col: str = "text", width: int = 35, di
     prepare(docs.sparkSession)
     new = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
     own = [c for c in docs.columns if c not in new and not (digest and c == text_col)]
-    spans = repeated(docs, text_col, width).checkpoint()
+    spans = repeated(docs, text_col, width)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text_col}`").alias("_text")) if own else docs.select(F.struct(F.lit(0).alias("_")).alias("row"), F.col(f"`{text_col}`").alias("_text"))
     rows = _keyed(packed, "_text").join(spans, ["k1", "k2"], "left").select("row", F.col("_text").alias("text"), "spans")
 
