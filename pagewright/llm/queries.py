@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, merkle, packing, simhash, substrings, toxicity
+from . import language, merkle, packing, sharding, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -31,6 +31,15 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, train=_remainder(4) != 2)
@@ -52,4 +61,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(docs, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_merkle_fingerprints, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
