@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, merkle, packing, sharding, simhash, substrings, topk, toxicity
+from . import language, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -40,6 +40,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), digest=True)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs, train=_remainder(4) != 2)
@@ -61,4 +65,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(docs, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
