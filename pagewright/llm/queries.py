@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
+from . import language, licenses, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -65,4 +69,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(docs, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
