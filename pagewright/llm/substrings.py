@@ -87,12 +87,13 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
 
     each = scratch.put("segments", texts.mapInArrow(cut, fields(_KEYS + "start int, n int, anchor long, words long")))
     anchors = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("words").alias("lo"), F.max("words").alias("hi"))
-    anchors = anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("branching"))
+    # Written, not joined on the fly: then both sides of the join are plain shuffles, and a hot anchor can be split.
+    anchors = scratch.put("anchors", anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("branching")))
     hit = each.join(anchors, "anchor").select("k1", "k2", F.struct("start", "n", "branching").alias("s"))
     # Copies of a text have the same segments: they merge into one set before they are dealt out.
     hit = scratch.put("hits", hit.groupBy("k1", "k2").agg(F.collect_set("s").alias("s")))
     del each, anchors
-    scratch.drop("segments")
+    scratch.drop("segments", "anchors")
 
     whole = hit.select("k1", "k2", F.filter("s", lambda s: ~s["branching"]).alias("s"))
     open_ = hit.select("k1", "k2", F.filter("s", lambda s: s["branching"]).alias("s")).filter(F.size("s") > 0)
@@ -112,12 +113,12 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
 
     at = scratch.put("windows", texts.join(open_, ["k1", "k2"]).mapInArrow(windows, fields(_KEYS + "pos int, w1 long, w2 long")))
     scratch.drop()
-    twice = at.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
+    twice = scratch.put("twice", at.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2"))
     single = at.join(twice, ["w1", "w2"]).select("k1", "k2", F.struct(F.col("pos").alias("start"), F.lit(1).alias("n")).alias("s"))
     whole = whole.select("k1", "k2", F.explode("s").alias("s")).select("k1", "k2", F.struct("s.start", "s.n").alias("s"))
     spans = scratch.put("spans", whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")))
     del hit, whole, open_, at, twice, single
-    scratch.drop("hits", "windows")
+    scratch.drop("hits", "windows", "twice")
     return spans
 
 
