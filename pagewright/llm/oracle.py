@@ -1,3 +1,42 @@
-"""DuckDB SQL for the queries that SQL can express on whole tables."""
+"""DuckDB SQL for the queries that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+op1, op6, op7 and op8 need models or tokenizers, op3 and op9 hashes that SQL lacks, op4 a tree: these are tested against
+brute force in ``tests/llm``.
+"""
+
+from .licenses import COVER, DRIFT, REACH, templates
+
+#: Brute force: all queries against all rows.
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.x, d.x)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 20"""
+
+#: Every window of 35 words as one text, counted.
+SUBSTRINGS = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)),
+hit AS (SELECT doc_id, p FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM hit),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _licenses() -> str:
+    """The same rules as the scan: votes by diagonal, neighbouring diagonals as spans, base phrases by whole diagonals."""
+    grams = ", ".join(f"({i}, {k}, '{a} {b}', {len(w) - 1})" for i, text, _, _ in templates() for w in [text.split(" ")] for k, (a, b) in enumerate(zip(w, w[1:], strict=False)))
+    labels = ", ".join(f"({i}, '{label}', {str(base).lower()})" for i, _, label, base in templates())
+    return f"""WITH t(template, pos, gram, size) AS (VALUES {grams}), l(template, label, base) AS (VALUES {labels}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, p, w[p + 1] || ' ' || w[p + 2] AS gram FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS p FROM d)),
+v AS (SELECT doc_id, template, p - pos AS diagonal, any_value(size) AS size, min(p) AS low, max(p) AS high, bit_or(1::BIGINT << pos) AS covered FROM g JOIN t USING (gram) GROUP BY 1, 2, 3),
+n AS (SELECT *, (coalesce(abs(diagonal - lag(diagonal) OVER w) > {DRIFT} OR low - max(high) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > {REACH}, false))::INTEGER AS new FROM v WINDOW w AS (PARTITION BY doc_id, template ORDER BY low, diagonal)),
+m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY low, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
+s AS (SELECT doc_id, template, span, max(size) AS size, bit_or(covered) AS covered, count(*) FILTER (bit_count(covered) = size) AS whole, min(diagonal) FILTER (bit_count(covered) = size) AS first, max(diagonal) FILTER (bit_count(covered) = size) AS last FROM m GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, whole, first, last, label, base AND whole > 0 AS is_base, NOT base AND bit_count(covered) / size >= {COVER} AS notice, bit_count(covered) / size AS share FROM s JOIN l USING (template)),
+a AS (SELECT doc_id, sum(whole) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(last) FILTER (is_base) AS last_word, list_sort(list_distinct(list(label) FILTER (is_base))) AS b, list_sort(list_distinct(list(label) FILTER (is_base OR notice))) AS bn, max(share) AS score FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(bn, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op2_license_scan": _licenses(), "op5_exact_top_k": TOP_K, "op10_substring_dedup": SUBSTRINGS}
