@@ -166,21 +166,25 @@ def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14) -> Dat
         found = own if found is None else found.unionByName(own)
         if not many:
             break
-        # One level down: the same node, split by masks over the bits that its own mask leaves open.
-        lower, number = [], []
-        for m, i in level:
-            rest = [b for b in range(BITS) if not m >> b & 1]
-            mine = [(m | x, i * 100 + k) for k, x in enumerate(masks(rest, distance))]
-            lower += mine
-            number.append(F.when(F.col("mask") == i, F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("bits")) for x, k in mine])))
-        at = at.join(large, "node", "left_semi").select(F.explode(F.coalesce(*number)).alias("n"), "fp")
-        at = at.select(F.xxhash64("n.mask", "n.bits").alias("node"), F.col("n.mask").alias("mask"), "fp")
-        level = lower
+        # One level down: the same codes, by masks over the bits that their node's own mask leaves open.
+        lower = {i: [(m | x, i * 100 + k) for k, x in enumerate(masks([b for b in range(BITS) if not m >> b & 1], distance))] for m, i in level}
+
+        def split(batches, lower=lower):
+            for b in batches:
+                mask, code = b.column("mask").to_numpy(), b.column("fp").to_numpy()
+                for i in np.unique(mask):
+                    own = code[mask == i]
+                    for m, k in lower[int(i)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array((own.view(np.uint64) & np.uint64(m)).view(np.int64)), pa.array(own)], names=["mask", "bits", "fp"])
+
+        at = at.join(large, "node", "left_semi").select("mask", "fp").mapInArrow(split, fields("mask int, bits long, fp long"))
+        at = at.select(F.xxhash64("mask", "bits").alias("node"), "mask", "fp")
+        level = [x for own in lower.values() for x in own]
     return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (u, v) reaches, by alternating stars.
+    """(node, root): the smallest node that each node of the edges (u, v) reaches, by alternating stars; roots have no row.
 
     Large stars link a node's larger neighbours to its smallest, small stars its smaller ones; rounds go on until the
     edges no longer change. Every round is checkpointed, so a lost executor costs a round at most.
@@ -220,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(codes.select("fp"), distance, node_limit)).withColumnsRenamed({"node": "fp"})
     named = codes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
+    # Cut here so that the join below is of two plain shuffles: then a fingerprint that many rows share can be split.
+    named = named.join(names, "root").select("fp", "component_id").checkpoint()
     return each.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
