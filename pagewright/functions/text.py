@@ -213,3 +213,32 @@ def mime(ext: Column) -> Column:
     """MIME type of an image by extension, in any case, with or without the dot; null for others."""
     e = F.lower(F.regexp_replace(ext, r"^\.", ""))
     return F.when(e == "png", "image/png").when(e.isin("jpg", "jpeg"), "image/jpeg")
+
+
+def completions_url(base: Column, strict_reference: bool = False) -> Column:
+    """The chat endpoint of a provider's base address; ``strict_reference`` leaves a base that ends in /v1 as it is."""
+    b = F.regexp_replace(utrim(base), "/+$", "")
+    plain = F.concat(b, F.lit("/v1/chat/completions"))
+    versioned = b if strict_reference else F.concat(b, F.lit("/chat/completions"))
+    return F.when(b.endswith("/chat/completions"), b).when(b.endswith("/v1"), versioned).otherwise(plain)
+
+
+def display_name(c: Column, most: int = 28) -> Column:
+    """A name with its middle left out if it is longer than ``most`` characters."""
+    head = (most - 1 + 1) // 2
+    tail = most - 1 - head
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, head), F.lit("…"), F.substr(c, F.length(c) - tail + 1, F.lit(tail))))
+
+
+def is_inside(path: Column, folder: Column) -> Column:
+    """Whether a path lies in a folder (whole path parts, either kind of slash)."""
+    norm = lambda p: F.concat(F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "/+$", ""), F.lit("/"))
+    return F.startswith(norm(path), norm(folder))
+
+
+def to_hex(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
+def snippet(c: Column, most: int = 300) -> Column:
+    return F.substring(c, 1, most)

@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import catalog, exclusion, layout, lines, markdown, pages, paragraphs, tables, usage
+from ..operators import catalog, exclusion, filters, layout, lines, markdown, pages, paragraphs, tables, usage
 from .inputs import BLOCKS, ITEMS, USAGE, blocks, items, region_markdown, table
 from .inputs import usage as usage_log
 
@@ -371,3 +371,55 @@ def catalog_vendors(spark, sf_dir):
 def catalog_unique_names(spark, sf_dir):
     own = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("names"))
     return own.select("p_brand", F.array_sort(catalog.unique_names(F.col("names"))).alias("files"))
+
+
+# ---- Filters and page building ----
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, text FROM items WHERE item_type IN ('Text', 'FormField') AND page = 2""")
+def filter_text_items(spark, sf_dir):
+    return filters.text_items(items(spark, sf_dir), [2]).select("doc_id", "page", "item_no", "text")
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, x - 10 AS x, y - 20 AS y FROM items WHERE item_type IN ('Text', 'FormField')""")
+def filter_table_elements(spark, sf_dir):
+    i = items(spark, sf_dir)
+    origins = i.select("doc_id", "page").distinct().withColumns({"page_x": F.lit(10.0), "page_y": F.lit(20.0)})
+    return filters.table_elements(i, origins).select("doc_id", "page", "item_no", "x", "y")
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, x, y, width, font_size AS height FROM items WHERE item_type = 'Image' AND width > 0 AND font_size > 0""")
+def filter_image_boxes(spark, sf_dir):
+    return filters.image_boxes(items(spark, sf_dir))
+
+
+@query()
+def pages_rebuild_text(spark, sf_dir):
+    i = items(spark, sf_dir)
+    pages_ = i.select("doc_id", "page").distinct().withColumns({"markdown": F.lit("old"), "needs_ocr": F.col("doc_id") % 5 == 0, "has_table": F.col("doc_id") % 7 == 0})
+    return filters.rebuild_text_pages(pages_, i).select("doc_id", "page", "markdown", F.size("line_meta").alias("lines"))
+
+
+@query()
+def pages_recognised_text(spark, sf_dir):
+    return filters.ocr_page_text(blocks(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 6)::INTEGER AS round FROM conversations WHERE turn % 3 <> 0""")
+def pages_rounds(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumns({"markdown": F.lit(" "), "page": F.col("turn")})
+    left = filters.still_to_recognise(c, c.filter("turn % 3 = 0"), ("conv_id", "page"))
+    return filters.batches(left, keys=("conv_id", "page")).select("conv_id", "turn", "round")
+
+
+@query("""SELECT c_custkey, CASE WHEN length(c_name) <= 12 THEN c_name ELSE substr(c_name, 1, 6) || '…' || right(c_name, 5) END AS short, c_mktsegment LIKE 'B%' AS inside, lower(hex(c_name)) AS hex FROM customer""")
+def text_names(spark, sf_dir):
+    t = table(spark, sf_dir, "customer")
+    return t.select("c_custkey", X.display_name(F.col("c_name"), 12).alias("short"), X.is_inside(F.concat(F.lit("/d/"), F.left("c_mktsegment", F.lit(1)), F.lit("/x")), F.lit("/d/B/")).alias("inside"), X.to_hex(F.col("c_name").cast("binary")).alias("hex"))
+
+
+@query("""SELECT date_trunc('day', ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2""")
+def events_by_window(spark, sf_dir):
+    from ..streaming.session import windowed_events
+
+    return windowed_events(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 2))

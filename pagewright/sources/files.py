@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import mime
 
-USAGE = T._parse_datatype_string("date string, kind string, fileCount long, pageCount long, ocrPageCount long, engine string, totalMs long")
+USAGE = "date string, kind string, fileCount long, pageCount long, ocrPageCount long, engine string, totalMs long"
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +40,7 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_usage(rows: DataFrame, path: str) -> None:
-    rows.select(*USAGE.names).write.mode("append").json(path)
+    rows.select(*[f.split(" ")[0] for f in USAGE.split(", ")]).write.mode("append").json(path)
 
 
 def parse_config(text: Column, schema: str, defaults: dict, strict: bool = False) -> Column:
