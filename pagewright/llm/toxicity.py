@@ -140,13 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text
     spark = prepare(docs.sparkSession)
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     ids = docs.filter(train).select(F.col(f"`{id_col}`").alias("id"))
-    n = {r["y"]: r["n"] for r in ids.join(marks, "id").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = ids.join(marks, "id").distinct()
+    n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(n) != {0, 1}:
         return Model([], None)
     draw = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1_000_000))
     part = {y: min(1.0, max_rows / 2 / n[y]) for y in n}
-    drawn = marks.filter(F.when(F.col("y") == 1, draw < int(part[1] * 1_000_000) + 1).otherwise(draw < int(part[0] * 1_000_000) + 1))
-    rows = docs.filter(train).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(drawn, "id").select("y", "text")
+    drawn = labelled.filter(F.when(F.col("y") == 1, draw < int(part[1] * 1_000_000) + 1).otherwise(draw < int(part[0] * 1_000_000) + 1))
+    # About max_rows ids by the counts above, so they may go to every executor; the texts stay where they are.
+    rows = docs.filter(train).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(drawn), "id").select("y", "text")
     # Copies would lend weight to whatever words their text has.
     rows = rows.dropDuplicates(["y", "text"]).checkpoint()
 
