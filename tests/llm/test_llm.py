@@ -378,3 +378,21 @@ def test_pipeline(spark):
     packed = {tuple(r) for r in stages[5].select("doc_id", "piece", "length", "ids_crc32").collect()}
     assert packed == {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()}
     assert {i for i, *_ in packed} == {i for i, _ in texts[4]}
+
+
+@pytest.mark.parametrize("rows", [None, 0])
+def test_stages_on_awkward_rows(spark, awkward, rows):
+    import corpus_pipeline
+
+    docs = awkward if rows is None else awkward.limit(rows)
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).checkpoint()
+        if name != "best-fit packing":
+            assert docs.columns == names, name
+    if rows is None:
+        # 2, 3, 4 and 8 hold no letter; 1 and 5/6 are copies; the long text, once alone, repeats itself.
+        assert Counter(r["doc_id"] for r in docs.filter("piece = 0").collect()) == Counter([1, None, 5, 7, 9, -4])
+    else:
+        assert docs.collect() == []
