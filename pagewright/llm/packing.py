@@ -9,7 +9,9 @@ plan says, for the r-th piece of each length, its sequence and offset; ranks are
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -20,52 +22,107 @@ from pyspark.sql import functions as F
 from .common import fields, partitions, pick, prepare, ranked
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Chunks whose ids a worker remembers at a time.
-REMEMBERED = 300_000
+#: Chunks, and parts of chunks, whose ids a worker remembers at a time (about 200 bytes each).
+CHUNKS, PARTS = 300_000, 400_000
+
+
+#: How the vocabulary file splits lower-cased text, and the letters for which Python and the tokenizer
+#: agree on normal form and lower case, so that a chunk may be split here; other chunks are left to the tokenizer.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = r"[\x21-\x7E\u00C0-\u00FF\u0152\u0153\u2018-\u201F\u2026]*"
+
+
+def little(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit numbers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next free one."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Parts(dict):
+    """ids of parts that the pre-tokenizer leaves whole, by the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = little([t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        return ids
+
+
+class _Chunks(dict):
+    """ids of chunks between spaces: of their parts, or where those aren't certain, by the whole tokenizer."""
+
+    def __init__(self, tokenizer):
+        import re
+
+        import regex
+
+        self.encode, self.parts = tokenizer.encode, _Parts(tokenizer)
+        self.special = re.compile("|".join(map(re.escape, (x.content for x in tokenizer.get_added_tokens_decoder().values()))) or r"(?!)").search
+        self.split, self.plain = regex.compile(SPLIT).findall, re.compile(PLAIN).fullmatch
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.parts[chunk.lower()]
+        elif self.plain(chunk) and not self.special(chunk):
+            ids = b"".join(map(self.parts.__getitem__, self.split(chunk.lower())))
+        else:
+            ids = little(self.encode(chunk, add_special_tokens=False).ids)
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
-    """ids of whole texts as little-endian unsigned 32-bit numbers, by the tokenizer itself.
+    """ids of whole texts as little-endian unsigned 32-bit numbers, by the tokenizer's own model.
 
     The vocabulary's pre-tokenizer drops white space and never crosses it, so a text's ids are those of its chunks
-    between spaces and newlines; each distinct chunk is encoded once.
+    between spaces and newlines, and a chunk's are those of its parts. Chunks and parts are encoded once as long as
+    they are remembered.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.chunks = _Chunks(Tokenizer.from_file(path))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        new = list({c for own in chunks for c in own if c not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in own]) for own in chunks]
+        for known, most in ((self.chunks, CHUNKS), (self.chunks.parts, PARTS)):
+            if len(known) > most:
+                known.clear()
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's own; what it remembers lasts from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32): null texts are empty, so every row has its separator at least."""
 
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        own_encoder = encoder(path)
         end = np.array([SEPARATOR], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 ids, texts = b.column(0).slice(at, 256), b.column(1).slice(at, 256).to_pylist()
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, own in enumerate(_ENCODERS[path].encode(texts)):
+                for k, own in enumerate(own_encoder.encode(texts)):
                     own += end
                     for i, s in enumerate(range(0, len(own), 4 * capacity)):
                         part = own[s : s + 4 * capacity]
