@@ -11,6 +11,8 @@ from ..functions import text as X
 from .lines import image_table_lines, table_lines
 
 PAGE = ("doc_id", "page")
+#: Fixed value: what stands between a document and the tables drawn on it.
+DRAWN = "\n\n---\n\n<!-- Draw lines to extract tables -->\n\n"
 #: Line gaps above so many times the font size separate records.
 ROW_GAP = 2.5
 
@@ -230,8 +232,7 @@ def merge_into_markdown(docs: DataFrame, tables: DataFrame, id_col: str = "doc_i
     chunk = F.concat(X.page_marker(F.col("page")), F.lit("\n\n"), render_table(F.col("columns"), F.col("rows"), pad=False, escape=False, trailing_newline=True))
     own = tables.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", chunk.alias("c")))), lambda x: x["c"]), "\n---\n\n").alias("_tables"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    comment = F.lit("\n\n---\n\n<!-- Draw lines to extract tables -->\n\n")
-    return docs.join(own, id_col, "left").withColumn(text_col, F.when(F.col("_tables").isNull(), text).otherwise(F.concat(text, comment, F.col("_tables")))).drop("_tables")
+    return docs.join(own, id_col, "left").withColumn(text_col, F.when(F.col("_tables").isNull(), text).otherwise(F.concat(text, F.lit(DRAWN), F.col("_tables")))).drop("_tables")
 
 
 def remap_merge_columns(old: Column, new: Column, chosen: Column) -> Column:
