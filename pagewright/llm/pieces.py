@@ -33,6 +33,21 @@ OTHER = 0x110000
 UNIT = re.compile(rf"{MARK}?[^\W\d_]{{1,48}}|{MARK}?(?:[^\w{MARK}]|[\d_]){{1,48}}|{MARK}")
 
 
+class Grown:
+    """An array that grows at its end; ``a`` has room to spare."""
+
+    def __init__(self, kind):
+        self.a, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.a):
+            more = np.zeros(max(self.n + len(x), 2 * len(self.a)), self.a.dtype)
+            more[: self.n] = self.a[: self.n]
+            self.a = more
+        self.a[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Lattices:
     """Filtered lattices of units, laid out so that the last edges of many units are drawn at once.
 
@@ -73,9 +88,9 @@ class Lattices:
 
     def _clear(self) -> None:
         self.known: dict[str | None, int] = {}
-        self.base, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first, self.back, self.piece = (np.zeros(0, np.int32) for _ in range(3))
-        self.cum = np.zeros(0, np.float32)
+        # 32 bits each: the shares of edges then differ from the exact ones by 1e-7 at most.
+        self.base, self.size, self.first, self.back, self.piece = (Grown(np.int32) for _ in range(5))
+        self.cum = Grown(np.float32)
 
     def learn(self, units: set[str | None]) -> None:
         """Filter the lattices of units that are not known yet. None stands for a literal space mark."""
@@ -137,13 +152,10 @@ class Lattices:
             total[at], first[at] = sums, s + begin
             for x in at[sums < 1e-120]:  # only ratios within a unit count
                 total[x - min(int(depth[x]), self.longest) : x + 1] *= 1e120
-        many_states, many_edges = len(self.first), len(self.cum)
-        self.known.update(zip(new, range(len(self.base), len(self.base) + len(new)), strict=True))
-        self.base, self.size = np.concatenate([self.base, base + many_states]), np.concatenate([self.size, size])
-        # 32 bits each: the shares of edges then differ from the exact ones by 1e-7 at most.
-        self.first = np.concatenate([self.first, (first + many_edges).astype(np.int32)])
-        self.cum, self.piece = np.concatenate([self.cum, cum.astype(np.float32)]), np.concatenate([self.piece, piece.astype(np.int32)])
-        self.back = np.concatenate([self.back, (back + many_states).astype(np.int32)])
+        states, edges = self.first.n, self.cum.n
+        self.known.update(zip(new, range(self.base.n, self.base.n + len(new)), strict=True))
+        for own, values in ((self.base, base + states), (self.size, size), (self.first, first + edges), (self.cum, cum), (self.piece, piece), (self.back, back + states)):
+            own.add(values)
 
     def sample(self, rows: list[list[str | None]], keys: list[int]) -> list[np.ndarray]:
         """For each row of known units the ids of one sampled segmentation. A row's draws depend on its key alone."""
@@ -152,18 +164,19 @@ class Lattices:
         at = np.array([known[u] for r in rows for u in r], np.int64)
         number = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
         key = mixed(np.repeat(np.array(keys, np.uint64), many) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        start = self.base[at]
-        state = start + self.size[at]
+        first, cum, back, piece = self.first.a, self.cum.a, self.back.a, self.piece.a
+        start = self.base.a[at]
+        state = start + self.size.a[at]
         active, drawn, step = np.arange(len(at)), [], 0
         while len(active):
             u = (mixed(key[active] + np.uint64(step * 0xD6E8FEB86659FD93 % 2**64)) >> np.uint64(11)) * 2.0**-53
-            edge = self.first[state[active]]
-            more = np.flatnonzero(u >= self.cum[edge])
+            edge = first[state[active]]
+            more = np.flatnonzero(u >= cum[edge])
             while len(more):
                 edge[more] += 1
-                more = more[u[more] >= self.cum[edge[more]]]
-            drawn.append((active, self.piece[edge]))
-            now = self.back[edge]
+                more = more[u[more] >= cum[edge[more]]]
+            drawn.append((active, piece[edge]))
+            now = back[edge]
             state[active] = now
             active = active[now > start[active]]
             step += 1
