@@ -128,16 +128,6 @@ def text_paragraphs_single(spark, sf_dir):
     return rows.select("doc_id", F.when(F.size(F.split("text", "\n")) <= 1, F.col("joined")).alias("single"), F.length("text").alias("n_in"))
 
 
-@query()
-def text_paragraphs_smart(spark, sf_dir):
-    return paragraphs.join_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "smart")
-
-
-@query()
-def text_paragraphs_unbroken(spark, sf_dir):
-    return paragraphs.join_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "none")
-
-
 # ---- Lines ----
 
 
@@ -423,3 +413,122 @@ def events_by_window(spark, sf_dir):
     from ..streaming.session import windowed_events
 
     return windowed_events(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 2))
+
+
+# ---- More of the catalog, tables and folds ----
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_size FROM part)""")
+def catalog_missing_files(spark, sf_dir):
+    have = table(spark, sf_dir, "part").select(F.concat(F.lit("d/"), F.col("p_size")).alias("path"))
+    return catalog.missing_files(table(spark, sf_dir, "supplier").withColumn("path", F.concat(F.lit("d/"), F.col("s_suppkey"))), have).select("s_suppkey", "s_name")
+
+
+@query("""SELECT p_brand AS group_id, sum(p_size)::BIGINT AS size, bool_and(p_partkey % 9 <> 4) AS installed FROM part GROUP BY 1""")
+def catalog_group_state(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group_id"), F.col("p_size").cast("long").alias("size"), F.col("p_partkey").alias("target"))
+    return catalog.group_state(p, p.filter("target % 9 <> 4"))
+
+
+@query("""SELECT id, 'm' || id AS model FROM (SELECT s_suppkey AS id, s_acctbal FROM supplier) WHERE id % 4 = 3 ORDER BY id LIMIT 1""")
+def catalog_resolve_provider(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    model = F.struct(F.concat(F.lit("m"), F.col("s_suppkey")).alias("id"), F.lit("n").alias("name"), (F.col("s_suppkey") % 4 == 3).alias("default"))
+    vendors = s.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("int").alias("ord"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("http://x").alias("base_url"), F.array(model).alias("models"))
+    return catalog.resolve_provider(vendors)
+
+
+@query("""SELECT event_id FROM events WHERE epoch_ms(TIMESTAMP '2024-01-20 00:00:00') - epoch_ms(ts) < 1800000 AND ts <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id::VARCHAR LIMIT 32""")
+def catalog_evict_sessions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("ts <= timestamp'2024-01-20 00:00:00'")
+    own = e.select(F.col("event_id").cast("string").alias("session_id"), F.unix_millis(F.to_timestamp("ts")).alias("start_ms"), "event_id")
+    return catalog.evict_sessions(own, 1705708800000).select("event_id")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 > 0""")
+def catalog_exportable(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    jobs = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "done").otherwise("queued").alias("status"), (F.col("o_custkey") % 3).alias("table_count"))
+    return catalog.exportable(jobs, tables_only=True).select("o_orderkey")
+
+
+@query("""SELECT count(*) FILTER (o_orderstatus = 'O')::BIGINT AS queued, count(*) FILTER (o_orderstatus = 'P')::BIGINT AS converting, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done, 0::BIGINT AS error, coalesce(sum(o_custkey) FILTER (o_orderstatus = 'F'), 0)::BIGINT AS total_ms FROM orders""")
+def usage_status_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "converting").otherwise("done")
+    return usage.status_counts(o.select(name.alias("status"), F.col("o_custkey").alias("total_ms")))
+
+
+@query("""SELECT DISTINCT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN range(1, 1 + greatest(m, 3)) ELSE pages END)::INTEGER AS page FROM (SELECT l_orderkey AS doc_id, max(1 + l_linenumber % 2) AS m, list_distinct(array_agg(1 + l_linenumber % 2)) AS pages FROM lineitem GROUP BY 1)""")
+def tables_expand_template(spark, sf_dir):
+    own = items(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("last_page"), F.array_distinct(F.collect_list("page")).alias("pages"))
+    draw = own.select("doc_id", F.explode("pages").alias("page"), (F.col("doc_id") % 2 == 0).alias("use_for_all_pages"), F.lit(None).cast("int").alias("max_pages"), F.lit(3).alias("total_pages"))
+    return tables.expand_template(draw, own.select("doc_id", "last_page")).select("doc_id", F.col("page").cast("int").alias("page"))
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, page, bool_or(150 <= x + width + 1 AND 300 >= x - 1) AS touched FROM items WHERE item_type = 'Image' GROUP BY 1, 2""")
+def tables_touch_images(spark, sf_dir):
+    boxes = filters.image_boxes(items(spark, sf_dir)).groupBy("doc_id", "page").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("images"))
+    none = F.array().cast("array<double>")
+    return boxes.select("doc_id", "page", tables.lines_touch_image(F.array(F.lit(150.0), F.lit(300.0)), none, F.array().cast(f"array<{BOX}>"), F.col("images")).alias("touched"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [2] ELSE [1] END AS kept FROM nation""")
+def tables_remap_columns(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    reals = lambda *v: F.array(*[F.lit(float(x)) if not hasattr(x, "cast") else x.cast("double") for x in v])
+    new = F.when(F.col("n_nationkey") % 2 == 0, reals(0, 50, 100, 200)).otherwise(reals(0, 110, 200))
+    return n.select("n_nationkey", tables.remap_merge_columns(reals(0, 100, 200), new, F.array(F.lit(1))).alias("kept"))
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, page, sum(length(text))::BIGINT AS letters FROM items GROUP BY 1, 2""")
+def tables_vertical_letters(spark, sf_dir):
+    i = items(spark, sf_dir)
+    draw = i.select("doc_id", "page").distinct().select("doc_id", "page", F.array(F.lit(150.0), F.lit(300.0)).alias("v_lines"), F.array().cast("array<int>").alias("merge_cols"), F.lit(2000.0).alias("page_width"))
+    found = tables.vertical_tables(i, draw)
+    return found.select("doc_id", "page", F.length(F.replace(F.array_join(F.flatten(F.concat(F.array("columns"), "rows")), ""), F.lit(" "))).cast("long").alias("letters"))
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, page, (sum(length(text)) + count(*) - 1)::INTEGER AS n FROM items GROUP BY 1, 2""")
+def lines_page_length(spark, sf_dir):
+    return lines.page_text(lines.line_table(lines.text_lines(items(spark, sf_dir)))).select("doc_id", "page", F.length("markdown").alias("n"))
+
+
+_IOU = "CASE WHEN k.w * k.h + x.w * x.h - {i} > 0 THEN {i} / (k.w * k.h + x.w * x.h - {i}) ELSE 0 END > 0.5".format(i="(greatest(least(k.x + k.w, x.x + x.w) - greatest(k.x, x.x), 0) * greatest(least(k.y + k.h, x.y + x.h) - greatest(k.y, x.y), 0))")
+
+
+@query(f"""WITH {ITEMS}, d AS (SELECT doc_id, page, item_no, x AS ix, y AS iy, item_no % 100 / 100.0 AS score, (item_no % 17)::DOUBLE AS ro, least(x, 800) AS x, least(y, 800) AS y, least(x + width * 2, 800) - least(x, 800) AS w, least(y + 40, 800) - least(y, 800) AS h,
+row_number() OVER (PARTITION BY doc_id, page ORDER BY item_no, x, y) AS n FROM items),
+l AS (SELECT doc_id, page, array_agg({{'n': n, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY score DESC, n) AS s FROM d WHERE score >= 0.3 AND w > 0 AND h > 0 GROUP BY 1, 2)
+SELECT doc_id, page, len(list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_IOU})) > 0 THEN acc ELSE list_append(acc, x) END, []::STRUCT(n BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[]))::BIGINT AS kept FROM l""")
+def layout_suppress_counts(spark, sf_dir):
+    kept = layout.suppress(layout.decode_detections(_detections(spark, sf_dir)))
+    return kept.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("kept"))
+
+
+#: Documents as lists of lines; ``keep``: texts of one line and table pages, which stay as they are.
+_PAGES = """l AS (SELECT doc_id, list_transform(CASE WHEN text[-1:] = chr(10) THEN string_split(text[:-2], chr(10)) ELSE string_split(text, chr(10)) END, lambda x: rtrim(x, chr(13))) AS w, text FROM documents),
+g AS (SELECT doc_id, text, w, list_filter(list_transform(w, lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') AS f FROM l),
+p AS (SELECT doc_id, text, w, list_sort(list_transform(f, lambda x: length(x)))[len(f) // 2 + 1] AS med, len(w) <= 1 OR (len(f) > 0 AND (2 * len(list_filter(f, lambda x: x[1] = '|')) >= len(f) OR len(list_filter(f, lambda x: x[1] = '|' AND contains(x, '---'))) > 0)) AS keep FROM g)"""
+_JOIN = """SELECT doc_id, CASE WHEN keep THEN text ELSE array_to_string(list_reduce(list_transform(w, lambda x: [x]), lambda a, b:
+ CASE WHEN trim(b[1], ' ') = '' OR trim(a[-1], ' ') = '' OR trim(b[1], ' ')[1] = '|' OR trim(a[-1], ' ')[1] = '|' {hard} THEN list_concat(a, b)
+ WHEN regexp_matches(trim(a[-1], ' '), '[A-Za-z]-$') AND regexp_matches(b[1], '^ *[a-z]') THEN list_append(a[:-2], trim(a[-1], ' ')[:-2] || ltrim(b[1], ' '))
+ ELSE list_append(a[:-2], trim(a[-1], ' ') || ' ' || ltrim(b[1], ' ')) END), chr(10)) END AS text FROM p"""
+_HARD = """OR regexp_matches(trim(a[-1], ' '), '[.。！？…；;!?」』]$') OR b[1][1:2] = '  ' OR regexp_matches(trim(a[-1], ' '), '[:：]$') OR (med > 0 AND length(trim(a[-1], ' ')) * 2 < med)
+ OR regexp_matches(trim(b[1], ' '), '^(?:[#>|*+•·○■▪●◦-]|```|~~~|[①-⑮⑴-⑽]|[0-9]+\\.\\s|[0-9]+[、)）:：]|[(（][0-9]+[)）]|[A-Za-z]\\.\\s)')"""
+
+
+@query(f"WITH {_PAGES} {_JOIN.format(hard='')}")
+def text_paragraphs_none(spark, sf_dir):
+    return paragraphs.join_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "none")
+
+
+@query(f"WITH {_PAGES} {_JOIN.format(hard=_HARD)}")
+def text_paragraphs_smart(spark, sf_dir):
+    return paragraphs.join_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "smart")
+
+
+@query(f"""WITH {ITEMS}, t AS (SELECT doc_id, page, sum(length(text)) + count(*) - 1 AS n FROM items WHERE item_type <> 'Image' GROUP BY 1, 2)
+SELECT doc_id, page, (CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 OR n IS NULL THEN 3 ELSE n END)::INTEGER AS n FROM (SELECT DISTINCT doc_id, page FROM items) LEFT JOIN t USING (doc_id, page)""")
+def pages_rebuild_lengths(spark, sf_dir):
+    return pages_rebuild_text(spark, sf_dir).select("doc_id", "page", F.length("markdown").alias("n"))
