@@ -154,7 +154,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    n = 2 * partitions(spark)
+    n = 8 * partitions(spark)  # several ranges a partition, so that their sizes even out
     cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
 
