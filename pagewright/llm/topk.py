@@ -68,8 +68,12 @@ class Cover:
                 self.nodes += [own[s : s + 4 * LEAF] for s in range(0, len(own), 4 * LEAF)]
                 continue
             at, _ = nearest(self.x[own], centres)
-            todo += [own[at == k] for k in range(len(centres)) if (at == k).any()]
-        self.centres = np.array([self.x[own].mean(axis=0) for own in self.nodes]).reshape(len(self.nodes), -1)
+            parts = [own[at == k] for k in range(len(centres)) if (at == k).any()]
+            if len(parts) < 2:  # too far out for floating point to tell the centres apart
+                self.nodes += [own[s : s + 4 * LEAF] for s in range(0, len(own), 4 * LEAF)]
+            else:
+                todo += parts
+        self.centres = np.array([self.x[own].mean(axis=0) for own in self.nodes]).reshape(len(self.nodes), x.shape[1])
         self.radii = np.array([np.sqrt(((self.x[own] - c) ** 2).sum(axis=1).max()) for own, c in zip(self.nodes, self.centres, strict=True)])
 
 
