@@ -27,7 +27,7 @@ def row_bounds(lines: Column, height: Column) -> Column:
     return F.concat(F.array(height), F.reverse(F.array_sort(F.array_distinct(lines))), F.array(F.lit(0.0)))
 
 
-def cut_line(items: Column, bounds: Column, strict_reference: bool = True) -> Column:
+def cut_line(items: Column, bounds: Column, strict_reference: bool = False) -> Column:
     """Cells of a line (array of (text, x, width) in order): each character falls where its centre lies.
 
     With ``strict_reference`` a character on a bound, within 1e-6, falls into both columns; otherwise to the right one.

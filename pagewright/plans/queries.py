@@ -532,3 +532,28 @@ def text_paragraphs_smart(spark, sf_dir):
 SELECT doc_id, page, (CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 OR n IS NULL THEN 3 ELSE n END)::INTEGER AS n FROM (SELECT DISTINCT doc_id, page FROM items) LEFT JOIN t USING (doc_id, page)""")
 def pages_rebuild_lengths(spark, sf_dir):
     return pages_rebuild_text(spark, sf_dir).select("doc_id", "page", F.length("markdown").alias("n"))
+
+
+@query("""SELECT doc_id, text FROM documents""")
+def md_preview_whole(spark, sf_dir):
+    """The chunks of every document put together again."""
+    chunks = md_preview_chunks(spark, sf_dir)
+    return chunks.groupBy("doc_id").agg(lines.ordered_text(F.col("content"), F.col("chunk_no"), sep="\n").alias("text"))
+
+
+def _letters(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "page", (F.length("markdown") - F.length(F.replace("markdown", F.lit("P")))).alias("n"))
+
+
+_BLOCK_COUNT = f"""WITH {ITEMS} SELECT doc_id, page, count(*)::INTEGER AS n FROM items GROUP BY 1, 2"""
+
+
+@query(_BLOCK_COUNT)
+def layout_assemble_letters(spark, sf_dir):
+    """Every block's text is somewhere on its page (each holds one P)."""
+    return _letters(layout_assemble(spark, sf_dir))
+
+
+@query(_BLOCK_COUNT)
+def pages_recognised_letters(spark, sf_dir):
+    return _letters(pages_recognised_text(spark, sf_dir))
