@@ -23,7 +23,9 @@ from pyspark.sql import window as W
 from .common import Scratch, fields, pick
 
 PIVOTS, SAMPLE = 48, 2000
+#: Most vectors of a block of queries and of data, and most components, so that a block is 2 MB at most.
 QUERIES, ROWS = 1024, 4096
+COMPONENTS = 1 << 18
 LEAF = 128
 NONE = -(1 << 62)
 
@@ -169,9 +171,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     if not q_counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
+    def parts_of(n: dict[int, int], size: int) -> Column:
+        """Map of pivots to their number of blocks of about ``size`` vectors."""
+        size = max(1, min(size, COMPONENTS // dim))
+        return F.create_map(*[F.lit(x) for p, c in n.items() for x in (p, -(-c // size))])
+
     def blocks(df: DataFrame, n: dict[int, int], size: int) -> DataFrame:
-        """(pivot, block, ids, vs, many): a row for each block of about ``size`` vectors, dealt by a hash of the id."""
-        parts = F.create_map(*[F.lit(x) for p, c in n.items() for x in (p, -(-c // size))])
+        """(pivot, block, m): a row for each block, vectors dealt by a hash of the id."""
+        parts = parts_of(n, size)
         df = df.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.element_at(parts, F.col("pivot"))).cast("int"))
         return df.groupBy("pivot", "block").agg(F.collect_list(F.struct("id", "v")).alias("m"))
 
@@ -203,7 +210,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     limit = bounds(pivots[q_at], np.array([q_radius[p] for p in q_at]), pivots[x_at], np.array([radius[p] for p in x_at]))
     pairs = {p: [x for j, x in enumerate(x_at) if limit[i, j] >= low[p]] for i, p in enumerate(q_at)}
     targets = F.create_map(*[x for p, own in pairs.items() for x in (F.lit(p), F.array(*map(F.lit, own)) if own else F.array().cast("array<int>"))])
-    met = seeded.withColumn("pivot", F.explode(F.element_at(targets, F.col("q_pivot")))).join(data, "pivot")
+    # Joined by block, not by pivot, so that a pivot with a third of all rows spreads over as many keys as it has blocks.
+    met = seeded.withColumn("pivot", F.explode(F.element_at(targets, F.col("q_pivot"))))
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(parts_of(counts, ROWS), F.col("pivot")) - 1)))
+    met = met.join(data, ["pivot", "block"])
 
     def meet(batches):
         trees: dict[tuple, tuple] = {}
