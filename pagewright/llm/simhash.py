@@ -235,7 +235,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows with a null id stay only if their component has no id at all.
     """
     kept = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("fp").alias("_fps")).checkpoint()
+    kept = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     rows = docs.join(kept.select(F.col(id_col).alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     if not kept.filter("_n > 1").take(1):
         return rows
