@@ -154,7 +154,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    n = 8 * partitions(spark)  # several ranges a partition, so that their sizes even out
+    n = partitions(spark)
     cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
 
@@ -215,5 +215,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ids_type = to_arrow_type(rows.schema["id"].dataType)
     placed = rows.mapInArrow(twice, fields(f"bucket long, extra boolean, id {kind}, text string"))
-    placed = placed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "extra", F.asc_nulls_first("id"), "text")
+    # A range to a partition, by its number: hashes of so few values would leave some partitions several and others none.
+    placed = placed.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "extra", F.asc_nulls_first("id"), "text")
     return placed.mapInArrow(walk, fields(f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
