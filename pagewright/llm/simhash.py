@@ -194,15 +194,16 @@ def components(edges: DataFrame) -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     def star(near: DataFrame, keep) -> DataFrame:
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Cut before the join, here and below: then a node that a third of all others hang on can be split.
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         return near.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     edges = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, F.col("v") > F.col("u")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = star(both, F.col("v") > F.col("u")).filter("u != v").distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         after = mark(edges)
