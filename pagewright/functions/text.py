@@ -120,12 +120,11 @@ def join_fragments(parts: Column) -> Column:
 
 def clean_ocr(c: Column) -> Column:
     """Per line: no zero-width characters, white space as one space, and a space between CJK and ASCII letters or digits."""
-    def one(x: Column) -> Column:
-        x = F.regexp_replace(x, f"[{ZERO_WIDTH}]", "")
-        x = F.regexp_replace(x, r"(?U)\s+", " ")
-        return F.regexp_replace(x, f"(?<=[{CJK}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{CJK}])", " ")
-
-    return F.array_join(F.transform(lines(c), one), "\n")
+    # On the whole text at once: newlines are what white space runs stop at.
+    c = F.regexp_replace(c, r"\r(?=\n|\z)|\n\z", "")
+    c = F.regexp_replace(c, f"[{ZERO_WIDTH}]", "")
+    c = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
+    return F.regexp_replace(c, f"(?<=[{CJK}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{CJK}])", " ")
 
 
 def strip_links(c: Column) -> Column:

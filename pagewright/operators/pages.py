@@ -14,18 +14,14 @@ def parse_range(spec: Column, page_count: Column) -> Column:
 
     Ranges may run backwards; what can't be read is passed over. Bounds are clipped before they are spread out.
     """
-    def one(token: Column) -> Column:
-        t = X.utrim(token)
-        ends = F.split(t, "-", -1)
-        number = lambda c: F.when(X.utrim(c).rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace(X.utrim(c), r"^\+", "").cast("long"))
-        a = number(F.get(ends, F.lit(0)))
-        b = F.when(F.size(ends) == 2, number(F.get(ends, F.lit(1)))).when(F.size(ends) == 1, a)
-        low, high = F.greatest(F.least(a, b), F.lit(1)), F.least(F.greatest(a, b), page_count.cast("long"))
-        fine = a.isNotNull() & b.isNotNull() & (a <= 4294967295) & (b <= 4294967295) & (low <= high)
-        return F.when(fine, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(spec, ",", -1), one))))
-    return F.when(F.size(found) > 0, F.transform(found, lambda p: p.cast("int")))
+    number = lambda c: F.regexp_extract(c, r"(?U)^\s*\+?([0-9]{1,18})\s*$", 1).try_cast("long")
+    ends = F.filter(F.transform(F.split(spec, ",", -1), lambda t: F.split(t, "-", -1)), lambda e: F.size(e) <= 2)
+    pairs = F.transform(ends, lambda e: F.struct(number(F.get(e, F.lit(0))).alias("a"), number(F.element_at(e, -1)).alias("b")))
+    pairs = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (F.greatest(p["a"], p["b"]) <= 4294967295))
+    clipped = F.transform(pairs, lambda p: F.struct(F.greatest(F.least(p["a"], p["b"]), F.lit(1)).alias("low"), F.least(F.greatest(p["a"], p["b"]), page_count.cast("long")).alias("high")))
+    spread = F.transform(F.filter(clipped, lambda p: p["low"] <= p["high"]), lambda p: F.sequence(p["low"], p["high"]))
+    found = F.array_sort(F.array_distinct(F.flatten(spread)))
+    return F.when(F.size(found) > 0, found.cast("array<int>"))
 
 
 def in_range(pages: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
