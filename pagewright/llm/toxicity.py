@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from .common import fields, pick, prepare
 
 MAX_ROWS = 24_000
-MAX_VOTERS = 240
 SURE = 16.0
-#: Voters where labels are too few for any to be that sure.
+#: The best so many grams are voters also below SURE, for labels that are too few for any to be that sure.
 FEW = 40
+#: Values of votes that are made floating-point at once.
+BLOCK = 1 << 22
 STEMS = (4, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,14 +56,24 @@ def grams(text: str | None) -> set[str]:
     return found
 
 
+def _either(starts: list[str], depth: int = 4) -> str:
+    """A pattern for any of the beginnings, by their first letters, so that a word meets few of them."""
+    if "" in starts or not depth:
+        return "" if "" in starts else f"(?:{'|'.join(map(re.escape, starts))})"
+    by: dict[str, list[str]] = {}
+    for v in starts:
+        by.setdefault(v[0], []).append(v[1:])
+    return f"(?:{'|'.join(re.escape(c) + _either(rest, depth - 1) for c, rest in by.items())})"
+
+
 class Matcher:
     """Which voters fire in a text."""
 
     def __init__(self, voters: list[str]):
         self.at = {v: i for i, v in enumerate(voters)}
-        starts = sorted({v[2:] for v in voters}, key=lambda v: (-len(v), v))
+        starts = sorted({v[2:] for v in voters})
         # Finds the few words that matter; what fires is then looked up exactly.
-        self.pattern = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, starts))})[^\W\d_]*") if starts else None
+        self.pattern = re.compile(rf"(?<![^\W\d_]){_either(starts)}[^\W\d_]*") if starts else None
 
     def fired(self, text: str | None) -> list[int]:
         if not text or self.pattern is None:
@@ -76,46 +87,74 @@ class Matcher:
         return sorted(found - {None})
 
 
+def _parts(x: np.ndarray) -> list[slice]:
+    """Row blocks of about BLOCK values, so that many voters don't need all votes as floating-point numbers."""
+    step = max(1, BLOCK // max(x.shape[1], 1))
+    return [slice(s, s + step) for s in range(0, len(x), step)]
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w"""
+    return np.concatenate([np.zeros((0, *w.shape[1:]), np.float32), *[x[s].astype(np.float32, copy=False) @ w for s in _parts(x)]])
+
+
+def _back(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """x.T @ r"""
+    return sum((x[s].T.astype(np.float32, copy=False) @ r[s] for s in _parts(x)), np.zeros((x.shape[1], *r.shape[1:]), np.float32))
+
+
 def label_model(votes: np.ndarray, counts: np.ndarray, rows: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the toxic class a row, vote rates (2, voters), and each voter's weight against its correlates.
 
     ``counts`` and ``rows``: votes and rows by labelled class. They anchor the rates, as much as all rows together do,
     so that the hidden classes stay the ones asked for.
     """
-    v = votes.astype(np.float32)
+    v = votes
     n = len(v)
+    # How often two voters fire together; with it a round's cost doesn't grow with the rows times the pairs of voters.
+    both = sum(((c := v[s].astype(np.float32)).T @ c for s in _parts(v)), np.zeros((v.shape[1], v.shape[1]), np.float32))
     anchor = (counts + 0.5) / (rows[:, None] + 1.0)
     prior = float(np.clip(rows[1] / max(rows.sum(), 1), 1e-3, 1 - 1e-3))
     rate, post, weight = anchor, np.full(n, prior, np.float32), np.ones(v.shape[1], np.float32)
     for _ in range(rounds):
         # A voter that does not fire abstains; that nothing fires is what the two clean voters are for.
         odds = np.log(rate[1] / rate[0]) * weight
-        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + v @ odds.astype(np.float32), -30, 30)))
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + _times(v, odds.astype(np.float32)), -30, 30)))
         moved, post = float(np.abs(new - post).max(initial=0)), new.astype(np.float32)
-        own = np.stack([((p @ v) + 0.5) / (p.sum() + 1.0) for p in (1 - post, post)])
+        parts = np.stack([1 - post, post], axis=1)
+        voted = _back(v, parts).astype(np.float64)
+        own = (voted.T + 0.5) / (parts.sum(axis=0)[:, None] + 1.0)
         rate = np.clip(0.5 * anchor + 0.5 * own, 1e-6, 1 - 1e-6)
         # Correlation within the classes: what the voters still share once the class is known.
-        rest = v - np.outer(post, own[1]) - np.outer(1 - post, own[0])
-        cov = rest.T @ rest / max(n, 1)
-        scale = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-        linked = np.clip(np.abs(cov / np.outer(scale, scale)), 0, 1)
-        np.fill_diagonal(linked, 1)
-        weight = (1 / np.where(linked > 0.5, linked, 0).sum(axis=1)).astype(np.float32)
+        inner = parts.astype(np.float64).T @ parts
+        # The covariance of v - parts @ own, some voters at a time.
+        cov = lambda s: (both[s] - voted[s] @ own - own[:, s].T @ voted.T + own[:, s].T @ inner @ own) / max(n, 1)
+        scale = np.sqrt(np.clip((np.diag(both) - 2 * (voted * own.T).sum(axis=1) + (own * (inner @ own)).sum(axis=0)) / max(n, 1), 1e-9, None))
+        for s in _parts(both):
+            linked = np.clip(np.abs(cov(s) / np.outer(scale[s], scale)), 0, 1)
+            linked[np.arange(len(linked)), np.arange(len(linked)) + s.start] = 1
+            weight[s] = 1 / np.where(linked > 0.5, linked, 0).sum(axis=1)
         if moved < 1e-4:
             break
     return post, rate, weight
 
 
-def logistic(x: np.ndarray, target: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the bias) fitted to soft labels by accelerated gradient descent; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def logistic(x: np.ndarray, more: np.ndarray, target: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) fitted to soft labels by accelerated gradient descent; classes weigh the same.
+
+    ``x``: what fires, 0 or 1; ``more``: further columns.
+    """
+    width = x.shape[1]
+    x = x.astype(np.float32) if x.size <= 4 * BLOCK else x
+    more = np.hstack([more, np.ones((len(x), 1))]).astype(np.float32)
     share = np.where(target > 0.5, 0.5 / max(target.sum(), 1e-6), 0.5 / max((1 - target).sum(), 1e-6)).astype(np.float32)
-    w, last = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
-    step = 4.0 / max(float((share * (x * x).sum(axis=1)).sum()), 1e-6)
+    w, last = np.zeros(width + more.shape[1], np.float32), np.zeros(width + more.shape[1], np.float32)
+    step = 4.0 / max(float((share * (x.sum(axis=1, dtype=np.float32) + (more * more).sum(axis=1))).sum()), 1e-6)
     for k in range(rounds):
         ahead = w + np.float32(k / (k + 3)) * (w - last)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        slope = x.T @ (share * (p - target)) + np.float32(l2) * ahead
+        p = 1 / (1 + np.exp(-np.clip(_times(x, ahead[:width]) + more @ ahead[width:], -30, 30)))
+        off = (share * (p - target)).astype(np.float32)
+        slope = np.concatenate([_back(x, off), more.T @ off]) + np.float32(l2) * ahead
         last, w = w, ahead - np.float32(step) * slope
     return w
 
@@ -132,7 +171,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_voters: int = MAX_VOTERS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learn from rows where ``train`` holds and the label is 0 or 1.
 
     Of ids with several labels the largest counts. Without labels of both kinds the model scores every text 0.
@@ -170,31 +209,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text
     n1, all_, base = F.col("n1"), F.col("n0") + F.col("n1"), total[1] / (total[0] + total[1])
     p = (n1 + 0.01) / (all_ + 0.02)
     sure = all_ * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base)))
-    ordered = counts.filter(n1 >= 2).withColumn("sure", sure).filter((p > base) & (F.col("sure") > 2)).orderBy(F.desc("sure"), "g").limit(max_voters).collect()
-    best = [r for r in ordered if r["sure"] > SURE] or ordered[:FEW]
+    found = counts.filter(n1 >= 2).withColumn("sure", sure).filter((p > base) & (F.col("sure") > 2)).checkpoint()
+    # Every gram past the bound, and the FEW best in any case.
+    best = {r["g"]: r["sure"] for part in (found.filter(F.col("sure") > SURE), found.orderBy(F.desc("sure"), "g").limit(FEW)) for r in part.select("g", "sure").collect()}
     if not best:
         return Model([], None)
-    voters = [r["g"] for r in best]
+    voters = sorted(best, key=lambda g: (-best[g], g))
     matcher = Matcher(voters)
 
     def vote(batches):
         for b in batches:
-            found = [np.array(matcher.fired(t), "<u2").tobytes() for t in b.column("text").to_pylist()]
+            found = [np.array(matcher.fired(t), "<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(found, pa.binary())], names=["y", "fired"])
 
     sample = rows.mapInArrow(vote, fields("y int, fired binary")).limit(2 * max_rows).collect()
     sample.sort(key=lambda r: (r["y"], r["fired"]))
     fires = np.zeros((len(sample), len(voters)), np.uint8)
     for i, r in enumerate(sample):
-        fires[i, np.frombuffer(r["fired"], "<u2")] = 1
+        fires[i, np.frombuffer(r["fired"], "<u4")] = 1
     lexicon = np.array([v[0] == "w" for v in voters])
     quiet = np.stack([~fires[:, lexicon].any(axis=1), ~fires[:, ~lexicon].any(axis=1)], axis=1).astype(np.uint8)
     votes = np.hstack([fires, quiet])
     y = np.array([r["y"] for r in sample])
     counts1 = np.stack([votes[y == k].sum(axis=0) for k in (0, 1)])
     post, _, _ = label_model(votes, counts1, np.array([(y == 0).sum(), (y == 1).sum()]))
-    x = np.hstack([fires, np.log1p(fires.sum(axis=1, keepdims=True))]).astype(np.float32)
-    return Model(voters, logistic(x, post))
+    return Model(voters, logistic(fires, np.log1p(fires.sum(axis=1, keepdims=True)), post))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -215,6 +215,19 @@ def test_toxicity(spark):
     assert np.mean([p for _, p, y in held if y]) > 0.75
 
 
+def test_toxicity_keeps_rare_words_of_large_vocabularies(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{letters[i % 26]}{letters[i // 26]}zqxk" for i in range(100)]
+    often, rare = words[:70], words[70:]
+    toxic = [f"{w} n{k} {w} thing" for w in often for k in range(20)] + [f"{w} n{k} thing" for w in rare for k in range(12)]
+    texts = [(t, 1) for t in toxic] + [(f"plain m{k} thing", 0) for k in range(4 * len(toxic))]
+    docs = spark.createDataFrame([(i, re.sub(r"\d", lambda m: letters[int(m[0])], t)) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert [w for w in words if model.score(f"a new {w} here") < 0.5] == [] and model.score("a new thing here") < 0.5
+    assert {f"w:{w}" for w in words} <= set(model.matcher.at)
+
+
 def test_label_model_finds_weak_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
