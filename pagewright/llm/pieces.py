@@ -6,8 +6,9 @@ edges from the end to the start in proportion, so a segmentation comes up with e
 Draws come from a counter-based generator keyed by the row's key, so the same row always gets the same segmentation,
 on any executor and in any order.
 
-The lattice falls apart between units, which are runs of letters or of other characters with the space mark before
-them: pieces that cross a unit's border take no part. Each distinct unit has a small lattice of its own, filtered once
+The lattice falls apart between units, which are runs of letters or of other characters with the space marks before
+them; where a piece of the vocabulary can cross the border of two, they are one unit, so every piece takes part.
+Each distinct unit has a small lattice of its own, filtered once
 and remembered, and backward sampling runs for all units of a text at once. Characters without a piece, and literal
 space marks in the text, are spelled in the vocabulary's byte pieces. Nothing is normalised and no space is added, so
 decoding gives back the text byte for byte.
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import WORDS, Rolling, fields, mixed, pick, prepare
 
 MARK = "▁"
-#: Units whose lattices a worker remembers; a full memory is begun anew.
+#: Units whose lattices a worker remembers, of eight characters each on average; a full memory is begun anew.
 REMEMBERED = 400_000
 OTHER = 0x110000
-#: A unit of letters or of other characters; runs of more than 48 are cut, so that lattices stay small.
-UNIT = re.compile(rf"{MARK}?[^\W\d_]{{1,48}}|{MARK}?(?:[^\w{MARK}]|[\d_]){{1,48}}|{MARK}")
+#: A unit of letters or of other characters.
+UNIT = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*(?:[^\w{MARK}]|[\d_])+|{MARK}+")
 
 
 class Grown:
@@ -68,10 +69,12 @@ class Lattices:
             if model.is_byte(i):
                 value = int(p[3:-1], 16)
                 self.byte[value], self.bytes[i] = i, bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and UNIT.fullmatch(p):
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain.append(i)
         if (self.byte < 0).any():
             raise ValueError("lossless encoding needs a vocabulary with byte pieces")
+        #: Pairs of characters at which a piece crosses the border of two units.
+        self.crossed = {a[-1] + b[0] for i in plain for own in [UNIT.findall(pieces[i])] for a, b in zip(own, own[1:], strict=False)}
         # Scores of byte-pair vocabularies are ranks, so ranks serve as weights: rank ** (-1 / temperature).
         plain.sort(key=lambda i: (-model.get_score(i), i))
         size = np.array([len(pieces[i]) for i in plain])
@@ -97,7 +100,7 @@ class Lattices:
         new = [u for u in units if u not in self.known]
         if not new:
             return
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.first.n > 8 * REMEMBERED:
             self._clear()
             new = list(units)
         # States stand where characters do, after one slot for each unit's start.
@@ -203,13 +206,19 @@ class Lattices:
         return b"".join([self.bytes[i] for i in ids])
 
 
-def units(text: str | None) -> list[str | None]:
-    """The units of a text, spaces as marks; None for each mark that the text itself holds."""
+def units(text: str | None, crossed: set[str] | frozenset[str] = frozenset()) -> list[str | None]:
+    """The units of a text, spaces as marks; None for each mark that the text itself holds. No unit ends between two
+    characters that are a pair of ``crossed``."""
     out: list[str | None] = []
     for i, part in enumerate((text or "").split(MARK)):
         if i:
             out.append(None)
-        out += UNIT.findall(part.replace(" ", MARK))
+        part = part.replace(" ", MARK)
+        own = UNIT.findall(part)
+        if any(pair in part for pair in crossed):
+            starts = [0, *(k for k in range(1, len(own)) if own[k - 1][-1] + own[k][0] not in crossed), len(own)]
+            own = ["".join(own[s:e]) for s, e in zip(starts, starts[1:], strict=False)]
+        out += own
     return out
 
 
@@ -242,7 +251,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 texts = part.column("text").to_pylist()
-                cut = [units(t) for t in texts]
+                cut = [units(t, own.crossed) for t in texts]
                 own.learn({u for c in cut for u in c})
                 found = own.sample(cut, [k & (2**64 - 1) for k in part.column("key").to_pylist()])
                 if not digest:

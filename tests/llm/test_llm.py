@@ -197,6 +197,27 @@ def test_pieces_are_drawn_by_weight():
     assert all(abs(seen[s] / 20_000 - w / total) < 0.02 for s, w in every.items())
 
 
+def test_every_piece_can_be_drawn():
+    from sentencepiece import SentencePieceProcessor
+
+    path = vocabulary("piece_bpe_32k.model")
+    own, model = pieces.Lattices(path, 0.5), SentencePieceProcessor(model_file=path)
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    assert set(plain) == set(own.ids.tolist())
+    # Each piece lies within one unit wherever it stands: alone, in a long run, between words and in punctuation.
+    for i in plain:
+        p = model.id_to_piece(i).replace(pieces.MARK, " ")
+        for text, at in ((p, 0), ("a" * 46 + p, 46), ("x" + p + "y", 1), ("-" * 47 + p, 47)):
+            ends = np.cumsum([len(u) for u in pieces.units(text, own.crossed)])
+            assert not ((ends > at) & (ends < at + len(p))).any(), (p, text)
+    for text, piece in (("a\n" + " " * 4 + "b", pieces.MARK * 3), ("x².", "².")):
+        cut = pieces.units(text, own.crossed)
+        own.learn(set(cut))
+        seen = own.sample([cut] * 5000, list(range(5000)))
+        assert any(model.piece_to_id(piece) in x.tolist() for x in seen)
+        assert {own.decode(x.tolist()).decode() for x in seen} == {text}
+
+
 def test_language(spark):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").collect()
