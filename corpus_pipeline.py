@@ -16,7 +16,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
+    """Documents whose language can be told; only null texts and texts without a letter go, none by the model's score."""
     return language.known(docs, train=F.lit(True))
 
 

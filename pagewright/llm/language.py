@@ -180,7 +180,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
 
 
 def known(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; ``und`` is what the stage rejects."""
+    """The rows of ``docs``, all columns, whose language can be told; ``und`` is what the stage rejects.
+
+    That is null texts and texts without a letter. The model answers with a learned language whatever its score, so
+    it rejects nothing itself, unless rows to learn from are labelled ``und``.
+    """
     prepare(docs.sparkSession)
     model = fit(docs, train, text_col, lang_col, id_col)
     schema, at = docs.schema, docs.columns.index(text_col)
