@@ -1,14 +1,15 @@
-"""Exact top-k inner products by dual cover trees.
+"""Exact top-k inner products by a two-level ball partition of queries and data.
 
 Queries and data are indexed together: pivots, spread out by farthest-first traversal of a bounded sample, are the
-upper nodes of both trees. Every vector hangs below its nearest pivot, in blocks of bounded size, each block a cover
-tree of its own whose nodes have a centre and a covering radius. For query node Q and data node X no score can exceed
+upper level of both. Every vector hangs below its nearest pivot, in blocks of bounded size, each block split into leaves
+that have a centre and a covering radius. There are no levels between pivots and leaves, so this is no cover tree: every
+query leaf's bound with every data leaf of a block is computed. For query node Q and data node X no score can exceed
 
     Qc.Xc + rQ |Xc| + rX |Qc| + rQ rX
 
 so a pair of nodes is passed over when that is below the worst k-th score of the queries in Q. First each query block
 searches one block below its own pivot, which sets those scores; then pairs of pivots are compared (a fixed number, on
-the driver), and what is left is searched block by block, pruning node pairs further down. Results are exact: the bound
+the driver), and what is left is searched block by block, pruning pairs of leaves. Results are exact: the bound
 is never below a score, and ties with the k-th score are kept.
 """
 
@@ -57,7 +58,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Cover:
-    """The cover tree of a block, kept as its lowest level: members, centre and covering radius of each node."""
+    """The leaves of a block, split by farthest-first centres: members, centre and covering radius of each."""
 
     def __init__(self, x: np.ndarray):
         self.x = x.astype(np.float64)
