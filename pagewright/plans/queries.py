@@ -302,6 +302,17 @@ def pages_convert(spark, sf_dir):
     return pages.convert(own, specs)
 
 
+@query("""WITH c AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN true WHEN 1 THEN turn >= 1 WHEN 2 THEN turn <> 1 ELSE true END AS own FROM conversations)
+SELECT conv_id AS doc_id, coalesce(string_agg('<!-- Page ' || (turn + 1) || ' -->' || chr(10) || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) FILTER (own AND role <> 'user'), '') AS markdown, coalesce(list_sort(array_agg((turn + 1)::INTEGER) FILTER (own AND role = 'user')), []) AS ocr_pages FROM c GROUP BY 1""")
+def pages_convert_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    own = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("markdown"), (F.col("role") == "user").alias("needs_ocr"))
+    k = F.col("doc_id") % 4
+    page_range = F.when(k == 1, "2-999999").when(k == 2, "1,999999-3").when(k == 3, "none")
+    specs = c.groupBy(F.col("conv_id").alias("doc_id")).agg((F.max("turn") + 1).alias("page_count")).withColumn("page_range", page_range)
+    return pages.convert(own, specs)
+
+
 # ---- Usage, merges ----
 
 _USAGE_COLUMNS = """least(coalesce(sum(files), 0), 4294967295)::BIGINT AS file_count, least(coalesce(sum(pages), 0), 4294967295)::BIGINT AS page_count, least(coalesce(sum(ocr), 0), 4294967295)::BIGINT AS ocr_page_count, coalesce(sum(ms), 0)::BIGINT AS total_ms,
@@ -371,6 +382,11 @@ def filter_text_items(spark, sf_dir):
     return filters.text_items(items(spark, sf_dir), [2]).select("doc_id", "page", "item_no", "text")
 
 
+@query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, text FROM items WHERE item_type IN ('Text', 'FormField')""")
+def filter_text_items_whole(spark, sf_dir):
+    return filters.text_items(items(spark, sf_dir)).select("doc_id", "page", "item_no", "text")
+
+
 @query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, x - 10 AS x, y - 20 AS y FROM items WHERE item_type IN ('Text', 'FormField')""")
 def filter_table_elements(spark, sf_dir):
     i = items(spark, sf_dir)

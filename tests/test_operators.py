@@ -1,5 +1,6 @@
 """Operators on the fixtures' cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import catalog, exclusion, layout, lines, markdown, pages, paragraphs, tables, usage
@@ -218,3 +219,24 @@ def test_catalog(spark):
     sessions = spark.createDataFrame([(f"s{i}", i * 60_000) for i in range(40)], "session_id string, start_ms long")
     assert catalog.evict_sessions(sessions, 40 * 60_000).count() == 29
     assert catalog.evict_sessions(sessions, 39 * 60_000 + 1, most=5).count() == 5
+
+
+@pytest.mark.parametrize("name", ["pages_convert_whole", "filter_text_items_whole"])
+def test_whole_table_queries(spark, name):
+    import duckdb
+
+    from pagewright.plans.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("conversations", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = con.execute(ORACLES[name])
+    columns = [d[0] for d in found.description]
+    want = sorted(map(repr, found.fetchall()))
+    got = QUERIES[name](spark, sf)
+    assert got.columns == columns and sorted(repr(tuple(r)) for r in got.collect()) == want and want
+    if name == "filter_text_items_whole":
+        assert got.select("page").distinct().count() == 2
+    else:
+        assert got.filter(F.col("markdown").contains("<!-- Page 4 -->") | F.array_contains("ocr_pages", 4)).count()
