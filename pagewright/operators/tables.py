@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions import geometry as G
 from ..functions import text as X
+from . import exclusion
 from .lines import image_table_lines, table_lines
 
 PAGE = ("doc_id", "page")
@@ -202,12 +203,24 @@ def lines_touch_image(v_lines: Column, h_lines: Column, rects: Column, images: C
     return F.when(F.size(v_lines) + F.size(h_lines) > 0, lined).otherwise(boxed)
 
 
-def draw_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", ocr_elements: DataFrame | None = None, images: DataFrame | None = None, only_pages: list[int] | None = None, keys=PAGE) -> DataFrame:
+def draw_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", ocr_elements: DataFrame | None = None, images: DataFrame | None = None, only_pages: list[int] | None = None, keys=PAGE, exclusions: DataFrame | None = None) -> DataFrame:
     """(keys, kind, table_no, columns, rows): every page by what is drawn on it.
 
     Boxes first, then lines: vertical and horizontal ones make a grid, vertical ones alone columns, horizontal ones
     alone nothing. Pages whose lines touch an image take recognised elements where there are any.
+
+    Where ``draw`` has ``use_for_all_pages`` (null is false), the first page of such a document that has anything drawn
+    holds for pages 1 to ``max_pages``, or to the last page of ``elements`` or ``total_pages``; both columns may be absent.
+    ``exclusions`` (id, pages, use_for_all_pages; boxes in the coordinates of the elements) cut the elements after
+    text or recognised ones are chosen, so that a page that they empty doesn't become one without text.
     """
+    if "use_for_all_pages" in draw.columns:
+        absent = {c: F.lit(None).cast("int") for c in ("max_pages", "total_pages") if c not in draw.columns}
+        draw = draw.withColumns({"use_for_all_pages": F.coalesce("use_for_all_pages", F.lit(False)), **absent})
+        draw = draw.withColumn("max_pages", F.when(F.col("max_pages") > 0, F.col("max_pages")))
+        drawn = F.size("v_lines") + F.size("h_lines") + F.coalesce(F.size("rects"), F.lit(0)) > 0
+        last = elements.groupBy(keys[0]).agg(F.max("page").alias("last_page"))
+        draw = expand_template(draw.filter(~F.col("use_for_all_pages") | drawn), last, keys[0])
     if only_pages is not None:
         draw = draw.filter(F.col("page").isin(only_pages))
     if ocr_elements is not None and images is not None:
@@ -216,6 +229,15 @@ def draw_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", ocr_e
         from_ocr = ocr_elements.join(touched, list(keys), "left_semi")
         covered = from_ocr.select(*keys).distinct()
         elements = elements.join(covered, list(keys), "left_anti").unionByName(from_ocr.select(*elements.columns))
+    if exclusions is not None:
+        rects = exclusion.rects_for_page(F.col("pages"), F.col("use_for_all_pages"), F.col("page"))
+        spec = exclusions.select(keys[0], "pages", "use_for_all_pages")
+        cuts = draw.select(*keys).distinct().join(spec, keys[0]).select(*keys, rects.alias("rects")).filter(F.size("rects") > 0)
+        columns = elements.columns
+        # As tall as the font, whatever the item's own height.
+        cut = exclusion.exclude_items(elements.withColumn("height", F.col("font_size")), cuts, keys)
+        cut = cut.withColumn("item_no", F.col("item_no").cast("long") * 10_000 + F.col("part_no"))
+        elements = cut.select(*[c for c in columns if c != "height"])
     boxes = rectangle_tables(elements, draw.filter(F.size("rects") > 0), keys).select(*keys, F.lit("rectangle").alias("kind"), "rect_no", "columns", "rows")
     grid = grid_tables(elements, draw.filter((F.size("v_lines") > 0) & (F.size("h_lines") > 0)), keys)
     columns = vertical_tables(elements, draw.filter((F.size("v_lines") > 0) & (F.size("h_lines") == 0)), mode, keys)

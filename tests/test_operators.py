@@ -240,3 +240,24 @@ def test_whole_table_queries(spark, name):
         assert got.select("page").distinct().count() == 2
     else:
         assert got.filter(F.col("markdown").contains("<!-- Page 4 -->") | F.array_contains("ocr_pages", 4)).count()
+
+
+def test_draw_tables_on_all_pages_with_exclusions(spark):
+    rows = [(1, page, i, t, float(x), float(y), 24.0, 12.0) for page in (1, 2, 4) for i, (t, x, y) in enumerate([("secret", 20, 820), ("Name", 20, 790), ("Age", 220, 790), ("Ann", 20, 770), ("28", 220, 770)])]
+    elements = spark.createDataFrame(rows, "doc_id long, page int, item_no long, text string, x double, y double, width double, font_size double")
+    kind = f"doc_id long, page int, use_for_all_pages boolean, v_lines array<double>, h_lines array<double>, rects array<{RECT}>, merge_cols array<int>, page_width double, page_height double"
+    draw = spark.createDataFrame([(1, 1, True, [], [], [], [], 600.0, 842.0), (1, 2, True, [150.0], [], [], [], 600.0, 842.0)], kind)
+    page = f"page:int,rects:array<{RECT}>,page_x:double,page_y:double,page_width:double,page_height:double"
+    spec = spark.createDataFrame([(1, True, [(1, [(0.0, 815.0, 600.0, 27.0)], 5.0, 5.0, 600.0, 842.0), (4, [], 5.0, 5.0, 600.0, 842.0)])], f"doc_id long, use_for_all_pages boolean, pages array<struct<{page}>>")
+    whole = {r["page"]: (r["table_no"], r["columns"]) for r in tables.draw_tables(elements, draw).collect()}
+    assert {p: n for p, (n, _) in whole.items()} == {1: 1, 2: 2, 4: 3} and all("secret" in c for _, c in whole.values())
+    got = {r["page"]: (r["columns"], r["rows"]) for r in tables.draw_tables(elements, draw, exclusions=spec).collect()}
+    assert got[1] == got[2] == (["Name", "Age"], [["Ann", "28"]]) and got[4][0] == whole[4][1]
+    # Recognised elements are cut as well: they are chosen first.
+    images = elements.select("doc_id", "page", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(600.0).alias("width"), F.lit(842.0).alias("height")).distinct()
+    read = elements.withColumn("text", F.upper("text"))
+    got = {r["page"]: r["columns"] for r in tables.draw_tables(elements, draw, ocr_elements=read, images=images, exclusions=spec).collect()}
+    assert got[1] == got[2] == ["NAME", "AGE"] and "SECRET" in got[4]
+    few = tables.draw_tables(elements, draw.withColumn("max_pages", F.lit(1)))
+    assert [r["page"] for r in few.collect()] == [1]
+    assert [r["page"] for r in tables.draw_tables(elements, draw, only_pages=[4]).collect()] == [4]
