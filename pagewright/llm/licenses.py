@@ -1,11 +1,12 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Templates (short license notices, and the base phrases) and texts are cut into words; every rolling word bigram of a
-text is hashed and joined with the bigrams of the templates. A hit at text position p and template position t votes
+Templates (license notices and texts, and the base phrases) and documents are cut into words; every rolling word bigram
+of a text is hashed and joined with the bigrams of the templates. A hit at text position p and template position t votes
 for the diagonal p - t: a template that stands in the text whole puts all its votes on one diagonal. Votes are counted
-by diagonal; neighbouring diagonals, which words put in or left out lead to, are merged into one span; and a span
-counts if the template positions that it covers are enough of the template. Bigrams are compared as text after the
-join by hash, so a hash that happens to be equal never counts.
+by diagonal; neighbouring diagonals, which words put in or left out lead to, are merged into one span. A span is then
+verified: bigrams are compared as text after the join by hash, and of the diagonals after a span's first only those
+votes count that lie further on in the text and in the template than all before them, so what is covered is covered in
+the template's order. A span counts if that is enough of the template.
 
 A bitmap of the template hashes (a literal of fixed size) lets the array of a text's bigrams drop those that cannot
 join, before rows are made of them; it never drops one that does.
@@ -23,12 +24,10 @@ from pyspark.sql import window as W
 from .common import ascii_lower, prepare
 
 #: Phrases whose places are counted, and their labels.
-BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Usual wordings of license notices, and the labels that the method adds for them.
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Usual names and wordings of licenses, and the labels that the method adds for them.
 NOTICES = {
-    "released under the mit license": "mit",
-    "licensed under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
+    "mit license": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "you may not use this file except in compliance with the license": "apache-2",
     "this work is licensed under the gnu general public license version 3": "gpl-3",
@@ -41,11 +40,37 @@ NOTICES = {
     "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "licensed under a creative commons attribution 4 0 international license": "cc-by",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "licensed under the mozilla public license version 2 0": "mpl-2",
-    "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved no part of this publication may be reproduced": "proprietary",
 }
+#: Whole license texts by label, without their title and copyright lines.
+TEXTS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
+be held liable for any damages arising from the use of this software.""",
+}
+#: Most bigrams of a template, whose positions are the bits of a long; longer texts are cut into sections.
+LONGEST = 60
 #: What lies between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Longwords of the bitmap, 64 bits each.
@@ -56,8 +81,14 @@ DRIFT, REACH, COVER = 3, 8, 0.82
 
 @cache
 def templates() -> tuple[tuple[int, str, str, bool], ...]:
-    """(number, words, label, base)."""
-    return tuple((i, w, label, base) for i, (w, label, base) in enumerate([*((w, v, True) for w, v in BASE.items()), *((w, v, False) for w, v in NOTICES.items())]))
+    """(number, words, label, base). The sections of a long text are as even as can be and share their border words."""
+    found = [*((w, v, True) for w, v in BASE.items()), *((w, v, False) for w, v in NOTICES.items())]
+    for label, text in TEXTS.items():
+        w = re.findall("[a-z0-9]+", text.lower())
+        parts = -(-(len(w) - 1) // LONGEST)
+        edges = [(len(w) - 1) * k // parts for k in range(parts + 1)]
+        found += [(" ".join(w[s : e + 1]), label, False) for s, e in zip(edges, edges[1:], strict=False)]
+    return tuple((i, *x) for i, x in enumerate(found))
 
 
 def words(text: Column) -> Column:
@@ -70,6 +101,8 @@ def positions(spark: SparkSession) -> DataFrame:
     rows = []
     for i, text, _, _ in templates():
         w = text.split(" ")
+        if not 2 <= len(w) <= LONGEST + 1:
+            raise ValueError(f"a template needs 2 to {LONGEST + 1} words: {text!r}")
         rows += [(i, k, f"{w[k]} {w[k + 1]}", w[k], w[k + 1], len(w) - 1) for k in range(len(w) - 1)]
     table = spark.createDataFrame(rows, "template int, at int, gram string, a string, b string, size int")
     return table.select("template", "at", "gram", F.xxhash64("a", "b").alias("h"), "size")
@@ -91,7 +124,9 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     method adds; ``score``: the largest share of a template that one span covers (0 to 1); ``spans``: array of (label,
     first word, last word, covered share) of the notices found.
 
-    Null texts are empty; texts of one word hold nothing; repeated rows each come back; an empty table gives no rows.
+    Null and empty texts, and texts of one word, hold nothing. A text of any length is one row's array of words; only
+    its hits become rows. Repeated rows each come back; of equal places none is preferred, all are counted; an empty
+    table gives no rows. Extra columns play no part, whatever their names.
     """
     spark = prepare(docs.sparkSession)
     table = positions(spark)
@@ -110,14 +145,23 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     hit = each.join(F.broadcast(table), ["h", "gram"], "left").filter("template IS NOT NULL OR p < 0")
     votes = hit.groupBy("row", "template", (F.col("p") - F.col("at")).alias("diagonal")).agg(
         F.first("own", ignorenulls=True).alias("own"), F.max("n_words").alias("n_words"), F.max("size").alias("size"),
-        F.min("p").alias("low"), F.max("p").alias("high"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("at", F.lit(0)))).alias("covered"),
+        F.min("p").alias("low"), F.max("p").alias("high"), F.max("at").alias("top"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("at", F.lit(0)))).alias("covered"),
     )
-    # Neighbouring diagonals: in order of their place in the text, a span goes on while both stay close.
-    order = W.Window.partitionBy("row", "template").orderBy("low", "diagonal")
-    votes = votes.withColumn("new", ((F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT) | (F.col("low") - F.max("high").over(order.rowsBetween(W.Window.unboundedPreceding, -1)) > REACH)).cast("int"))
-    votes = votes.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(order))
+    # Neighbouring diagonals are a band; in order of their place in the text, a span goes on while the next is near.
+    lead = W.Window.partitionBy("row", "template")
+    votes = votes.withColumn("far", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(lead.orderBy("diagonal")) > DRIFT).cast("int"), F.lit(0)))
+    votes = votes.withColumn("band", F.sum("far").over(lead.orderBy("diagonal")))
+    order = W.Window.partitionBy("row", "template", "band").orderBy("low", "diagonal")
+    gap = F.col("low") - F.max("high").over(order.rowsBetween(W.Window.unboundedPreceding, -1)) > REACH
+    votes = votes.withColumn("new", F.coalesce(gap.cast("int"), F.lit(0)))
+    votes = votes.withColumn("span", F.struct("band", F.sum("new").over(order).alias("part")))
+    # Verified in order: past the largest template position before, and past the place of the largest text position.
+    before = W.Window.partitionBy("row", "template", "span").orderBy("low", "diagonal").rowsBetween(W.Window.unboundedPreceding, -1)
+    past = F.greatest(F.max("top").over(before), F.max("high").over(before) - F.col("diagonal"))
+    ahead = F.call_function("shiftleft", F.lit(-1).cast("long"), F.least(F.greatest(past + 1, F.lit(0)), F.lit(62)).cast("int"))
+    votes = votes.withColumn("in_order", F.when(past.isNull(), F.col("covered")).otherwise(F.col("covered").bitwiseAND(ahead)))
     spans = votes.groupBy("row", "template", "span").agg(
-        F.first("own", ignorenulls=True).alias("own"), F.max("n_words").alias("n_words"), F.max("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("covered").alias("covered"),
+        F.first("own", ignorenulls=True).alias("own"), F.max("n_words").alias("n_words"), F.max("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("in_order").alias("covered"),
         # A base phrase stands where a single diagonal has all of its bigrams.
         F.count(F.when(F.bit_count("covered") == F.col("size"), 1)).alias("whole"),
         F.min(F.when(F.bit_count("covered") == F.col("size"), F.col("diagonal"))).alias("first"), F.max(F.when(F.bit_count("covered") == F.col("size"), F.col("diagonal"))).alias("last"),
@@ -136,11 +180,3 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
         F.array_sort(F.collect_list(F.when(notice, F.struct(label.alias("label"), F.col("low").cast("long").alias("first_word"), (F.col("high") + 1).cast("long").alias("last_word"), share.alias("covered"))))).alias("spans"),
     )
     return done.select(*[F.col("own").getField(c).alias(c) for c in keep], "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
-
-
-def brute(text: str | None) -> tuple[int, int, int | None, int | None, str]:
-    """What ``scan`` gives for the base phrases, by search; for tests."""
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    places = [(i, v) for p, v in BASE.items() for i in range(len(w)) if w[i : i + p.count(" ") + 1] == p.split(" ")]
-    starts = [i for i, _ in places]
-    return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({v for _, v in places}))
