@@ -4,14 +4,17 @@ A passage is repeated where a window of ``width`` consecutive words occurs elsew
 its own. Windows are edges of a word-level De Bruijn graph. The graph is never laid out edge by edge:
 
 1. Each window has an anchor, the leftmost smallest k-mer hash in it. Consecutive windows with the same anchor are one
-   path segment. Equal windows have equal anchors, so all places of an edge meet under its anchor.
-2. Spark joins compact the graph: an anchor that occurs once carries no repeated edge; if all its segments are equal
-   word for word (by hash) they are one nonbranching path, and all its windows repeat. Neither is looked into further.
-3. Segments whose anchor branches are resolved window by window: their windows are hashed again from the source
-   coordinates (text key, word position) with two independent 64-bit hashes, and those that occur twice repeat.
-
-Windows covered by either kind are merged into spans and the words below them are removed. Results depend on the text
-alone, so spans hang on a 128-bit key of the text rather than on ids, and repeated or null ids do no harm.
+   path segment. Equal windows have equal anchors, so all places of an edge meet under its anchor; that other windows
+   may meet there too costs work and changes no result.
+2. Spark joins compact the graph: an anchor that occurs once carries no repeated edge; if all its segments are the same
+   words they are one nonbranching path, and all its windows repeat. Neither is looked into further.
+3. Segments whose anchor branches are resolved window by window: their windows are read again at the source coordinates
+   (text key, word position), and those whose words occur twice repeat.
+
+Segments and windows are the same only if the 128-bit digests (XXH3) of their bytes are, taken of the words themselves
+as they stand at the source coordinates; no sum of word hashes decides. Windows covered by either kind are merged into
+spans and the words below them are removed. Results depend on the text alone, so spans hang on a 128-bit key of the
+text rather than on ids, and repeated or null ids do no harm.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
 
-from .common import WORDS, WORDS_TOO, Rolling, Scratch, fields, prepare, word_hashes
+from .common import WORDS, Rolling, Scratch, fields, prepare, word_hashes, word_spans
 
 #: Words of an anchor k-mer.
 ANCHOR = 6
@@ -42,19 +46,38 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+class Words:
+    """The words of one text, one space apart, and digests of stretches of them."""
+
+    def __init__(self, raw: bytes):
+        self.raw = b" ".join(raw.split())
+        self.starts, self.ends = word_spans(self.raw)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def digests(self, first: np.ndarray, many: np.ndarray | int) -> np.ndarray:
+        """(n, 2): the 128-bit digest of the bytes of ``many`` words from each ``first`` on."""
+        if not len(first):
+            return np.zeros((0, 2), np.int64)
+        raw, spans = self.raw, zip(self.starts[first].tolist(), self.ends[first + many - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([xxh3_128_digest(raw[s:e]) for s, e in spans]), "<i8").reshape(-1, 2)
+
+
 def segments(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
-    """Path segments of one text: first window, number of windows, anchor hash, hash of all the segment's words."""
-    words = word_hashes(raw)
+    """Path segments of one text: first window, number of windows, anchor hash, digest of all the segment's words."""
+    words = Words(raw)
     n = len(words) - width + 1
     if n < 1:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     k = min(ANCHOR, width)
+    hashes = word_hashes(words.raw)
     at = np.arange(len(words) - k + 1)
-    kmers = Rolling(words, WORDS).of(at, at + k)
+    kmers = Rolling(hashes, WORDS).of(at, at + k)
     place = leftmost_least(kmers, width - k + 1)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     many = np.diff(np.append(first, n))
-    return first, many, kmers[place[first]], Rolling(words, WORDS_TOO).of(first, first + many + width - 1)
+    return first, many, kmers[place[first]], words.digests(first, many + width - 1)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256):
@@ -83,12 +106,12 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
                 found = [segments(t.encode(), width) for t in part.column("text").to_pylist()]
                 row = [np.full(len(x[0]), i) for i, x in enumerate(found)]
                 first, many, anchor, words = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield _batch(part, row, start=first.astype(np.int32), n=many.astype(np.int32), anchor=anchor.view(np.int64), words=words.view(np.int64))
+                yield _batch(part, row, start=first.astype(np.int32), n=many.astype(np.int32), anchor=anchor.view(np.int64), d1=words[:, 0].copy(), d2=words[:, 1].copy())
 
-    each = scratch.put("segments", texts.mapInArrow(cut, fields(_KEYS + "start int, n int, anchor long, words long")))
-    anchors = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("words").alias("lo"), F.max("words").alias("hi"))
+    each = scratch.put("segments", texts.mapInArrow(cut, fields(_KEYS + "start int, n int, anchor long, d1 long, d2 long")))
+    anchors = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *[f(d).alias(f"{f.__name__}_{d}") for d in ("d1", "d2") for f in (F.min, F.max)])
     # Written, not joined on the fly: then both sides of the join are plain shuffles, and a hot anchor can be split.
-    anchors = scratch.put("anchors", anchors.filter("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("branching")))
+    anchors = scratch.put("anchors", anchors.filter("c > 1").select("anchor", ((F.col("min_d1") != F.col("max_d1")) | (F.col("min_d2") != F.col("max_d2"))).alias("branching")))
     hit = each.join(anchors, "anchor").select("k1", "k2", F.struct("start", "n", "branching").alias("s"))
     # Copies of a text have the same segments: they merge into one set before they are dealt out.
     hit = scratch.put("hits", hit.groupBy("k1", "k2").agg(F.collect_set("s").alias("s")))
@@ -101,15 +124,14 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
     def windows(batches):
         for b in batches:
             for part in _slices(b):
-                row, pos, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                row, pos, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
                 for i, (t, s) in enumerate(zip(part.column("text").to_pylist(), part.column("s").to_pylist(), strict=True)):
-                    words = word_hashes(t.encode())
                     at = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in s])
                     row.append(np.full(len(at), i))
                     pos.append(at)
-                    one.append(Rolling(words, WORDS).of(at, at + width))
-                    two.append(Rolling(words, WORDS_TOO).of(at, at + width))
-                yield _batch(part, row, pos=np.concatenate(pos).astype(np.int32), w1=np.concatenate(one).view(np.int64), w2=np.concatenate(two).view(np.int64))
+                    found.append(Words(t.encode()).digests(at, width))
+                own = np.concatenate(found)
+                yield _batch(part, row, pos=np.concatenate(pos).astype(np.int32), w1=own[:, 0].copy(), w2=own[:, 1].copy())
 
     at = scratch.put("windows", texts.join(open_, ["k1", "k2"]).mapInArrow(windows, fields(_KEYS + "pos int, w1 long, w2 long")))
     scratch.drop()
@@ -137,9 +159,10 @@ def clean(raw: bytes, spans: list[dict] | None, width: int) -> tuple[int, int, b
 def remove_repeated(docs: DataFrame, text_col: str = "text", width: int = 35, digest: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (or ``kept_sha256`` if ``digest``).
 
-    Null texts count as empty and keep nothing; texts shorter than a window keep all words; every copy of a repeated
-    passage goes, whole copies of texts included. Repeated rows each come back. Columns of ``docs`` that have the name
-    of a new one are replaced.
+    Null texts count as empty and keep nothing; texts shorter than a window keep all words; texts of any length are
+    read whole, a slice of a batch at a time; every copy of a repeated passage goes, so ties need no rule, and whole
+    copies of texts go as well. Repeated rows each come back; an empty table gives no rows. Columns of ``docs`` that
+    have the name of a new one are replaced; no other name plays a part.
     """
     prepare(docs.sparkSession)
     new = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
