@@ -213,37 +213,56 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+#: Parts that the members of a large component are dealt into where they meet their component's name.
+SALTS = 32
+
+
+def _named(each: DataFrame, distance: int, node_limit: int) -> DataFrame:
+    """(fp, best): of each fingerprint the smallest ``best`` among the rows of its component. each: fp, best.
+
+    Only components of several fingerprints are joined, and their members by root and salt, so that a component that
+    holds a third of all fingerprints meets its name in many tasks.
+    """
+    codes = each.groupBy("fp").agg(F.min("best").alias("best")).checkpoint()
+    roots = components(links(codes.select("fp"), distance, node_limit)).withColumnsRenamed({"node": "fp"})
+    named = codes.join(roots, "fp", "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).checkpoint()
+    names = named.groupBy("root").agg(F.min("best").alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    names = names.select("root", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")).checkpoint()
+    return named.join(names, ["root", "salt"], "left").select("fp", F.coalesce("name", "best").alias("best")).checkpoint()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, node_limit: int = 1 << 14) -> DataFrame:
     """Each row's id, ``fp`` (long) and ``component_id``: the smallest id reachable over links, its own included.
 
-    Null texts are empty; texts without a word have fingerprint zero and link like any other; rows with a null id get
-    a component too but never name one; repeated rows each come back; an empty table gives an empty result.
+    Null texts are empty; texts without a word have fingerprint zero and link like any other; texts of any length are
+    hashed whole; rows with a null id get a component too but name one only if it has no other; repeated rows each come
+    back; equal ids need no tie-break, as the name is an id; an empty table gives an empty result. Extra columns play
+    no part, whatever their names.
     """
     prepare(docs.sparkSession)
     each = fingerprints(docs, id_col, text_col, width).checkpoint()
-    codes = each.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(codes.select("fp"), distance, node_limit)).withColumnsRenamed({"node": "fp"})
-    named = codes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Cut here so that the join below is of two plain shuffles: then a fingerprint that many rows share can be split.
-    named = named.join(names, "root").select("fp", "component_id").checkpoint()
-    return each.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = _named(each.select("fp", F.struct(F.col("id").isNull().alias("none"), "id").alias("best")), distance, node_limit)
+    return each.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("best.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the smallest id of each component, all columns; one row where rows of that id repeat.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, node_limit: int = 1 << 14) -> DataFrame:
+    """One row of each component, all columns: that with the smallest id, null ids last.
 
-    Rows with a null id stay only if their component has no id at all.
+    Rows with that same id are told apart by a 128-bit key of their texts, the smallest wins; of rows with the same id
+    and the same text any one stays. So ids may repeat, and no two rows that stay are within ``distance``.
     """
-    kept = near_duplicates(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    rows = docs.join(kept.select(F.col(id_col).alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if not kept.filter("_n > 1").take(1):
-        return rows
-    # Ids that repeat: one row for each id, or, without ids, for each fingerprint.
-    twice = kept.filter("_n > 1").select(F.col(id_col).alias("_id"))
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    several = rows.join(twice, same, "left_semi")
-    ids = several.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    none = several.filter(F.col(id_col).isNull()).dropDuplicates([text_col])
-    return rows.join(twice, same, "left_anti").unionByName(ids).unionByName(none)
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
+    each = fingerprints(docs.select(key.alias("best"), F.col(f"`{text_col}`").alias("text")), "best", "text", width).withColumnRenamed("id", "best").checkpoint()
+    # A name is the key of the row that stays, so the names of all components are the rows to keep.
+    chosen = _named(each, distance, node_limit).select("best").distinct()
+    several = each.groupBy("best").agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.join(several, "best").select("best", (F.col("n") > 1).alias("again")).checkpoint()
+    # The row's own columns travel in a struct, so that their names clash with nothing.
+    rows = docs.select(key.alias("best"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen, "best")
+    once = rows.filter("NOT again").select("row")
+    if chosen.filter("again").take(1):
+        once = once.unionByName(rows.filter("again").groupBy("best").agg(F.first("row").alias("row")).select("row"))
+    return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
