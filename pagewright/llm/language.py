@@ -24,6 +24,8 @@ from .common import fields, pick, prepare
 DIM_BITS = 12
 MAX_ROWS = 4000
 UNKNOWN = "und"
+#: Least score of a language that counts as told: the machines of both steps hold together more likely than not.
+LEAST = 0.5
 #: ISO 639-1 codes by family. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
@@ -125,7 +127,8 @@ class Model:
 def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model | None:
     """The model, learned from rows where ``train`` holds, language is not null and the text has a letter.
 
-    A language with fewer rows than its share of ``max_rows`` gives all of them. None if there is no such row.
+    A language with fewer rows than its share of ``max_rows`` gives all of them. None if there is no such row (an empty
+    table included). Should the draw run high, the rows with the smallest draws count.
     """
     rows = docs.filter(train).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")).alias("draw")).filter("lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -139,16 +142,18 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
 
     def run(batches):
         for b in batches:
-            langs, out = b.column("lang").to_pylist(), []
-            for text, lang in zip(b.column("text").to_pylist(), langs, strict=True):
-                x = features(text)
-                at = np.flatnonzero(x)
+            out = []
+            for text, lang, draw in zip(*[b.column(c).to_pylist() for c in ("text", "lang", "draw")], strict=True):
                 if text and _LETTER.search(text):
-                    out.append((lang, at.astype("<u2").tobytes(), x[at].astype("<f2").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["lang", "at", "x"])
-
-    # Bounded for certain, also where the draw runs high or ids repeat.
-    found = rows.filter(keep).select("text", "lang").mapInArrow(run, fields("lang string, at binary, x binary")).limit(2 * max_rows + 20 * len(counts)).collect()
+                    x = features(text)
+                    at = np.flatnonzero(x)
+                    out.append((draw, lang, at.astype("<u2").tobytes(), x[at].astype("<f2").tobytes()))
+            kinds = {"draw": pa.int64(), "lang": pa.string(), "at": pa.binary(), "x": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    # Bounded for certain, also where the draw runs high or ids repeat; in an order, so that the same rows count each time.
+    drawn = rows.filter(keep).select("draw", "text", "lang").mapInArrow(run, fields("draw long, lang string, at binary, x binary"))
+    found = drawn.orderBy(F.pmod("draw", F.lit(1_000_000)), "lang", "at", "x").limit(2 * max_rows + 20 * len(counts)).collect()
     if not found:
         return None
     found.sort(key=lambda r: (r["lang"], r["at"], r["x"]))
@@ -161,8 +166,9 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, lang_pred, score for each row.
 
-    ``und`` with score 0 where the text is null or without a letter, or where no model could be fitted. Repeated rows
-    each come back.
+    ``und`` with score 0 where the text is null or without a letter, or where no model could be fitted. Long texts count
+    whole, a part at a time. Machines that are level go to the language that comes first by name among families and
+    last among votes. Repeated rows each come back; an empty table gives no rows; extra columns play no part.
     """
     prepare(docs.sparkSession)
 
@@ -179,19 +185,29 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
     return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"`{id_col}` {kind}, lang_pred string, score double"))
 
 
-def known(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; ``und`` is what the stage rejects.
+def known(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", wanted: tuple[str, ...] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, whose predicted language is a wanted one and surely enough told.
 
-    That is null texts and texts without a letter. The model answers with a learned language whatever its score, so
-    it rejects nothing itself, unless rows to learn from are labelled ``und``.
+    A row goes if its text is null or has no letter, if the prediction's score is below ``least`` (texts in a language
+    or script that was not learned, texts of two languages in about equal parts, letters without words, and texts of a
+    few letters), or if the language is none of ``wanted`` (None: all that were learned). Where nothing could be learned
+    no language can be told, so then only the letter decides. Long texts count whole; repeated rows share one fate, so
+    there are no ties; an empty table gives no rows; other columns come back as they are, whatever their names.
     """
     prepare(docs.sparkSession)
     model = fit(docs, train, text_col, lang_col, id_col)
     schema, at = docs.schema, docs.columns.index(text_col)
 
+    def stays(text: str | None) -> bool:
+        if not text or not _LETTER.search(text):
+            return False
+        if model is None:
+            return True
+        lang, score = model.predict(features(text))
+        return score >= least and (wanted is None or lang in wanted)
+
     def run(batches):
         for b in batches:
-            keep = [bool(t) and _LETTER.search(t) is not None and (model is None or model.predict(features(t))[0] != UNKNOWN) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array([stays(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

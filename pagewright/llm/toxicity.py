@@ -222,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text
             found = [np.array(matcher.fired(t), "<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(found, pa.binary())], names=["y", "fired"])
 
-    sample = rows.mapInArrow(vote, fields("y int, fired binary")).limit(2 * max_rows).collect()
+    # Bounded for certain, in an order, so that the same rows count each time.
+    sample = rows.mapInArrow(vote, fields("y int, fired binary")).orderBy(F.xxhash64("fired"), "fired", "y").limit(2 * max_rows).collect()
     sample.sort(key=lambda r: (r["y"], r["fired"]))
     fires = np.zeros((len(sample), len(voters)), np.uint8)
     for i, r in enumerate(sample):
