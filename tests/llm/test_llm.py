@@ -26,7 +26,7 @@ def rows(spark):
 
 CLASHING = ["fp", "row", "id", "k1", "k2", "size", "bucket", "node", "shard", "spans", "own", "w", "key", "start", "length", "n_words", "component_id", "label", "draw"]
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
-AWKWARD = [(1, "The quick brown fox jumps over the lazy dog"), (1, "The quick brown fox jumps over the lazy dog"), (None, "no id here at all"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, LONG), (7, "x"), (8, "…—… 123 !!!"), (9, "MIT License MIT License"), (-4, "ÀÉ ▁ \0 日本")]
+AWKWARD = [(1, "The quick brown fox jumps over the lazy dog"), (1, "The quick brown fox jumps over the lazy dog"), (None, "no id here at all"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, LONG), (7, "x"), (8, "…—… 123 !!!"), (9, "Under the MIT License under the MIT License"), (-4, "ÀÉ ▁ \0 日本")]
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +60,7 @@ def test_awkward_rows(spark, awkward):
     assert all(r["lossless"] for r in found["pieces"])
     assert {r["component_id"] for r in found["simhash"] if r["doc_id"] in (2, 3, 4)} == {2} and {r["component_id"] for r in found["simhash"] if r["doc_id"] in (5, 6)} == {5}
     assert {(r["doc_id"], r["n_removed"]) for r in found["substrings"] if r["n_removed"]} == {(5, 40_000), (6, 40_000)}
-    assert {r["n_base"] for r in found["licenses"] if r["doc_id"] == 9} == {2}
+    assert {(r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in found["licenses"] if r["doc_id"] == 9} == {(2, 0, 4, "mit")}
     slots = defaultdict(list)
     for r in found["sharding"]:
         slots[r["shard"]].append(r["slot"])
@@ -84,16 +84,69 @@ def test_keep_one_and_stages(spark, awkward):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, None, 2, 5, 7, 8, 9, -4])
-    known = language.known(awkward, F.lit(True))
+    known = language.known(awkward, F.lit(True), least=0.0)
     assert known.columns == awkward.columns and {r["doc_id"] for r in known.collect()} == {1, None, 5, 6, 7, 9, -4}
+    nothing = language.known(awkward, F.lit(False))
+    assert {r["doc_id"] for r in nothing.collect()} == {1, None, 5, 6, 7, 9, -4}
     assert toxicity.harmless(awkward, toxicity.Model([], None)).count() == len(AWKWARD)
 
 
+def test_keep_one_by_row(spark):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six seven"
+    table = lambda rows: spark.createDataFrame([(i, t, f"n{k}", f"o{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id string, best string")
+    ids = lambda rows: sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(table(rows)).collect())
+    assert ids([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert ids([(5, a), (5, b), (5, a), (5, b)]) == [(5, a), (5, b)]
+    assert [r["text"] for r in simhash.keep_one(table([(None, a), (None, a), (None, b), (2, a)])).orderBy("text").collect()] == [a, b]
+    one = simhash.keep_one(table([(3, b)])).collect()[0]
+    assert (one["_id"], one["best"]) == ("n0", "o0")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table([(None, a), (None, b), (2, a)])).collect()}
+    assert got == {(None, 2), (None, None), (2, 2)}
+
+
+def test_many_near_copies_share_one_component(spark):
+    codes = [0] + [1 << k for k in range(60)] + [(1 << k) | (1 << 63) for k in range(60)]
+    each = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c, 100 + k) for k, c in enumerate(codes)], "fp long, best long")
+    simhash.prepare(spark)
+    assert {r["best"] for r in simhash._named(each, 4, 1 << 14).collect()} == {100} and simhash._named(each, 4, 1 << 14).count() == len(codes)
+
+
+#: The contract's phrases, word by word.
+PHRASES = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
+
+
+def brute_licenses(text):
+    """Base phrases by looking at every place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, v) for p, v in PHRASES.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
+    starts = [i for i, _ in places]
+    return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({v for _, v in places}))
+
+
+def test_licenses_base_phrases(spark):
+    texts = ["MIT License", "under the MIT License", "the mit license under the mit license x", "under mit license", "Apache License, Version 2.0; CC-BY-NC cc by nc", "under the under the mit license"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got] == [brute_licenses(t) for t in texts]
+    assert [r["labels"] for r in got] == ["mit", "mit", "mit", "mit", "apache-2,cc-by-nc", "mit"]
+
+
+def test_licenses_whole_texts_and_order(spark):
+    isc = licenses.TEXTS["isc"]
+    words = re.findall("[a-z0-9]+", isc.lower())
+    less = " ".join(words[:20] + words[22:])
+    mixed = " ".join(words[k + 1 - 2 * (k % 2)] for k in range(len(words) - len(words) % 2))
+    back = " ".join(w for k in range(len(words) - 2, -1, -2) for w in words[k : k + 2])
+    docs = [(1, isc), (2, less), (3, mixed), (4, back), *[(10 + k, t) for k, t in enumerate(licenses.TEXTS.values())]]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["isc", "isc", "", ""] and [got[10 + k] for k in range(len(licenses.TEXTS))] == list(licenses.TEXTS)
+    assert all(2 <= t.count(" ") + 1 <= licenses.LONGEST + 1 for _, t, _, _ in licenses.templates())
+
+
 def test_licenses(spark, rows):
     got = {r["doc_id"]: r for r in queries.op2_license_scan(spark, SF).collect()}
     for i, t in rows:
         r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == licenses.brute(t)
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_licenses(t)
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
     more = spark.createDataFrame([(1, "This work is licensed under the GNU General Public License, version 3."), (2, "this work is now licensed under the gnu general public license version 3"), (3, "under the license")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan(more).collect()}
@@ -227,6 +280,19 @@ def test_language(spark):
     assert language.family("en") == language.family("de") != language.family("fr") and language.family("xx") == "xx"
 
 
+def test_language_stage_rejects(spark, rows):
+    foreign = ["Tämä on suomenkielinen lause joka ei ole mukana opetuksessa lainkaan", "これは日本語の文章です", "Это русский текст который не был в обучении", "asdkjfh qwekjh zxcmnb qwe asdlkj zxmnc", "0a9f 88bc deadbeef", "123 456", None, ""]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(foreign)], docs.schema)
+    got = language.known(docs.unionByName(more), F.lit(True)).collect()
+    assert not [r["doc_id"] for r in got if r["doc_id"] < 0]
+    assert len(got) >= 0.99 * docs.count()
+    score = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()}
+    assert {r["doc_id"] for r in got} == {i for i, (lang, s) in score.items() if lang != "und" and s >= language.LEAST}
+    english = {r["doc_id"] for r in language.known(docs, F.lit(True), wanted=("en",)).collect()}
+    assert english == {i for i, (lang, s) in score.items() if lang == "en" and s >= language.LEAST}
+
+
 def test_toxicity(spark):
     mark = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     got = queries.op1_toxicity(spark, "/root/testdata/sf0.1").collect()
@@ -384,6 +450,10 @@ def test_substrings_at_the_edges(spark):
     common = free(60)
     texts = [free(20) + common + free(30), common[3:50], common[:34], free(5) + common[10:45], ["a"] * 36, ["b"] * 35, ["c"] * 34, free(35), []]
     texts += [texts[7], [*common[:20], "x", *common[21:]], ["p", "q"] * 30]
+    # Words for which sums of powers modulo 2**64 are equal (Thue and Morse): only the words themselves tell them apart.
+    odd = ["".join("ab"[(k.bit_count() + f) % 2] for k in range(2048)) for f in (0, 1)]
+    more = free(40)
+    texts += [[*more[:20], odd[0], *more[20:]], [*more[:20], odd[1], *more[20:]]]
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     got = substrings.remove_repeated(spark.createDataFrame(docs, "doc_id long, text string"), digest=True).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_substrings(docs)
@@ -402,7 +472,9 @@ def test_pipeline(spark):
         if name != names[-1]:
             assert stages[-1].columns == want and [str(f.dataType) for f in stages[-1].schema] == [str(f.dataType) for f in docs.schema]
     texts = [[(r["doc_id"], r["text"]) for r in s.orderBy("doc_id").collect()] for s in stages[:5]]
-    assert texts[1] == [(i, t) for i, t in texts[0] if t and re.search(r"[^\W\d_]", t)]
+    model = language.fit(docs, F.lit(True))
+    told = {r["doc_id"] for r in language.predict(docs, model).filter("lang_pred <> 'und' AND score >= 0.5").collect()}
+    assert texts[1] == [(i, t) for i, t in texts[0] if i in told]
     assert set(texts[2]) <= set(texts[1]) and len(texts[2]) > 0.8 * len(texts[1])
     assert [i for i, _ in texts[3]] == sorted({c for _, _, c in brute_components(texts[2])})
     gone = {i: (n, sha) for i, _, n, sha in brute_substrings(texts[3])}
@@ -418,14 +490,17 @@ def test_stages_on_awkward_rows(spark, awkward, rows):
     import corpus_pipeline
 
     docs = awkward if rows is None else awkward.limit(rows)
-    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    clash = ["_id", "best", "again", "n_removed", "kept_text", "_text", "text_"]
+    docs = docs.withColumn("n_chars", F.length("text").cast("long")).selectExpr("*", *[f"'z' AS `{c}`" for c in clash])
     names = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).checkpoint()
         if name != "best-fit packing":
             assert docs.columns == names, name
+            assert all(r[c] == "z" for r in docs.collect() for c in CLASHING + clash), name
     if rows is None:
-        # 2, 3, 4 and 8 hold no letter; 1 and 5/6 are copies; the long text, once alone, repeats itself.
+        # 2, 3, 4 and 8 hold no letter; 1 and 5/6 are copies; the long text, once alone, repeats itself. All labels are
+        # English here, so every text with a letter is.
         assert Counter(r["doc_id"] for r in docs.filter("piece = 0").collect()) == Counter([1, None, 5, 7, 9, -4])
     else:
         assert docs.collect() == []
