@@ -1,16 +1,24 @@
-"""Exact top-k inner products by a two-level ball partition of queries and data.
+"""Exact top-k inner products by dual-tree search over cover trees of queries and data.
 
-Queries and data are indexed together: pivots, spread out by farthest-first traversal of a bounded sample, are the
-upper level of both. Every vector hangs below its nearest pivot, in blocks of bounded size, each block split into leaves
-that have a centre and a covering radius. There are no levels between pivots and leaves, so this is no cover tree: every
-query leaf's bound with every data leaf of a block is computed. For query node Q and data node X no score can exceed
+A cover tree's node stands for a set of vectors: its centre is one of them and its radius covers them all. Its children
+have farthest-first centres, the first of which is the node's own (nesting); every member is within the children's
+covering distance of one of them, and they are at least that far apart (covering, separation), the distances being those
+of the data rather than powers of a base. No score between query node Q and data node X can exceed
 
     Qc.Xc + rQ |Xc| + rX |Qc| + rQ rX
 
-so a pair of nodes is passed over when that is below the worst k-th score of the queries in Q. First each query block
-searches one block below its own pivot, which sets those scores; then pairs of pivots are compared (a fixed number, on
-the driver), and what is left is searched block by block, pruning pairs of leaves. Results are exact: the bound
-is never below a score, and ties with the k-th score are kept.
+so a pair of nodes is passed over, with all below it, when that is under the worst k-th score of the queries in Q.
+
+1. The upper tree spans queries and data together. It is built on the driver over a sample whose size grows with the
+   table up to a bound in memory; every vector descends to one of its leaves, a cell, and the radii are then those of
+   all vectors. Cells larger than a block are dealt into blocks; neighbouring cells' queries form a query group.
+2. A query group searches one block near by for its first k-th scores, then descends together with the upper tree: its
+   own tree on one side, cells on the other. What is left are blocks that can hold a better score.
+3. Group and block meet in a join by block; again both trees, now down to their leaves, are descended together.
+
+Results are exact: the bound is never below a score, and ties with the k-th score are kept. How much is passed over
+depends on the data alone; vectors without structure, such as random directions, leave nothing to pass over, and then
+every query meets every row, in blocks.
 """
 
 from __future__ import annotations
@@ -21,221 +29,326 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import Scratch, fields, pick
+from .common import Scratch, fields
 
-PIVOTS, SAMPLE = 48, 2000
-#: Most vectors of a block of queries and of data, and most components, so that a block is 2 MB at most.
+#: Most vectors of a query group and of a block, and most components of either, so that a block is 2 MB at most.
 QUERIES, ROWS = 1024, 4096
 COMPONENTS = 1 << 18
-LEAF = 128
-NONE = -(1 << 62)
+#: Rows to a cell of the upper tree, sampled vectors to a cell, and most components of the sample (32 MB).
+CELL, DRAWN, SAMPLED = 1024, 4, 1 << 22
+CHILDREN, LEAF = 8, 128
+NONE = -(1 << 63)
+#: Components beyond this are left out of the trees' geometry; nodes that hold one are never passed over.
+FAR = 1e100
+_PARTS = 1 << 20
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), "<i8").reshape(len(raw), -1)
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of whole numbers, exact; what does not fit into 64 bits saturates."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if not most:
+        return np.zeros((len(a), len(b)), np.int64)
+    with np.errstate(over="ignore"):
+        most *= a.shape[1]
+    for limit, kind in ((2.0**24, np.float32), (2.0**52, np.float64), (2.0**62, np.int64)):
+        if most < limit and (kind is not np.int64 or max(np.abs(a).max(), np.abs(b).max()) < 2.0**62):
+            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(a) @ whole(b).T, NONE, -NONE - 1).astype(np.int64)
+
+
+class Tree:
+    """A cover tree over the rows of ``x``, level by level in arrays.
+
+    Node n has the rows ``order[low[n]:high[n]]`` and the children ``kid[n]`` to ``kid_end[n]`` (none: a leaf).
+    """
 
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        g = np.clip(x, -FAR, FAR).astype(np.float64)
+        far = (np.abs(x) > FAR).any(axis=1)
+        self.order = np.arange(len(x))
+        self.low, self.high, self.kid, self.kid_end, self.radius, at = [0], [len(x)], [0], [0], [0.0], [0]
+        if len(x):
+            at[0] = int(((g - g.mean(axis=0)) ** 2).sum(axis=1).argmin())
+            self.radius[0] = float(np.sqrt(((g - g[at[0]]) ** 2).sum(axis=1).max()))
+        n = 0
+        while n < len(self.low):
+            s, e = self.low[n], self.high[n]
+            if e - s > leaf and self.radius[n] > 0:
+                own = self.order[s:e].copy()
+                y = g[own]
+                kids = _farthest(y, int(np.flatnonzero(own == at[n])[0]), CHILDREN)
+                to = _nearest(y, y[kids])
+                to[kids] = np.arange(len(kids))  # a centre is its own, also where floating point can't tell it from another
+                gap = np.sqrt(((y - y[kids][to]) ** 2).sum(axis=1))
+                many = np.bincount(to, minlength=len(kids))
+                if len(kids) > 1:
+                    self.order[s:e] = own[np.argsort(to, kind="stable")]
+                    self.kid[n] = len(self.low)
+                    for k in range(len(kids)):
+                        self.low.append(s)
+                        s += int(many[k])
+                        self.high.append(s)
+                        at.append(int(own[kids[k]]))
+                        self.radius.append(float(gap[to == k].max()))
+                        self.kid.append(0)
+                        self.kid_end.append(0)
+                    self.kid_end[n] = len(self.low)
+            n += 1
+        self.low, self.high, self.kid, self.kid_end, self.radius = map(np.array, (self.low, self.high, self.kid, self.kid_end, self.radius))
+        for m in np.flatnonzero([far[self.order[s:e]].any() for s, e in zip(self.low, self.high, strict=True)]) if far.any() else ():
+            self.radius[m] = np.inf
+        self.centre = g[at] if len(x) else np.zeros((1, x.shape[1]))
+        self.norm = np.sqrt((self.centre**2).sum(axis=1))
+        self.leaf = self.kid == self.kid_end
+
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[self.low[node] : self.high[node]]
+
+    def upward(self, values: np.ndarray, combine) -> np.ndarray:
+        """Values of leaves, carried up: an inner node's is that of its children's combined."""
+        out = values.copy()
+        for n in np.flatnonzero(~self.leaf)[::-1]:  # children come after their parents
+            out[n] = combine(out[self.kid[n] : self.kid_end[n]])
+        return out
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers; by floating point where that is exact."""
-    if a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2**52:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf that each vector descends to, nearest child by nearest child, and its distance from the centre."""
+        g, at = np.clip(x, -FAR, FAR), np.zeros(len(x), np.int64)
+        while len(x) and not self.leaf[at].all():
+            for n in np.unique(at[~self.leaf[at]]):
+                own = np.flatnonzero(at == n)
+                at[own] = self.kid[n] + _nearest(g[own], self.centre[self.kid[n] : self.kid_end[n]])
+        gap = np.sqrt(((g - self.centre[at]) ** 2).sum(axis=1))
+        return at, np.where((np.abs(x) > FAR).any(axis=1), np.inf, gap)
 
 
-def farthest(x: np.ndarray, n: int) -> np.ndarray:
+def _farthest(x: np.ndarray, first: int, n: int) -> np.ndarray:
     """Indices of up to n points, each the farthest from those before it."""
-    chosen, gap = [0], ((x - x[0]) ** 2).sum(axis=1)
+    chosen, gap = [first], ((x - x[first]) ** 2).sum(axis=1)
     while len(chosen) < n and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
     return np.array(chosen)
 
 
-def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
-    at = d.argmin(axis=1)
-    return at, np.sqrt(((x - centres[at]) ** 2).sum(axis=1))
-
-
-class Cover:
-    """The leaves of a block, split by farthest-first centres: members, centre and covering radius of each."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x.astype(np.float64)
-        self.nodes: list[np.ndarray] = []
-        todo = [np.arange(len(x))] if len(x) else []
-        while todo:
-            own = todo.pop()
-            centres = self.x[own][farthest(self.x[own], 8)] if len(own) > LEAF else None
-            if centres is None or len(centres) < 2:
-                self.nodes += [own[s : s + 4 * LEAF] for s in range(0, len(own), 4 * LEAF)]
-                continue
-            at, _ = nearest(self.x[own], centres)
-            parts = [own[at == k] for k in range(len(centres)) if (at == k).any()]
-            if len(parts) < 2:  # too far out for floating point to tell the centres apart
-                self.nodes += [own[s : s + 4 * LEAF] for s in range(0, len(own), 4 * LEAF)]
-            else:
-                todo += parts
-        self.centres = np.array([self.x[own].mean(axis=0) for own in self.nodes]).reshape(len(self.nodes), x.shape[1])
-        self.radii = np.array([np.sqrt(((self.x[own] - c) ** 2).sum(axis=1).max()) for own, c in zip(self.nodes, self.centres, strict=True)])
-
-
-def bounds(qc: np.ndarray, qr: np.ndarray, xc: np.ndarray, xr: np.ndarray) -> np.ndarray:
-    """The largest score that a query node and a data node can have, with room for rounding."""
-    qn, xn = np.sqrt((qc * qc).sum(axis=1)), np.sqrt((xc * xc).sum(axis=1))
-    return (qc @ xc.T + qr[:, None] * xn + qn[:, None] * xr + qr[:, None] * xr) * (1 + 1e-9) + 1e-3 + 1e-9 * (qn[:, None] + qr[:, None]) * (xn + xr)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Where the k highest scores are, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= least)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, worst: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, q_tree: Cover | None = None, x_tree: Cover | None = None):
-    """(query ids, ids, scores): each query's k best of the block that are not below its ``worst``; own id left out."""
-    q_tree, x_tree = q_tree or Cover(q), x_tree or Cover(x)
-    limit = bounds(q_tree.centres, q_tree.radii, x_tree.centres, x_tree.radii)
-    out = ([], [], [])
-    for i, queries in enumerate(q_tree.nodes):
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+
+
+def bounds(q: Tree, a: np.ndarray, x: Tree, b: np.ndarray) -> np.ndarray:
+    """The largest score that query nodes ``a`` and data nodes ``b`` can have, pair by pair, with room for rounding."""
+    out = np.empty(len(a))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for s in range(0, len(a), 1 << 14):
+            i, j = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+            qn, qr, xn, xr = q.norm[i], q.radius[i], x.norm[j], x.radius[j]
+            most = np.einsum("ij,ij->i", q.centre[i], x.centre[j]) + qr * xn + qn * xr + qr * xr
+            out[s : s + (1 << 14)] = most + 1e-3 + 1e-9 * (np.abs(most) + (qn + qr) * (xn + xr))
+    out[np.isnan(out)] = np.inf
+    return out
+
+
+def leaf_pairs(q: Tree, worst: np.ndarray, x: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query leaves, data leaves, bounds): what is left of both trees descended together. worst: by query."""
+    least = np.zeros(len(q.low), np.int64)
+    for n in np.flatnonzero(q.leaf):
+        least[n] = worst[q.rows(n)].min(initial=-NONE - 1)
+    least = q.upward(least, np.min)
+    a, b, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+    while len(a):
+        limit = bounds(q, a, x, b)
+        keep = ~(limit < least[a])
+        a, b, limit = a[keep], b[keep], limit[keep]
+        end = q.leaf[a] & x.leaf[b]
+        found.append((a[end], b[end], limit[end]))
+        a, b = a[~end], b[~end]
+        first = ~q.leaf[a] & (x.leaf[b] | (q.radius[a] >= x.radius[b]))  # the wider of both nodes is opened
+        nodes, kids, ends = np.where(first, a, b), np.where(first, q.kid[a], x.kid[b]), np.where(first, q.kid_end[a], x.kid_end[b])
+        many = ends - kids if len(nodes) else np.zeros(0, np.int64)
+        opened = np.repeat(kids - np.cumsum(many) + many, many) + np.arange(many.sum())
+        a, b, first = np.repeat(a, many), np.repeat(b, many), np.repeat(first, many)
+        a, b = np.where(first, opened, a), np.where(first, b, opened)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _best(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each query's k highest scores are, ties to the smaller id, then row; and the rank of each."""
+    order = np.lexsort((rows, ids, -scores.astype(np.float64), q))
+    # Scores that are equal as floating-point numbers, but not as whole ones, are put right here.
+    if len(scores) and np.abs(scores).max(initial=0) >= 2**53:
+        order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -int(scores[i]), ids[i], rows[i])), np.int64)
+    own = q[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[rank < k], rank[rank < k]
+
+
+def search(q_rows: np.ndarray, q: np.ndarray, worst: np.ndarray, x_rows: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, q_tree: Tree | None = None, x_tree: Tree | None = None):
+    """(queries, data, scores), by place: each query's k best of the block that are not below its ``worst``; its own row is left out."""
+    q_tree, x_tree = q_tree or Tree(q), x_tree or Tree(x)
+    out = [(np.zeros(0, np.int64),) * 3]
+    if not len(q) or not len(x):
+        return out[0]
+    a, b, limit = leaf_pairs(q_tree, worst, x_tree)
+    order = np.lexsort((-limit, a))
+    a, b, limit = a[order], b[order], limit[order]
+    for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
+        queries = q_tree.rows(a[own[0]])
         low = worst[queries].astype(np.int64).copy()
-        have_ids = [np.zeros(0, np.int64)] * len(queries)
-        have = [np.zeros(0, np.int64)] * len(queries)
-        order = np.argsort(-limit[i])
-        # A few nodes at a time, best first, so that the group's worst k-th score soon rules out the rest.
-        for s in range(0, len(order), 4):
-            at = [n for n in order[s : s + 4] if limit[i, n] >= low.min()]
-            if not at:
+        have = (np.zeros(0, np.int64),) * 3
+        step = 2
+        # Some leaves at a time, best first, so that the group's worst k-th score soon rules out the rest.
+        while len(own):
+            now, own = own[:step], own[step:]
+            members = np.concatenate([x_tree.rows(n) for n in b[now[~(limit[now] < low.min())]]] or [np.zeros(0, np.int64)])
+            if not len(members):
                 break
-            members = np.concatenate([x_tree.nodes[n] for n in at])
-            scores, ids = product(q[queries], x[members]), x_ids[members]
-            for j in np.flatnonzero((scores >= low[:, None]).any(axis=1)):
-                keep = np.flatnonzero((scores[j] >= low[j]) & (ids != q_ids[queries[j]]))
-                if len(keep):
-                    both_ids, both = np.concatenate([have_ids[j], ids[keep]]), np.concatenate([have[j], scores[j, keep]])
-                    best = _best(both_ids, both, k)
-                    have_ids[j], have[j] = both_ids[best], both[best]
-                    if len(best) == k:
-                        low[j] = max(low[j], have[j][-1])
-        for j, own in enumerate(have):
-            out[0].append(np.full(len(own), q_ids[queries[j]]))
-            out[1].append(have_ids[j])
-            out[2].append(own)
-    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+            scores = product(q[queries], x[members])
+            i, j = np.nonzero(scores >= low[:, None])
+            fine = x_rows[members[j]] != q_rows[queries[i]]
+            i, j = i[fine], j[fine]
+            have = tuple(np.concatenate(c) for c in zip(have, (i, members[j], scores[i, j]), strict=True))
+            best, rank = _best(have[0], x_ids[have[1]], x_rows[have[1]], have[2], k)
+            have = tuple(c[best] for c in have)
+            full = rank == k - 1
+            low[have[0][full]] = np.maximum(low[have[0][full]], have[2][full])
+            step *= 2
+        out.append((queries[have[0]], have[1], have[2]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(scale * x) for each row where ``queries`` holds.
 
-    Vectors that are null, or hold null, NaN or infinite components, and rows without an id take no part. Shorter
-    vectors count as ending in zeros. Ties go to the smaller id; a query is no candidate of its own (by id). Scores are
-    64-bit integers. Fewer candidates than k: all of them. No queries: no rows.
+    Vectors that are null, or hold null, NaN or infinite components, and rows without an id take no part; an empty
+    vector counts as zero. Shorter vectors count as ending in zeros. A query's own row is no candidate of its own, but
+    other rows with its id are; where ids repeat, each such query row comes back with its own k ranks. Ties go to the
+    smaller id. Scores are exact whole numbers; those beyond 64 bits saturate at the ends of the long range and tie
+    there, and floor(scale * x) itself ends at the largest double. Fewer candidates than k: all of them. No queries, or
+    an empty table: no rows. Extra columns play no part, whatever their names.
     """
     scratch = Scratch(vectors.sparkSession)
     spark = vectors.sparkSession
-    fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col("id").isNotNull()
-    rows = pick(vectors.withColumn("_is_query", F.coalesce(queries, F.lit(False))), id=id_col, v=vector_col, is_query="_is_query")
-    rows = rows.withColumn("v", F.col("v").cast("array<double>")).filter(fine)
-    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    draws = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()
-    if not draws:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = max(dim, 1)
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    rows = rows.filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col("id").isNotNull())
+    size = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("asks")).first()
+    if not size["asks"]:
+        return nothing
+    dim = max(size["dim"], 1)
 
     def whole(values) -> np.ndarray:
-        out = np.zeros((len(values), dim), np.int64)
-        for i, v in enumerate(values):
-            out[i, : len(v)] = np.floor(scale * np.asarray(v, np.float64))
-        return out
+        out = np.zeros((len(values), dim))
+        with np.errstate(over="ignore"):
+            for i, v in enumerate(values):
+                out[i, : len(v)] = np.floor(scale * np.asarray(v, np.float64))
+        most = np.finfo(np.float64).max
+        return np.clip(out, -most, most)
+
+    def packed(x: np.ndarray) -> pa.Array:
+        return pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())
+
+    def matrix(raw: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), dim)
 
-    sample = whole([r["v"] for r in draws]).astype(np.float64)
-    pivots = sample[farthest(sample, PIVOTS)]
+    sampled = max(1, min(DRAWN * -(-size["n"] // CELL), SAMPLED // dim))
+    draws = rows.select("v", F.xxhash64("row", "id").alias("h")).orderBy("h").limit(sampled).select("v").collect()
+    upper = Tree(whole([r["v"] for r in draws]), 2 * DRAWN)
 
     def assign(batches):
         for b in batches:
             x = whole(b.column("v").to_pylist())
-            at, gap = nearest(x.astype(np.float64), pivots) if len(x) else (np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.astype("<i8").tobytes() for r in x], pa.binary()), b.column("is_query"), pa.array(at.astype(np.int32)), pa.array(gap)], names=["id", "v", "is_query", "pivot", "gap"])
-
-    each = scratch.put("vectors", rows.withColumn("id", F.col("id").cast("long")).mapInArrow(assign, fields("id long, v binary, is_query boolean, pivot int, gap double")))
-    sizes = each.groupBy("is_query", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
-    counts, q_counts, radius, q_radius = ({} for _ in range(4))
-    for r in sizes:
-        counts[r["pivot"]] = counts.get(r["pivot"], 0) + r["n"]
-        radius[r["pivot"]] = max(radius.get(r["pivot"], 0.0), r["radius"])
-        if r["is_query"]:
-            q_counts[r["pivot"]], q_radius[r["pivot"]] = r["n"], r["radius"]
-    if not q_counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    def parts_of(n: dict[int, int], size: int) -> Column:
-        """Map of pivots to their number of blocks of about ``size`` vectors."""
-        size = max(1, min(size, COMPONENTS // dim))
-        return F.create_map(*[F.lit(x) for p, c in n.items() for x in (p, -(-c // size))])
-
-    def blocks(df: DataFrame, n: dict[int, int], size: int) -> DataFrame:
-        """(pivot, block, m): a row for each block, vectors dealt by a hash of the id."""
-        parts = parts_of(n, size)
-        df = df.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.element_at(parts, F.col("pivot"))).cast("int"))
-        return df.groupBy("pivot", "block").agg(F.collect_list(F.struct("id", "v")).alias("m"))
-
-    data = scratch.put("data", blocks(each, counts, ROWS))
-    asks = blocks(each.filter("is_query"), q_counts, QUERIES).select(F.col("pivot").alias("q_pivot"), F.col("block").alias("q_block"), F.col("m").alias("q"))
+            cell, gap = upper.place(x)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), packed(x), b.column("is_query"), pa.array(cell), pa.array(gap, pa.float64())], names=["row", "id", "v", "is_query", "cell", "gap"])
+
+    # Written, so that rows keep their numbers.
+    each = scratch.put("vectors", rows.mapInArrow(assign, fields("row long, id long, v binary, is_query boolean, cell long, gap double")))
+    count, asks, radius = np.zeros(len(upper.low), np.int64), np.zeros(len(upper.low), np.int64), np.full(len(upper.low), -np.inf)
+    for r in each.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("asks"), F.max("gap").alias("radius")).collect():
+        count[r["cell"]], asks[r["cell"]], radius[r["cell"]] = r["n"], r["asks"], r["radius"]
+    for n in np.flatnonzero(~upper.leaf)[::-1]:
+        own = np.arange(upper.kid[n], upper.kid_end[n])
+        own = own[count[own] > 0]
+        count[n], asks[n] = count[own].sum(), asks[own].sum()
+        radius[n] = (np.sqrt(((upper.centre[own] - upper.centre[n]) ** 2).sum(axis=1)) + radius[own]).max(initial=-np.inf)
+    upper.radius = np.where(count > 0, radius, 0.0)
+
+    # A cell's blocks; a query group is the highest node with few enough queries, or part of a cell.
+    most_rows, most_asks = max(1, min(ROWS, COMPONENTS // dim)), max(1, min(QUERIES, COMPONENTS // dim))
+    blocks = -(-count // most_rows)
+    group, seed_of = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+    largest = upper.upward(np.where(upper.leaf, np.arange(len(count)), 0), lambda own: own[count[own].argmax()])
+    for n in range(len(count)):  # parents come first
+        if not n or not group[n]:
+            group[n] = n + 1 if asks[n] <= most_asks or upper.leaf[n] else 0
+        own = slice(upper.kid[n], upper.kid_end[n])
+        group[own] = group[n]
+        # Where to look for the first k-th scores: the largest cell below, if it has rows enough, or else the parent's.
+        seed_of[n] = largest[n] if not n or count[largest[n]] > 4 * k else seed_of[n]
+        seed_of[own] = seed_of[n]
+    parts = np.ones(len(count), np.int64)
+    parts[upper.leaf] = np.maximum(1, -(-asks[upper.leaf] // most_asks))
+    parts[group != np.arange(1, len(count) + 1)] = 1
+
+    def dealt(batches):
+        """Each row's block, and for queries their group; rows of a cell are dealt by their number."""
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            spread = (b.column("row").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = cell * _PARTS + (spread % blocks[cell].astype(np.uint64)).astype(np.int64)
+            of = (group[cell] - 1) * _PARTS + (spread % parts[group[cell] - 1].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "id", "v", "is_query")], pa.array(block), pa.array(of), pa.array(seed_of[group[cell] - 1] * _PARTS)], names=["row", "id", "v", "is_query", "block", "of", "seed"])
+
+    placed = each.select("row", "id", "v", "is_query", "cell").mapInArrow(dealt, fields("row long, id long, v binary, is_query boolean, block long, of long, seed long"))
+    members = F.collect_list(F.struct("row", "id", "v"))
+    data = scratch.put("data", placed.groupBy("block").agg(members.alias("m")))
+    ask = placed.filter("is_query").groupBy("of", "seed").agg(members.alias("q"))
 
     def unpack(m):
-        m = sorted(m, key=lambda r: r["id"])
-        return np.array([r["id"] for r in m], np.int64), _matrix([r["v"] for r in m])
+        m = sorted(m, key=lambda r: r["row"])
+        return np.array([r["row"] for r in m], np.int64), np.array([r["id"] for r in m], np.int64), matrix([r["v"] for r in m])
 
     def seed(batches):
         for b in batches:
             for i in range(b.num_rows):
-                q_ids, q = unpack(b.column("q")[i].as_py())
-                m = b.column("m")[i].as_py()
+                q_rows, q_ids, q = unpack(b.column("q")[i].as_py())
                 worst = np.full(len(q), NONE, np.int64)
-                if m:
-                    x_ids, x = unpack(m)
-                    scores = product(q, x)
-                    scores[q_ids[:, None] == x_ids[None, :]] = NONE
-                    if scores.shape[1] >= k:
-                        worst = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                yield pa.RecordBatch.from_arrays([b.column("q_pivot").slice(i, 1), b.column("q_block").slice(i, 1), pa.array([q_ids.astype("<i8").tobytes()], pa.binary()), pa.array([q.astype("<i8").tobytes()], pa.binary()), pa.array([worst.astype("<i8").tobytes()], pa.binary()), pa.array([int(worst.min())], pa.int64())], names=["q_pivot", "q_block", "q_ids", "q", "worst", "low"])
-
-    first = data.filter("block = 0").select(F.col("pivot").alias("q_pivot"), "m")
-    seeded = scratch.put("queries", asks.join(first, "q_pivot", "left").mapInArrow(seed, fields("q_pivot int, q_block int, q_ids binary, q binary, worst binary, low long")))
-    low = {r["q_pivot"]: r["low"] for r in seeded.groupBy("q_pivot").agg(F.min("low").alias("low")).collect()}
-    q_at, x_at = sorted(low), sorted(counts)
-    limit = bounds(pivots[q_at], np.array([q_radius[p] for p in q_at]), pivots[x_at], np.array([radius[p] for p in x_at]))
-    pairs = {p: [x for j, x in enumerate(x_at) if limit[i, j] >= low[p]] for i, p in enumerate(q_at)}
-    targets = F.create_map(*[x for p, own in pairs.items() for x in (F.lit(p), F.array(*map(F.lit, own)) if own else F.array().cast("array<int>"))])
-    # Joined by block, not by pivot, so that a pivot with a third of all rows spreads over as many keys as it has blocks.
-    met = seeded.withColumn("pivot", F.explode(F.element_at(targets, F.col("q_pivot"))))
-    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(parts_of(counts, ROWS), F.col("pivot")) - 1)))
-    met = met.join(data, ["pivot", "block"])
+                if m := b.column("m")[i].as_py():
+                    x_rows, x_ids, x = unpack(m)
+                    at, _, scores = search(q_rows, q, worst, x_rows, x_ids, x, k)
+                    full = np.bincount(at, minlength=len(q)) >= k
+                    np.minimum.at(least := np.full(len(q), -NONE - 1, np.int64), at, scores)
+                    worst[full] = least[full]
+                _, cells, _ = leaf_pairs(Tree(q), worst, upper)
+                targets = [int(c) * _PARTS + p for c in np.unique(cells) for p in range(blocks[c])]
+                columns = [[v.tobytes()] for v in (q_rows.astype("<i8"), q_ids.astype("<i8"), q.astype("<f8"), worst.astype("<i8"))]
+                yield pa.RecordBatch.from_arrays([b.column("of").slice(i, 1), *[pa.array(c, pa.binary()) for c in columns], pa.array([targets], pa.list_(pa.int64()))], names=["of", "q_rows", "q_ids", "q", "worst", "blocks"])
+
+    first = data.filter(F.col("block") % _PARTS == 0).select(F.col("block").alias("seed"), "m")
+    seeded = scratch.put("queries", ask.join(first, "seed", "left").select("of", "q", "m").mapInArrow(seed, fields("of long, q_rows binary, q_ids binary, q binary, worst binary, blocks array<long>")))
+    # Joined by block, not by cell, so that a cell with a third of all rows spreads over as many keys as it has blocks.
+    met = seeded.select("of", "q_rows", "q_ids", "q", "worst", F.explode("blocks").alias("block")).join(data, "block")
 
     def meet(batches):
-        trees: dict[tuple, tuple] = {}
+        known: dict[tuple, tuple] = {}
         for b in batches:
             for i in range(b.num_rows):
-                key = ("x", b.column("pivot")[i].as_py(), b.column("block")[i].as_py())
-                if key not in trees:
-                    if len(trees) > 8:
-                        trees.clear()
-                    ids, x = unpack(b.column("m")[i].as_py())
-                    trees[key] = ids, x, Cover(x)
-                x_ids, x, x_tree = trees[key]
-                key = ("q", b.column("q_pivot")[i].as_py(), b.column("q_block")[i].as_py())
-                if key not in trees:
-                    q_ids = np.frombuffer(b.column("q_ids")[i].as_py(), "<i8")
-                    q = np.frombuffer(b.column("q")[i].as_py(), "<i8").reshape(len(q_ids), -1)
-                    trees[key] = q_ids, q, Cover(q), np.frombuffer(b.column("worst")[i].as_py(), "<i8")
-                q_ids, q, q_tree, worst = trees[key]
-                found = search(q_ids, q, worst, x_ids, x, k, q_tree, x_tree)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(meet, fields("query_id long, vec_id long, score long"))
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                if len(known) > 8:
+                    known.clear()
+                key = ("x", b.column("block")[i].as_py())
+                if key not in known:
+                    own = unpack(b.column("m")[i].as_py())
+                    known[key] = *own, Tree(own[2])
+                x_rows, x_ids, x, x_tree = known[key]
+                key = ("q", b.column("of")[i].as_py())
+                if key not in known:
+                    own = [np.frombuffer(b.column(c)[i].as_py(), "<i8") for c in ("q_rows", "q_ids", "worst")]
+                    q = np.frombuffer(b.column("q")[i].as_py(), "<f8").reshape(-1, dim)
+                    known[key] = *own, q, Tree(q)
+                q_rows, q_ids, worst, q, q_tree = known[key]
+                at, to, scores = search(q_rows, q, worst, x_rows, x_ids, x, k, q_tree, x_tree)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_rows[at], q_ids[at], x_rows[to], x_ids[to], scores)], names=["q_row", "query_id", "row", "vec_id", "score"])
+
+    found = met.select("of", "q_rows", "q_ids", "q", "worst", "block", "m").mapInArrow(meet, fields("q_row long, query_id long, row long, vec_id long, score long"))
+    rank = F.row_number().over(W.Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -208,6 +208,38 @@ def test_top_k(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_top_k_rows_ids_and_huge_components(spark):
+    values = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (0, None), (3, [0.25, 1.0]), (5, [1e200, 0.0]), (20, [-1e200, 1e308]), (7, []), (40, [float(2**40), 1.0]), (9, [float(2**30), -3.0])]
+    table = spark.createDataFrame([(i, v, True, "z", 7) for i, v in values], "vec_id long, embedding array<double>, _is_query boolean, id string, row int")
+    got = sorted((tuple(r) for r in topk.top_k(table, F.col("vec_id") % 20 == 0, k=4).collect()), key=str)
+    most = np.finfo(np.float64).max
+    fine = [(i, [int(max(-most, min(most, float(np.floor(64 * np.float64(c)))))) for c in (v + [0.0, 0.0])[:2]]) for i, v in values if v is not None]
+    want = []
+    for a, (i, q) in enumerate(fine):
+        if i % 20 == 0:
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(q, v, strict=True)))), j, b) for b, (j, v) in enumerate(fine) if b != a)
+            want += [(i, k + 1, j, -s) for k, (s, j, _) in enumerate(scores[:4])]
+    assert got == sorted(want, key=str) and len(got) == 16
+
+
+def test_top_k_passes_over_far_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 6)) * 50
+    x = (centres[:, None] + rng.normal(size=(30, 400, 6)) * 0.5).reshape(-1, 6)
+    tree = topk.Tree(np.floor(64 * x))
+    q = np.floor(64 * x[:100])
+    worst = np.sort(q @ np.floor(64 * x).T, axis=1)[:, -20].astype(np.int64)
+    _, b, _ = topk.leaf_pairs(topk.Tree(q), worst, tree)
+    assert len(set(b.tolist())) < tree.leaf.sum() / 4
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 200 == 0, k=5).collect()}
+    whole, want = np.floor(64 * x).astype(np.int64), set()
+    for i in range(0, len(x), 200):
+        scores = whole @ whole[i]
+        want |= {(i, k + 1, int(j), int(scores[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(len(x)), -scores)) if j != i][:5])}
+    assert got == want
+
+
 def test_top_k_on_table(spark):
     table = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     ids, x = np.array([i for i, _ in table]), np.floor(64 * np.array([v for _, v in table], np.float64)).astype(np.int64)

@@ -106,18 +106,41 @@ def test_trees_tell_texts_apart(a, b):
     assert mass + sum(e - s for s, e in left) == len(x.raw) and mass + sum(e - s for s, e in right) == len(y.raw)
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 400), st.integers(1, 30))
-def test_dual_tree_search_is_exact(seed, n, k):
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 400), st.integers(1, 30), st.sampled_from([1, 40, 10**9, 10**18, 10**150]))
+def test_dual_tree_search_is_exact(seed, n, k, size):
     rng = np.random.default_rng(seed)
-    x = np.floor(rng.normal(size=(n, 5)) * rng.integers(1, 40)).astype(np.int64)
+    x = np.floor(rng.normal(size=(n, 5)) * size)
     x[rng.random(n) < 0.3] = x[0]
-    ids = rng.permutation(10 * n)[:n].astype(np.int64)
-    rows = np.flatnonzero(rng.random(n) < 0.2)
-    found = topk.search(ids[rows], x[rows], np.full(len(rows), topk.NONE, np.int64), ids, x, k)
+    x[rng.random(n) < 0.5] /= size
+    x = np.floor(x)
+    ids = rng.permutation(n)[:n].astype(np.int64) // 2  # every id twice
+    rows = np.arange(n) * 3
+    at = np.flatnonzero(rng.random(n) < 0.2)
+    found = topk.search(rows[at], x[at], np.full(len(at), topk.NONE, np.int64), rows, ids, x, k, topk.Tree(x[at], 8), topk.Tree(x, 8))
     got = set(zip(*[f.tolist() for f in found], strict=True))
     want = set()
-    for r in rows:
-        scores = x @ x[r]
-        want |= {(int(ids[r]), int(ids[j]), int(scores[j])) for j in [j for j in np.lexsort((ids, -scores)) if j != r][:k]}
+    for i, r in enumerate(at):
+        scores = [max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x[r], y, strict=True)))) for y in x]
+        order = sorted((j for j in range(n) if j != r), key=lambda j: (-scores[j], ids[j], j))
+        want |= {(i, j, scores[j]) for j in order[:k]}
     assert got == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 300), st.integers(2, 20))
+def test_cover_trees_cover_nest_and_separate(seed, n, leaf):
+    rng = np.random.default_rng(seed)
+    x = np.floor(rng.normal(size=(n, 3)) * 20)
+    tree = topk.Tree(x, leaf)
+    assert sorted(tree.order.tolist()) == list(range(n))
+    for node in range(len(tree.low)):
+        own, kids = x[tree.rows(node)], np.arange(tree.kid[node], tree.kid_end[node])
+        assert np.sqrt(((own - tree.centre[node]) ** 2).sum(axis=1)).max() <= tree.radius[node] + 1e-9
+        if len(kids):
+            assert sorted(np.concatenate([tree.rows(c) for c in kids])) == sorted(tree.rows(node))
+            gaps = np.sqrt(((tree.centre[kids][:, None] - tree.centre[kids][None]) ** 2).sum(axis=2))
+            assert (tree.centre[kids[0]] == tree.centre[node]).all() and gaps[np.triu_indices(len(kids), 1)].min() + 1e-9 >= tree.radius[kids].max()
+        else:
+            assert len(own) <= leaf or tree.radius[node] == 0
+    assert set(tree.place(x)[0].tolist()) <= set(np.flatnonzero(tree.leaf).tolist())
