@@ -2,10 +2,12 @@
 
 A text is cut into sections at blank lines and headings, sections into paragraphs at newlines, paragraphs into leaves.
 A leaf is a run of words that ends where the last word's hash says so (content decides, so an edit moves no other
-leaf); short paragraphs have one leaf a word. Every node's hash is made from its children's, so equal roots mean equal
-texts, and comparing two trees from the root down passes over equal branches and ends at the leaves that differ.
+leaf); short paragraphs have one leaf a word. Leaves hold all bytes of the text, white space included. A leaf's digest
+(128 bits, XXH3) is of its bytes, every other node's hash (SHA-256) of its children's, from the leaves to the root. So
+equal roots mean equal texts, and comparing two trees from the root down passes over equal branches and ends at the
+leaves that differ, which locate the edit.
 
-Likeness is the share of characters (bytes) below nodes that both trees have, twice the shared mass over both masses.
+Likeness is the share of bytes below nodes that both trees have, twice the shared mass over both masses.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .common import fields, partitions, prepare, word_hashes, word_spans
 
 #: Paragraphs of up to so many words have a leaf for every word; longer ones cut at one word hash in CUT, or at LONGEST.
 FINE, CUT, LONGEST = 24, 3, 16
 _HEADING = re.compile(rb"\s*#{1,6}\s")
-_LABEL = {"leaf": b"\0", "paragraph": b"\1", "section": b"\2", "root": b"\3"}
+_LABEL = {"paragraph": b"\1", "section": b"\2", "root": b"\3"}
 
 
 def _hash(kind: str, *parts: bytes) -> bytes:
@@ -32,58 +35,57 @@ def _hash(kind: str, *parts: bytes) -> bytes:
 
 
 class Tree:
-    """root (bytes); sections: [(hash, [(paragraph hash, first byte, end byte)])]."""
+    """root (bytes); sections: [(hash, [(paragraph hash, first byte, end byte)])]; leaves: first byte and digest of each."""
 
     def __init__(self, text: str | None):
         self.raw = (text or "").encode()
+        lines = self.raw.split(b"\n")
+        # The newline belongs to the line it ends, so no two texts have the same paragraphs.
+        starts = np.cumsum([0, *[len(line) + 1 for line in lines[:-1]]])
+        self.begins = _leaves(self.raw, starts)
+        edges = [*self.begins.tolist(), len(self.raw)]
+        self.digests = b"".join([xxh3_128_digest(self.raw[s:e]) for s, e in zip(edges, edges[1:], strict=False)])
+        at = [*(16 * np.searchsorted(self.begins, starts)).tolist(), len(self.digests)]
+        stops = [*starts[1:].tolist(), len(self.raw)]
         self.sections: list[tuple[bytes, list[tuple[bytes, int, int]]]] = []
         own: list[tuple[bytes, int, int]] = []
-        start, blank = 0, False
-        for line in self.raw.split(b"\n"):
-            end = start + len(line)
+        blank = False
+        for k, (line, start, stop) in enumerate(zip(lines, starts.tolist(), stops, strict=True)):
             if own and (blank or _HEADING.match(line)):
                 self._close(own)
                 own = []
             blank = not line.strip()
-            # The newline belongs to the line it ends, so no two texts have the same paragraphs.
-            stop = min(end + 1, len(self.raw))
-            own.append((_hash("paragraph", self.raw[start:stop]), start, stop))
-            start = end + 1
+            own.append((_hash("paragraph", self.digests[at[k] : at[k + 1]]), start, stop))
         self._close(own)
-        self._leaves: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.root = _hash("root", *[h for h, _ in self.sections])
 
     def _close(self, own: list[tuple[bytes, int, int]]) -> None:
         self.sections.append((_hash("section", *[h for h, _, _ in own]), own))
 
-    def leaves(self, paragraphs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and masses of the leaves in some paragraphs (byte spans)."""
-        if self._leaves is None:
-            self._leaves = self._all_leaves()
-        begins, hashes, masses = self._leaves
-        starts = np.array([s for s, _ in paragraphs])
-        low, high = np.searchsorted(begins, starts), np.searchsorted(begins, [e for _, e in paragraphs])
+    def leaves(self, paragraphs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digests (their first half), first and end bytes of the leaves in some paragraphs (byte spans)."""
+        low = np.searchsorted(self.begins, [s for s, _ in paragraphs])
+        # The last line of a text may be empty; its one leaf is then as well.
+        high = np.maximum(np.searchsorted(self.begins, [e for _, e in paragraphs]), low + 1)
         n = high - low
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return hashes[at], masses[at]
-
-    def _all_leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = word_hashes(self.raw)
-        if not len(words):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        begins, _ = word_spans(self.raw)
-        lines = np.array([s for _, own in self.sections for _, s, _ in own])
-        line = np.searchsorted(lines, begins, side="right") - 1
-        new = np.diff(line, prepend=-1) > 0
-        many = np.bincount(line, minlength=len(lines))[line]
-        cut = new | (many <= FINE)
-        cut[1:] |= words[:-1] % np.uint64(CUT) == 0
-        first = np.flatnonzero(cut)
-        since = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
-        first = np.flatnonzero(since % LONGEST == 0)
-        since = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
-        hashes = np.add.reduceat(words * (np.uint64(2) * since.astype(np.uint64) + np.uint64(1)), first)
-        return begins[first], hashes, np.diff(np.append(begins[first], len(self.raw)))
+        return np.frombuffer(self.digests, "<u8")[0::2][at], self.begins[at], np.append(self.begins[1:], len(self.raw))[at]
+
+
+def _leaves(raw: bytes, lines: np.ndarray) -> np.ndarray:
+    """First byte of each leaf: those of the lines, and those of words at which a line is cut."""
+    words = word_hashes(raw)
+    if not len(words):
+        return lines
+    begins, _ = word_spans(raw)
+    line = np.searchsorted(lines, begins, side="right") - 1
+    new = np.diff(line, prepend=-1) > 0
+    many = np.bincount(line, minlength=len(lines))[line]
+    cut = new | (many <= FINE)
+    cut[1:] |= words[:-1] % np.uint64(CUT) == 0
+    first = np.flatnonzero(cut)
+    since = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+    return np.union1d(lines, begins[(since % LONGEST == 0) & ~new])
 
 
 def _shared(a: list[tuple], b: list[tuple]) -> tuple[float, list[tuple], list[tuple]]:
@@ -120,18 +122,30 @@ def differing(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]], list[tupl
     return mass + more, [(s, e) for _, s, e in x], [(s, e) for _, s, e in y]
 
 
-def likeness(a: Tree, b: Tree) -> float:
-    """0 to 1; 1 for equal texts, two empty ones included."""
+def compared(a: Tree, b: Tree) -> tuple[float, int | None, int | None]:
+    """Likeness, and the first and end byte in ``a`` between which all of its leaves lie that ``b`` lacks (None: none)."""
     if a.root == b.root:
-        return 1.0
+        return 1.0, None, None
     mass, x, y = differing(a, b)
-    if x and y:
-        (h, m), (k, n) = a.leaves(x), b.leaves(y)
+    start, end = None, None
+    if x:
+        (h, s, e), k = a.leaves(x), b.leaves(y)[0] if y else np.zeros(0, np.uint64)
         codes, at = np.unique(np.concatenate([h, k]), return_inverse=True)
-        one, two = np.bincount(at[: len(h)], minlength=len(codes)), np.bincount(at[len(h) :], minlength=len(codes))
-        each = np.bincount(at, weights=np.concatenate([m, n]), minlength=len(codes)) / np.maximum(one + two, 1)
-        mass += float((np.minimum(one, two) * each).sum())
-    return min(1.0, 2 * mass / max(1, len(a.raw) + len(b.raw)))
+        there = np.bincount(at[len(h) :], minlength=len(codes))
+        own = at[: len(h)]
+        order = np.argsort(own, kind="stable")
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+        here = rank < there[own]
+        mass += float((e - s)[here].sum())
+        if not here.all():
+            start, end = int(s[~here].min()), int(e[~here].max())
+    return min(1.0, 2 * mass / max(1, len(a.raw) + len(b.raw))), start, end
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """0 to 1; 1 for equal texts, two empty ones included."""
+    return compared(a, b)[0]
 
 
 def edited(text: str, other: str) -> str:
@@ -143,8 +157,10 @@ def edited(text: str, other: str) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, root of its tree, and how it compares with its edited text and with the next document.
 
-    Null texts are empty; the next document is the next by (id, text), null ids first, after the last the first (a
-    single document is its own successor). Repeated rows each come back.
+    ``edit_start`` and ``edit_end``: the places (code points) between which the text has all leaves that its edited text
+    lacks; null if it lacks none. Null texts are empty; the next document is the next by (id, text), null ids first,
+    after the last the first (a single document is its own successor); ties of both are equal rows. Texts of any length
+    are fingerprinted whole. Repeated rows each come back; an empty table gives no rows; extra columns play no part.
 
     Rows are dealt by ranges of ids, cut at approximate quantiles, so that each range holds about as many. The first
     row of each range also goes, marked ``extra``, to the end of the range before it (that of the first to the last),
@@ -202,10 +218,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _, i, own, mine = held
         changed = edited(own, text)
         other = Tree(changed)
-        return i, len(own), hashlib.sha256(other.raw).hexdigest(), mine.root.hex(), other.root.hex(), likeness(mine, other), likeness(mine, tree)
+        near, start, end = compared(mine, other)
+        place = lambda k: None if k is None else len(mine.raw[:k].decode())
+        return i, len(own), hashlib.sha256(other.raw).hexdigest(), mine.root.hex(), other.root.hex(), near, likeness(mine, tree), place(start), place(end)
 
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_start", "edit_end"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def told(out):
         columns = list(zip(*out, strict=True)) if out else [()] * len(names)
@@ -217,4 +235,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = rows.mapInArrow(twice, fields(f"bucket long, extra boolean, id {kind}, text string"))
     # A range to a partition, by its number: hashes of so few values would leave some partitions several and others none.
     placed = placed.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "extra", F.asc_nulls_first("id"), "text")
-    return placed.mapInArrow(walk, fields(f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
+    return placed.mapInArrow(walk, fields(f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long, edit_end long"))
