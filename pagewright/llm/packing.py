@@ -2,9 +2,10 @@
 
 Documents are tokenised, ended with a separator and, if longer than the capacity, cut. How pieces combine depends only
 on how many there are of each length (at most ``capacity`` counts, whatever the corpus), so the plan is made on the
-driver from that histogram: an index of the available lengths and of their pair and triple sums finds combinations that
-exactly fill the gap left by a long piece, consumed as often as the counts allow; what is left goes by best fit. The
-plan says, for the r-th piece of each length, its sequence and offset; ranks are made in two levels over all rows.
+driver from that histogram. An index holds the available lengths by themselves and by the sums of two and of three;
+looking up the gap that a long piece leaves gives a combination that fills it exactly, which is used as often as the
+counts allow; what is left goes by best fit. The plan says, for the r-th piece of each length, its sequence and offset;
+ranks are made in two levels over all rows.
 """
 
 from __future__ import annotations
@@ -44,6 +45,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _splits_as_expected(tokenizer) -> bool:
+    """Whether the file's own normalizer and pre-tokenizer are the ones that SPLIT and the lower case stand for."""
+    import json
+
+    own = json.loads(tokenizer.to_str())
+    found = json.dumps([own["normalizer"], own["pre_tokenizer"]])
+    return json.dumps(SPLIT)[1:-1] in found and "Lowercase" in found and "ByteLevel" in found
+
+
 class _Parts(dict):
     """ids of parts that the pre-tokenizer leaves whole, by the tokenizer's model."""
 
@@ -92,12 +102,16 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.chunks = _Chunks(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        self.whole = None if _splits_as_expected(tokenizer) else tokenizer
+        self.chunks = _Chunks(tokenizer)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         for known, most in ((self.chunks, CHUNKS), (self.chunks.parts, PARTS)):
             if len(known) > most:
                 known.clear()
+        if self.whole is not None:
+            return [little(e.ids) for e in self.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         get = self.chunks.__getitem__
         return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
@@ -137,63 +151,91 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"id {kind}, piece int, start long, length long, ids_crc32 long"))
 
 
+class Sums:
+    """Which one, two or three available lengths add up to a total, looked up by the total.
+
+    Pairs stand under their sum, the most uneven first. A triple stands under its sum as a largest length and the sum
+    of the other two, under which its pairs are found; so the index of three takes no more room than that of two.
+    Counts only fall, so what has run out is passed over once and for all.
+    """
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        have = np.flatnonzero(left)
+        low, high = (have[i] for i in np.triu_indices(len(have)))
+        fits = low + high < len(left)
+        low, total = low[fits], (low + high)[fits]
+        order = np.lexsort((low, total))
+        self.low = low[order].tolist()
+        sums, first = np.unique(total[order], return_index=True)
+        self.pairs = {t: [s, e] for t, s, e in zip(sums.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True)}
+        self.largest = have[::-1].tolist()
+        self.triples: dict[int, int] = {}
+
+    def _enough(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def _pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two lengths with that sum, beside those that are used."""
+        span = self.pairs.get(total)
+        if span is None:
+            return None
+        while span[0] < span[1] and not self._enough((total - self.low[span[0]], self.low[span[0]])):
+            span[0] += 1
+        for k in range(*span):
+            pair = (total - self.low[k], self.low[k])
+            if self._enough((*used, *pair)):
+                return pair
+        return None
+
+    def _triple(self, total: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
+        passed = True
+        for k in range(self.triples.get(total, 0), len(self.largest)):
+            x = self.largest[k]
+            # Out for good: too long, used up, or no pair to go with it.
+            out = x > total - 2 or not self.left[x] or self._pair(total - x, (x,)) is None
+            if not out:
+                passed = False
+                if pair := self._pair(total - x, (*used, x)):
+                    return (x, *pair)
+            elif passed:
+                self.triples[total] = k + 1
+        return None
+
+    def fill(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Available lengths that fill the gap exactly, beside those used: one, or else two, or else three."""
+        if self._enough((*used, gap)):
+            return (gap,)
+        return self._pair(gap, used) or self._triple(gap, used)
+
+
 class Plan:
     """Where the r-th piece of each length goes. ``slots[length]``: (first rank, first sequence, offset), by rank."""
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
         self.capacity, self.sequences = capacity, 0
         self.slots: dict[int, list[tuple[int, int, int]]] = {}
-        self.left = np.zeros(capacity + 1, np.int64)
-        for length, n in counts.items():
-            self.left[length] = n
-        self._used = np.zeros(capacity + 1, np.int64)
+        self.left = [counts.get(length, 0) for length in range(capacity + 1)]
+        self._used = [0] * (capacity + 1)
         self._open: dict[int, list[tuple[int, int]]] = {}  # gap: [(first sequence, how many)]
         self._exact()
         self._best_fit()
 
     def _take(self, length: int, n: int, first: int, offset: int) -> None:
-        self.slots.setdefault(length, []).append((int(self._used[length]), first, offset))
+        self.slots.setdefault(length, []).append((self._used[length], first, offset))
         self._used[length] += n
         self.left[length] -= n
 
-    def _pair(self, total: int, have: np.ndarray) -> tuple[int, int] | None:
-        """The most uneven available pair x >= y with x + y = total."""
-        if total < 2:
-            return None
-        low = np.arange(1, total // 2 + 1)
-        ok = (have[low] > 0) & (have[total - low] > 0)
-        if total % 2 == 0 and have[total // 2] < 2:
-            ok[-1] = False
-        return (total - int(low[ok][0]), int(low[ok][0])) if ok.any() else None
-
-    def _fill(self, gap: int) -> tuple[int, ...] | None:
-        """Available lengths that fill the gap exactly: one, or else two, or else three."""
-        if self.left[gap] > 0:
-            return (gap,)
-        if pair := self._pair(gap, self.left):
-            return pair
-        for x in np.flatnonzero(self.left[1 : gap - 1])[::-1] + 1:
-            self.left[x] -= 1
-            pair = self._pair(gap - int(x), self.left)
-            self.left[x] += 1
-            if pair:
-                return (int(x), *pair)
-        return None
-
     def _exact(self) -> None:
+        sums = Sums(self.left)
         for length in range(self.capacity, 0, -1):
             while self.left[length] > 0:
                 gap = self.capacity - length
-                if gap:
-                    self.left[length] -= 1
-                    filled = self._fill(gap)
-                    self.left[length] += 1
-                    if filled is None:
-                        break
-                else:
-                    filled = ()
+                filled = sums.fill(gap, (length,)) if gap else ()
+                if filled is None:
+                    break
                 lengths = sorted((length, *filled), reverse=True)
-                n = min(int(self.left[x]) // lengths.count(x) for x in lengths)
+                n = min(self.left[x] // lengths.count(x) for x in lengths)
                 offset = 0
                 for x in lengths:
                     self._take(x, n, self.sequences, offset)
@@ -203,7 +245,7 @@ class Plan:
     def _best_fit(self) -> None:
         gaps: list[int] = []
         for length in range(self.capacity, 0, -1):
-            while (n := int(self.left[length])) > 0:
+            while (n := self.left[length]) > 0:
                 if (k := bisect_left(gaps, length)) < len(gaps):  # the smallest gap that holds it
                     gap = gaps[k]
                     first, many = self._open[gap].pop()
@@ -238,7 +280,10 @@ class Plan:
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Each piece with its ``sequence_id`` and ``offset``; repeated rows are packed as often as they come.
 
-    An empty table gives no pieces. Sequences are at most ``capacity`` long and their offsets have no gaps.
+    Null and empty texts are their separator alone; texts of any length are encoded whole and only longer ones are cut.
+    Pieces of the same length are alike to the plan: which of them goes where follows from their ids. An empty table
+    gives no pieces; extra columns play no part, whatever their names. Sequences are at most ``capacity`` long and
+    their offsets have no gaps.
     """
     spark = prepare(docs.sparkSession)
     cut = pieces(docs, path, id_col, text_col, capacity).checkpoint()
