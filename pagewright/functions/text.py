@@ -15,7 +15,7 @@ BLOCK = (
     r"^(?:[#>|]|```|~~~|[-*+•·○■▪●◦]|[\u2460-\u246E\u2474-\u247D]"
     r"|[0-9]+\.(?U:\s)|[0-9]+[、)）:：]|[(（][0-9]+[)）]"
     r"|第.{0,4}?[章条节款项部]"
-    rf"|[{CJK}][、.．）]|[A-Za-z]\.(?U:\s))"
+    rf"|(?!第)[{CJK}][、.．）]|[A-Za-z]\.(?U:\s))"
 )
 #: What ends a sentence.
 SENTENCE_END = "[.。！？…；;!?」』]$"

@@ -248,13 +248,28 @@ def draw_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", ocr_e
 
 
 def merge_into_markdown(docs: DataFrame, tables: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with the drawn tables appended after a rule and a comment; documents without tables stay, null as ''."""
+    """Documents with the drawn tables appended after a rule and a comment.
+
+    Tables stand in order of ``table_no``, rules between them, below a page marker wherever the page changes. The
+    document's own text is trimmed; where it is blank the tables stand alone. Documents without tables stay, null as ''.
+    """
     from .markdown import render_table
 
-    chunk = F.concat(X.page_marker(F.col("page")), F.lit("\n\n"), render_table(F.col("columns"), F.col("rows"), pad=False, escape=False, trailing_newline=True))
-    own = tables.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", chunk.alias("c")))), lambda x: x["c"]), "\n---\n\n").alias("_tables"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(own, id_col, "left").withColumn(text_col, F.when(F.col("_tables").isNull(), text).otherwise(F.concat(text, F.lit(DRAWN), F.col("_tables")))).drop("_tables")
+    last = F.lag("page").over(W.Window.partitionBy(id_col).orderBy("table_no"))
+    chunk = F.concat(
+        F.when(last.isNull(), "").otherwise("\n\n---\n\n"), F.when(last == F.col("page"), "").otherwise(F.concat(X.page_marker(F.col("page")), F.lit("\n\n"))),
+        render_table(F.col("columns"), F.col("rows"), pad=False, escape=False, trailing_newline=True),
+    )
+    parts = tables.select(F.col(id_col).alias("id"), "table_no", chunk.alias("c"))
+    own = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "c"))), lambda x: x["c"]), "").alias("drawn"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(own, "id", "left")
+    merged = F.when(F.col("drawn").isNull(), F.col("t")).when(X.blank(F.col("t")), F.col("drawn")).otherwise(F.concat(X.utrim(F.col("t")), F.lit(DRAWN), F.col("drawn")))
+    return rows.select(*[merged.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def drawn_pages(tables: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, pages): how many different pages a document's tables were drawn on."""
+    return tables.groupBy(id_col).agg(F.count_distinct("page").alias("pages"))
 
 
 def remap_merge_columns(old: Column, new: Column, chosen: Column) -> Column:

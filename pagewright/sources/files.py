@@ -20,7 +20,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, mime, content) of PNG and JPEG files, by extension in any case."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # By name before any bytes are read; letters of either case.
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}").load(path)
     kind = mime(F.regexp_extract("path", r"\.([^.\/]*)$", 1))
     return raw.select("path", kind.alias("mime"), "content").filter("mime IS NOT NULL")
 
@@ -69,10 +70,11 @@ def vision_text(response: Column) -> Column:
 
 def list_models(spark: SparkSession, path: str, meta_name: str = "layout-meta.json", model_name: str = "model.mnn") -> DataFrame:
     """(dir, name, available): folders with readable metadata, and whether their model file is there; by folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = raw.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "content")
-    meta = rows.filter(F.col("file") == meta_name).select("dir", F.get_json_object(F.col("content").cast("string"), "$.name").alias("name")).filter("name IS NOT NULL")
-    models = rows.filter(F.col("file") == model_name).select("dir", F.lit(True).alias("available"))
+    named = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir")
+    meta = named(meta_name).select(folder, F.get_json_object(F.col("content").cast("string"), "$.name").alias("name")).filter("name IS NOT NULL")
+    # Only the name of a model file is asked for, so its bytes stay unread.
+    models = named(model_name).select(folder, F.lit(True).alias("available"))
     return meta.join(models, "dir", "left").na.fill(False, ["available"]).orderBy("dir")
 
 

@@ -2,17 +2,19 @@
 
 Events of a session arrive in any order of pages: ``start`` (with the page count), ``page`` results, ``fail``, ``skip``,
 ``finish`` and ``abort``. State is one row a page; a finished session comes out as one document. A session lives for
-30 minutes from its start, whatever happens in it: events after that, or without a session, come out as ``late``.
+30 minutes from its start, whatever happens in it: events after that, or without a session, come out as ``late``. A
+session that never finishes is cleared by an event-time timer, so its state does not stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 #: Milliseconds that a session lives from its start.
 MAX_AGE_MS = 30 * 60 * 1000
@@ -23,6 +25,7 @@ class SessionProcessor(StatefulProcessor):
     """State: ``head`` (start, page count, sums of confidence) and ``pages`` (page to text)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.head = handle.getValueState("head", "start_ms long, total int, confidence double, results int")
         self.pages = handle.getMapState("pages", "page int", "markdown string, kind string")
         self.failed = handle.getListState("failed", "page int")
@@ -35,6 +38,7 @@ class SessionProcessor(StatefulProcessor):
             if e.kind == "start":
                 self._clear()
                 self.head.update((ms, int(e.page) if pd.notna(e.page) else 0, 0.0, 0))
+                self.handle.registerTimer(ms + MAX_AGE_MS)
                 continue
             if not self.head.exists() or ms - self.head.get()[0] >= MAX_AGE_MS:
                 if self.head.exists():
@@ -65,7 +69,14 @@ class SessionProcessor(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["session_id", "status", "markdown", "confidence", "failed_pages", "skipped_pages"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark is past the session's end: nothing that belongs to it can still come."""
+        self._clear()
+        yield from ()
+
     def _clear(self) -> None:
+        if self.head.exists():
+            self.handle.deleteTimer(self.head.get()[0] + MAX_AGE_MS)
         self.head.clear()
         self.pages.clear()
         self.failed.clear()
@@ -74,12 +85,47 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def assemble_sessions(events: DataFrame) -> DataFrame:
+def assemble_sessions(events: DataFrame, delay: str = "30 minutes") -> DataFrame:
     """A stream of finished and late sessions; ``events``: session_id, seq, ts, kind, page, markdown, confidence, error.
 
-    Needs the RocksDB state store. Age is judged by event times on arrival, so no timers run.
+    Needs the RocksDB state store. Age is judged by event times. A session's state goes when it finishes, or once the
+    watermark, ``delay`` behind the latest event, is past its end; events later than the watermark are left out.
     """
-    return events.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="none")
+    own = events.withWatermark("ts", delay).groupBy("session_id")
+    return own.transformWithStateInPandas(statefulProcessor=SessionProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
+def paced(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """A stream of JSON files that takes at most ``files`` of them a batch, so that pages are pulled no faster than
+    they are worked on."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
+class Progress(StreamingQueryListener):
+    """Tells ``report`` (rows so far, batch) of a stream's progress, at most once every ``every`` seconds and at its end."""
+
+    def __init__(self, report: Callable[[int, int], None], every: float = 0.25, clock: Callable[[], float] = time.monotonic):
+        self.report, self.every, self.clock = report, every, clock
+        self.rows, self.batch, self.told, self.at = 0, -1, -1, float("-inf")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows, self.batch = self.rows + event.progress.numInputRows, event.progress.batchId
+        if self.clock() - self.at >= self.every:
+            self._tell()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.told != self.batch:
+            self._tell()
+
+    def _tell(self) -> None:
+        self.at, self.told = self.clock(), self.batch
+        self.report(self.rows, self.batch)
 
 
 def rolling_usage(log: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Files in and out, and the stateful stream."""
 
 import json
+import os
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -96,6 +98,34 @@ def test_sessions(spark, tmp_path):
     assert abs(got["a"]["confidence"] - 0.7) < 1e-9 and got["a"]["failed_pages"] == [3]
 
 
+def test_sessions_are_forgotten_and_progress_is_told(spark, tmp_path):
+    at = lambda h, m: f"2024-01-01T{h:02d}:{m:02d}:00Z"
+    names = [f.split(" ")[0] for f in EVENTS.split(", ")]
+    (tmp_path / "in").mkdir()
+    rows = [[("a", 1, at(0, 0), "start", 1, None, None, None), ("b", 1, at(0, 50), "start", 1, None, None, None)], [("z", 1, at(2, 0), "start", 1, None, None, None)], [("z", 2, at(2, 1), "abort", None, None, None, None)]]
+    for k, own in enumerate(rows):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in own))
+        os.utime(tmp_path / f"in/{k}.json", (k, k))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    told = []
+    listener = session.Progress(lambda rows, batch: told.append((rows, batch)), every=0.0)
+    spark.streams.addListener(listener)
+    try:
+        stream = session.assemble_sessions(session.paced(spark, str(tmp_path / "in"), EVENTS))
+        q = stream.writeStream.format("memory").queryName("forgotten").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        batches = [p["numInputRows"] for p in q.recentProgress]
+        left = q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+        assert batches[:3] == [2, 1, 1] and left == 0
+        for _ in range(100):
+            if told and told[-1][0] == 4:
+                break
+            time.sleep(0.1)
+        assert told[-1][0] == 4
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_page_building(spark):
     blocks = spark.createDataFrame([(1, 1, i, t, float(x), float(y), 100.0, 20.0, 1000) for i, (t, x, y) in enumerate([("第一", 10, 120), ("行 继续", 10, 145), ("远处", 10, 400)])] + [(1, 2, 0, " ", 0.0, 0.0, 1.0, 1.0, 1000)], "doc_id long, page int, block_no long, text string, left double, top double, width double, height double, height_px int")
     got = {r["page"]: (r["markdown"], r["error"]) for r in filters.ocr_page_text(blocks).collect()}

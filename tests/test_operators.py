@@ -261,3 +261,13 @@ def test_draw_tables_on_all_pages_with_exclusions(spark):
     few = tables.draw_tables(elements, draw.withColumn("max_pages", F.lit(1)))
     assert [r["page"] for r in few.collect()] == [1]
     assert [r["page"] for r in tables.draw_tables(elements, draw, only_pages=[4]).collect()] == [4]
+
+
+def test_drawn_tables_join_the_text(spark):
+    docs = spark.createDataFrame([(1, "  Text \n", "z"), (2, " \n", "z"), (3, None, "z")], "doc_id long, text string, drawn string")
+    found = spark.createDataFrame([(1, 1, 2, ["A"], [["x"]]), (1, 2, 2, ["B"], []), (1, 3, 4, ["C"], []), (2, 1, 1, ["A"], [])], "doc_id long, table_no int, page int, columns array<string>, rows array<array<string>>")
+    got = {r["doc_id"]: r["text"] for r in tables.merge_into_markdown(docs, found).collect()}
+    rule = "\n\n---\n\n"
+    assert got[1] == "Text" + tables.DRAWN + "<!-- Page 2 -->\n\n| A |\n| --- |\n| x |\n" + rule + "| B |\n| --- |\n" + rule + "<!-- Page 4 -->\n\n| C |\n| --- |\n"
+    assert got[2] == "<!-- Page 1 -->\n\n| A |\n| --- |\n" and got[3] == ""
+    assert {r["doc_id"]: r["pages"] for r in tables.drawn_pages(found).collect()} == {1: 2, 2: 1}
