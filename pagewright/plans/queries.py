@@ -573,3 +573,6 @@ def layout_assemble_letters(spark, sf_dir):
 @query(_BLOCK_COUNT)
 def pages_recognised_letters(spark, sf_dir):
     return _letters(pages_recognised_text(spark, sf_dir))
+
+
+from . import wide  # noqa: E402, F401 - adds its queries
