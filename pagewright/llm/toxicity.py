@@ -27,6 +27,9 @@ from .common import fields, pick, prepare
 
 MAX_ROWS = 24_000
 SURE = 16.0
+#: A voter occurs so many times as often among toxic texts as among clean ones. How sure a difference is grows with the
+#: rows, so that alone would let in any common word whose rates differ by a little.
+LIFT = 3.0
 #: The best so many grams are voters also below SURE, for labels that are too few for any to be that sure.
 FEW = 40
 #: Values of votes that are made floating-point at once.
@@ -209,8 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text
     n1, all_, base = F.col("n1"), F.col("n0") + F.col("n1"), total[1] / (total[0] + total[1])
     p = (n1 + 0.01) / (all_ + 0.02)
     sure = all_ * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base)))
-    found = counts.filter(n1 >= 2).withColumn("sure", sure).filter((p > base) & (F.col("sure") > 2)).checkpoint()
-    # Every gram past the bound, and the FEW best in any case.
+    lift = (n1 + 0.5) / (total[1] + 1) / ((F.col("n0") + 0.5) / (total[0] + 1))
+    found = counts.filter(n1 >= 2).withColumn("sure", sure).filter((p > base) & (lift >= LIFT) & (F.col("sure") > 2)).checkpoint()
+    # Every such gram past the bound, and the FEW best of them in any case.
     best = {r["g"]: r["sure"] for part in (found.filter(F.col("sure") > SURE), found.orderBy(F.desc("sure"), "g").limit(FEW)) for r in part.select("g", "sure").collect()}
     if not best:
         return Model([], None)

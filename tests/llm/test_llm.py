@@ -390,6 +390,17 @@ def test_toxicity_keeps_rare_words_of_large_vocabularies(spark):
     assert {f"w:{w}" for w in words} <= set(model.matcher.at)
 
 
+def test_toxicity_leaves_common_words_alone(spark):
+    rng = np.random.default_rng(4)
+    words = np.array([f"{a}{b}rn" for a in "bcdfghkl" for b in "aeiou"])
+    texts = [(" ".join([*words[rng.random(40) < (0.5, 0.56)[y]], *(["zqxk"] if y else [])]), y) for y in (0, 1) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int"), F.lit(True))
+    # Sure as the difference of the common words is, it is small: none of them is a voter.
+    assert {v[2:] for v in model.matcher.at} == {"zqxk"}
+    assert model.score(" ".join(words)) < 0.5 <= model.score(f"{words[0]} zqxk")
+
+
 def test_label_model_finds_weak_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
