@@ -233,6 +233,44 @@ def test_sharding(spark, rows):
     assert {r["count"] for r in sharding.shard(same, shards=3).groupBy("shard").count().collect()} == {1000}
 
 
+@pytest.mark.parametrize("shards", [16, 7])
+def test_sharding_is_a_k_d_tree(spark, shards):
+    """Every split is along the widest dimension, at the row that brings the bytes closest to their share."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    point = docs.select("doc_id", "doc_id", (F.octet_length("text")).alias("size"), *[F.pmod(F.xxhash64(c), F.lit(1 << 16)).alias(c) for c in ("source", "lang")])
+    points = {r[0]: np.array(r[1:], float) for r in point.collect()}
+    span = np.ptp(np.array(list(points.values())), axis=0)
+    span[span == 0] = 1
+    got = sharding.shard(docs, shards=shards).collect()
+    size, leaf = {r["doc_id"]: r["size"] for r in got}, {r["doc_id"]: r["shard"] for r in got}
+
+    def check(first, n):
+        if n == 1:
+            return 1
+        own = [i for i in points if first <= leaf[i] < first + n]
+        left, right = [i for i in own if leaf[i] < first + n // 2], [i for i in own if leaf[i] >= first + n // 2]
+        x = np.array([points[i] for i in own])
+        wide = np.ptp(x, axis=0) / span
+        dims = [d for d in range(4) if wide[d] > wide.max() - 1e-5 and max(points[i][d] for i in left) <= min(points[i][d] for i in right)]
+        assert dims
+        off = sum(size[i] for i in left) - sum(size[i] for i in own) * (n // 2) / n
+        # The rows at the cut: of those with the boundary's values, one more or less would not come closer.
+        edge = max(size[i] for d in dims for i in own if points[i][d] in (max(points[j][d] for j in left), min(points[j][d] for j in right)))
+        assert abs(off) <= edge / 2
+        return check(first, n // 2) + check(first + n // 2, n - n // 2)
+
+    assert check(0, shards) == shards
+
+
+def test_sharding_with_few_bins(spark, monkeypatch):
+    """Many nodes share the bins and rows that may reach the driver; the tree stays the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cut = lambda: sorted((r["doc_id"], r["shard"]) for r in sharding.shard(docs, shards=24).collect())
+    whole = cut()
+    monkeypatch.setattr(sharding, "MOST", 64)
+    assert cut() == whole
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(300, 8)), np.tile(rng.normal(size=8), (150, 1))]).astype(np.float32)
