@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ BLOCK = (
 SENTENCE_END = "[.。！？…；;!?」』]$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; within a lambda an expression is computed each time it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utrim(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

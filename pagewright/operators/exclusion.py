@@ -48,8 +48,8 @@ def split_outside(rects: Column, left: Column, bottom: Column, width: Column, he
     n = F.length(text)
     advance = width / n
     counted = rects if strict_reference else F.filter(rects, lambda r: (bottom < r["y"] + r["height"]) & (r["y"] < bottom + height))
-    inside = lambda i: F.exists(counted, lambda r: (left + i * advance < r["x"] + r["width"]) & (left + (i + 1) * advance > r["x"]))
-    kept = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~inside(i))
+    inside = lambda i, own: F.exists(own, lambda r: (left + i * advance < r["x"] + r["width"]) & (left + (i + 1) * advance > r["x"]))
+    kept = X.let(counted, lambda own: F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~inside(i, own)))
 
     def grow(acc: Column, i: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))

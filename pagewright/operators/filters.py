@@ -57,7 +57,7 @@ def ocr_page_text(blocks: DataFrame, separator: str = " ", mode: str = "smart",
         ordered_text(F.col("text"), F.col("left"), F.col("block_no"), sep=separator).alias("t"),
         F.struct((-(F.min("top") + F.max("height") / 2)).alias("y"), F.greatest(F.max("height"), F.lit(1.0)).alias("font_size"), F.min("left").alias("x0"), F.max(F.col("left") + F.col("width")).alias("x1")).alias("m"),
     )
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "t", "m"))).alias("s"))
+    rows = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "t", "m"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["t"]), "\n")
     text = X.clean_ocr(text) if clean else text
     found = rows.select(*keys, X.utrim(joined(text, F.transform("s", lambda x: x["m"]), F.lit(mode))).alias("markdown"))

@@ -42,9 +42,9 @@ def suppress(detections: DataFrame, limit: float = 0.5, keys=PAGE) -> DataFrame:
     """
     cols = [c for c in detections.columns if c not in keys]
     item = F.struct((-F.col("score")).alias("o"), F.col("row_no").alias("n"), F.struct(*cols).alias("d"))
-    pages = detections.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["d"]).alias("s"))
+    pages = detections.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["d"]).alias("s"))
     kept = F.aggregate("s", F.slice("s", 1, 0), lambda acc, d: F.when(F.exists(acc, lambda k: G.iou(k, d) > limit), acc).otherwise(F.concat(acc, F.array(d))))
-    ranked = F.array_sort(F.transform(kept, lambda d, i: F.struct(d["reading_order"].alias("o"), i.alias("i"), d.alias("d"))))
+    ranked = F.sort_array(F.transform(kept, lambda d, i: F.struct(d["reading_order"].alias("o"), i.alias("i"), d.alias("d"))))
     return pages.select(*keys, F.posexplode(ranked).alias("region_no", "r")).select(*keys, "region_no", "r.d.*")
 
 
@@ -53,20 +53,20 @@ def assign_regions(blocks: DataFrame, regions: DataFrame, keys=PAGE) -> DataFram
 
     Regions come as one array a page, so the join is on the page and not on geometry.
     """
-    own = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col("width") * F.col("height")).alias("area"), "region_no", "x", "y", "width", "height"))).alias("_r"))
+    own = regions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((F.col("width") * F.col("height")).alias("area"), "region_no", "x", "y", "width", "height"))).alias("_r"))
     hit = F.filter("_r", lambda r: G.contains(r, F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2))
     return blocks.join(own, list(keys), "left").withColumn("region_no", F.get(hit, F.lit(0))["region_no"]).drop("_r")
 
 
 def _lines(blocks: DataFrame, keys, separator: str) -> DataFrame:
     rows = ocr_lines(blocks, keys).groupBy(*keys, "line_no").agg(ordered_text(F.col("text"), F.col("left"), F.col("block_no"), sep=separator).alias("t"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]).alias("lines"))
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]).alias("lines"))
 
 
 def _grid(blocks: DataFrame, keys) -> DataFrame:
     cells = grid_cells(blocks, keys).groupBy(*keys, "line_no", "cell_no").agg(ordered_text(F.col("text"), F.col("left"), F.col("block_no"), sep=" ").alias("t"))
-    rows = cells.groupBy(*keys, "line_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "t"))), lambda x: x["t"]).alias("cells"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("grid"))
+    rows = cells.groupBy(*keys, "line_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell_no", "t"))), lambda x: x["t"]).alias("cells"))
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("grid"))
 
 
 def grid_markdown(grid: Column) -> Column:

@@ -36,7 +36,7 @@ def anchored_numbers(items: Column, rule: str) -> Column:
 def _grouped(items: DataFrame, keys, at: Column, cross: Column, size: Column, no: str, rule: str, down: bool) -> DataFrame:
     """Adds line_no (from 1) by an anchored fold over each page's items."""
     first = -at if down else at
-    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(first.alias("o"), cross.alias("c"), F.col(no).alias("no"), at.alias("at"), size.cast("double").alias("size"), F.struct(*[F.col(c) for c in items.columns]).alias("item")))).alias("s"))
+    rows = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(first.alias("o"), cross.alias("c"), F.col(no).alias("no"), at.alias("at"), size.cast("double").alias("size"), F.struct(*[F.col(c) for c in items.columns]).alias("item")))).alias("s"))
     rows = rows.withColumn("n", anchored_numbers(F.transform("s", lambda x: F.struct(x["at"].cast("double").alias("at"), x["size"].alias("size"))), rule))
     rows = rows.select(F.posexplode(F.arrays_zip("s", "n")).alias("seq", "z"))
     return rows.select("z.s.item.*", F.col("z.n").alias("line_no"), "seq")
@@ -74,7 +74,7 @@ def grid_cells(blocks: DataFrame, keys=PAGE, height: str = "height_px", width: s
 
 def ordered_text(value: Column, *order: Column, sep: str) -> Column:
     """Aggregate: values joined in the given order."""
-    own = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))))
+    own = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))))
     return F.array_join(F.transform(own, lambda x: x["v"]), sep)
 
 
@@ -87,7 +87,7 @@ def line_table(lines: DataFrame, keys=PAGE, separator: str = " ", split_gaps: bo
     own = X.utrim(F.col("text"))
     parts = F.coalesce(X.column_gaps(F.col("text")), F.array(own)) if split_gaps else F.array(own)
     found = lines.groupBy(*keys, "line_no").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", parts.alias("p")))), lambda s: s["p"])).alias("cells"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", parts.alias("p")))), lambda s: s["p"])).alias("cells"),
         F.max("y").alias("y"), F.greatest(F.max("font_size"), F.lit(1.0)).alias("font_size"), F.min("x").alias("x0"), F.greatest(F.max(F.col("x") + F.col("width")), F.min("x"), F.lit(0.0)).alias("x1"),
     )
     return found.withColumn("text", F.array_join("cells", glue))
@@ -95,14 +95,14 @@ def line_table(lines: DataFrame, keys=PAGE, separator: str = " ", split_gaps: bo
 
 def page_text(lines: DataFrame, keys=PAGE) -> DataFrame:
     """(keys, markdown, line_meta): lines joined by newlines, and their geometry in the same order."""
-    return lines.groupBy(*keys).agg(ordered_text(F.col("text"), F.col("line_no"), sep="\n").alias("markdown"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "y", "font_size", "x0", "x1"))), lambda x: F.struct(x["y"].alias("y"), x["font_size"].alias("font_size"), x["x0"].alias("x0"), x["x1"].alias("x1"))).alias("line_meta"))
+    return lines.groupBy(*keys).agg(ordered_text(F.col("text"), F.col("line_no"), sep="\n").alias("markdown"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "y", "font_size", "x0", "x1"))), lambda x: F.struct(x["y"].alias("y"), x["font_size"].alias("font_size"), x["x0"].alias("x0"), x["x1"].alias("x1"))).alias("line_meta"))
 
 
 def gfm_page(lines: DataFrame, keys=PAGE) -> DataFrame:
     """(keys, markdown): a page's lines as one table, the first line its header, short rows padded."""
     from .markdown import render_table
 
-    rows = lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("g"))
+    rows = lines.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("g"))
     return rows.select(*keys, render_table(F.get("g", F.lit(0)), F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), pad=True, escape=False).alias("markdown"))
 
 
@@ -119,15 +119,16 @@ def page_geometry(line_meta: DataFrame, keys=PAGE) -> DataFrame:
 
 def upper_median(values: Column) -> Column:
     """The upper median of an array, 0 of none."""
-    own = F.array_sort(values)
-    return F.coalesce(F.get(own, F.floor(F.size(own) / 2).cast("int")), F.lit(0))
+    return X.let(F.sort_array(values), lambda own: F.coalesce(F.get(own, F.floor(F.size(own) / 2).cast("int")), F.lit(0)))
 
 
 def is_table_page(lines: Column) -> Column:
     """Whether an array of lines is a table's: a delimiter-like row, or half of its lines start with a pipe."""
-    own = F.filter(F.transform(lines, X.utrim), lambda x: x != "")
-    pipes = F.filter(own, lambda x: x.startswith("|"))
-    return F.exists(pipes, lambda x: x.contains("---")) | ((F.size(own) > 0) & (2 * F.size(pipes) >= F.size(own)))
+    def test(own: Column) -> Column:
+        pipes = F.filter(own, lambda x: x.startswith("|"))
+        return F.exists(pipes, lambda x: x.contains("---")) | ((F.size(own) > 0) & (2 * F.size(pipes) >= F.size(own)))
+
+    return X.let(F.filter(F.transform(lines, X.utrim), lambda x: x != ""), test)
 
 
 def is_table_like(rows: Column) -> Column:

@@ -43,7 +43,7 @@ def tables_of(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     found = own.groupBy(id_col, "head").agg(
         F.min_by("page", "pos").alias("page"),
         F.min_by("cells", "pos").alias("columns"),
-        F.array_sort(F.collect_list(F.when(F.col("pos") > F.col("head"), F.struct("pos", "cells")))).alias("body"),
+        F.sort_array(F.collect_list(F.when(F.col("pos") > F.col("head"), F.struct("pos", "cells")))).alias("body"),
     )
     at = F.sequence(F.lit(0), F.size("columns") - 1)
     padded = F.transform("body", lambda r: F.transform(at, lambda i: F.coalesce(F.get(r["cells"], i), F.lit(""))))

@@ -14,13 +14,14 @@ def parse_range(spec: Column, page_count: Column) -> Column:
 
     Ranges may run backwards; what can't be read is passed over. Bounds are clipped before they are spread out.
     """
-    number = lambda c: F.regexp_extract(c, r"(?U)^\s*\+?([0-9]{1,18})\s*$", 1).try_cast("long")
-    ends = F.filter(F.transform(F.split(spec, ",", -1), lambda t: F.split(t, "-", -1)), lambda e: F.size(e) <= 2)
-    pairs = F.transform(ends, lambda e: F.struct(number(F.get(e, F.lit(0))).alias("a"), number(F.element_at(e, -1)).alias("b")))
-    pairs = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (F.greatest(p["a"], p["b"]) <= 4294967295))
+    # One match a part that can be read: its first number and, in a range, its second.
+    part = r"(?U)(?<=\A|,)\s*\+?([0-9]{1,18})\s*(?:-\s*\+?([0-9]{1,18})\s*)?(?=,|\z)"
+    numbers = lambda group: F.regexp_extract_all(spec, F.lit(part), group)
+    pairs = F.zip_with(numbers(1), numbers(2), lambda a, b: F.struct(a.cast("long").alias("a"), F.when(b == "", a).otherwise(b).cast("long").alias("b")))
+    pairs = F.filter(pairs, lambda p: F.greatest(p["a"], p["b"]) <= 4294967295)
     clipped = F.transform(pairs, lambda p: F.struct(F.greatest(F.least(p["a"], p["b"]), F.lit(1)).alias("low"), F.least(F.greatest(p["a"], p["b"]), page_count.cast("long")).alias("high")))
     spread = F.transform(F.filter(clipped, lambda p: p["low"] <= p["high"]), lambda p: F.sequence(p["low"], p["high"]))
-    found = F.array_sort(F.array_distinct(F.flatten(spread)))
+    found = F.sort_array(F.array_distinct(F.flatten(spread)))
     return F.when(F.size(found) > 0, found.cast("array<int>"))
 
 
@@ -83,7 +84,7 @@ def convert(pages: DataFrame, specs: DataFrame, mode: str = "guided", id_col: st
     own = in_range(pages, want, id_col)
     joined = join_pages(own.filter("NOT needs_ocr"), mode, "line_meta" in pages.columns)
     text = assemble(joined, id_col=id_col)
-    status = own.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("needs_ocr"), F.col("page")))).alias("ocr_pages"))
+    status = own.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("needs_ocr"), F.col("page")))).alias("ocr_pages"))
     return specs.select(id_col).join(text, id_col, "left").join(status, id_col, "left").select(id_col, F.coalesce("markdown", F.lit("")).alias("markdown"), F.coalesce("ocr_pages", F.array().cast("array<int>")).alias("ocr_pages"))
 
 

@@ -39,31 +39,37 @@ def geometric_break(prev: Column, cur: Column, a: Column, b: Column, left: Colum
 
 def joined(markdown: Column, meta: Column, mode: Column) -> Column:
     """A page's text with its visual lines joined. ``meta``: array of (y, font_size, x0, x1) by line, or null."""
-    own = X.lines(markdown)
-    median = upper_median(F.transform(F.filter(own, lambda x: ~X.blank(x)), lambda x: F.length(X.utrim(x))))
-    left = F.array_min(F.transform(meta, lambda m: m["x0"]))
-    width = F.greatest(F.array_max(F.transform(meta, lambda m: m["x1"])) - left, F.lit(1.0))
-    pairs = F.sequence(F.lit(1), F.greatest(F.size(meta) - 1, F.lit(1)))
-    wrapped = lambda i: (F.get(meta, i)["x0"] - left >= F.get(meta, i)["font_size"] * COLUMN_INDENT) & (F.get(meta, i)["x0"] <= F.get(meta, i - 1)["x1"] + F.get(meta, i)["font_size"] * 0.5)
-    columns = F.coalesce(F.exists(pairs, wrapped), F.lit(False))
-    items = F.transform(own, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-
-    def step(acc: Column, x: Column) -> Column:
-        cur, t = x["line"], X.utrim(x["line"])
-        fence_line = X.is_fence(cur)
+    def folded(own: Column) -> Column:
+        left = F.array_min(F.transform(meta, lambda m: m["x0"]))
+        pairs = F.sequence(F.lit(1), F.greatest(F.size(meta) - 1, F.lit(1)))
+        wrapped = lambda i, left: (F.get(meta, i)["x0"] - left >= F.get(meta, i)["font_size"] * COLUMN_INDENT) & (F.get(meta, i)["x0"] <= F.get(meta, i - 1)["x1"] + F.get(meta, i)["font_size"] * 0.5)
+        page = X.let(left, lambda left: F.struct(
+            upper_median(F.transform(F.filter(own, lambda x: ~X.blank(x)), lambda x: F.length(X.utrim(x)))).alias("median"),
+            left.alias("left"),
+            F.greatest(F.array_max(F.transform(meta, lambda m: m["x1"])) - left, F.lit(1.0)).alias("width"),
+            F.coalesce(F.exists(pairs, lambda i: wrapped(i, left)), F.lit(False)).alias("columns"),
+        ))
+        items = F.transform(own, lambda x, i: F.struct(x.alias("line"), i.alias("i"), X.utrim(x).alias("t")))
+        return X.let(page, lambda page: F.array_join(F.aggregate(items, zero, lambda acc, x: step(acc, x, page))["out"], "\n"))
+
+    def step(acc: Column, x: Column, page: Column) -> Column:
+        last = X.utrim(F.coalesce(F.try_element_at(acc["out"], F.lit(-1)), F.lit("")))
+        seen = F.struct(last.alias("prev"), X.is_fence(x["t"]).alias("fence"))
+        return X.let(seen, lambda s: moved(acc, x, page, s["prev"], s["fence"]))
+
+    def moved(acc: Column, x: Column, page: Column, prev: Column, fence_line: Column) -> Column:
+        cur = x["line"]
         code = acc["code"] != fence_line
-        prev = X.utrim(F.coalesce(F.try_element_at(acc["out"], F.lit(-1)), F.lit("")))
-        apart = (F.size(acc["out"]) == 0) | (t == "") | code | (prev == "") | fence_line | X.is_fence(prev) | t.startswith("|") | prev.startswith("|")
+        apart = (F.size(acc["out"]) == 0) | (x["t"] == "") | code | (prev == "") | fence_line | X.is_fence(prev) | x["t"].startswith("|") | prev.startswith("|")
         a, b = F.get(meta, x["i"] - 1), F.get(meta, x["i"])
-        by_text = textual_break(prev, cur, median)
-        hard = F.when(mode == "none", False).when(a.isNotNull() & b.isNotNull(), geometric_break(prev, cur, a, b, left, width, columns)).otherwise(by_text)
-        last = F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
-        out = F.when(apart | hard, F.concat(acc["out"], F.array(cur))).otherwise(F.concat(last, F.array(X.join_pieces(prev, cur))))
+        by_text = textual_break(prev, cur, page["median"])
+        hard = F.when(mode == "none", False).when(a.isNotNull() & b.isNotNull(), geometric_break(prev, cur, a, b, page["left"], page["width"], page["columns"])).otherwise(by_text)
+        rest = F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
+        out = F.when(apart | hard, F.concat(acc["out"], F.array(cur))).otherwise(F.concat(rest, F.array(X.join_pieces(prev, cur))))
         return F.struct(out.alias("out"), code.alias("code"))
 
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code"))
-    text = F.array_join(F.aggregate(items, zero, step)["out"], "\n")
-    return F.when((mode == "guided") | (F.size(own) <= 1) | is_table_page(own), markdown).otherwise(text)
+    return X.let(X.lines(markdown), lambda own: F.when((mode == "guided") | (F.size(own) <= 1) | is_table_page(own), markdown).otherwise(folded(own)))
 
 
 def join_pages(pages: DataFrame, mode: str = "guided", has_meta: bool = True) -> DataFrame:

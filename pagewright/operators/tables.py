@@ -98,7 +98,7 @@ def guided_records(rows: Column, merge_cols: Column) -> Column:
 def _lines_of(lines: DataFrame, keys, more: list[str], y: Column, size: Column) -> DataFrame:
     """(keys, line_no, items, y, font_size): one row a line, items in reading order."""
     return lines.groupBy(*keys, *more, "line_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "text", "x", "width"))), lambda s: F.struct(s["text"].alias("text"), s["x"].alias("x"), s["width"].alias("width"))).alias("items"),
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "text", "x", "width"))), lambda s: F.struct(s["text"].alias("text"), s["x"].alias("x"), s["width"].alias("width"))).alias("items"),
         F.max(y).alias("y"), F.max(size).alias("font_size"),
     )
 
@@ -115,7 +115,7 @@ def vertical_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", k
     lines = _lines_of(table_lines(elements, keys), keys, [], F.col("y"), F.col("font_size"))
     rows = lines.join(draw.select(*keys, column_bounds(F.col("v_lines"), F.col("page_width")).alias("bounds"), "merge_cols"), list(keys))
     rows = rows.withColumn("cells", cut_line(F.col("items"), F.col("bounds")))
-    pages = rows.groupBy(*keys).agg(F.any_value("merge_cols").alias("merge_cols"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "y", "font_size", "cells"))), lambda r: F.struct(r["y"].alias("y"), r["font_size"].alias("font_size"), r["cells"].alias("cells"))).alias("r"))
+    pages = rows.groupBy(*keys).agg(F.any_value("merge_cols").alias("merge_cols"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "y", "font_size", "cells"))), lambda r: F.struct(r["y"].alias("y"), r["font_size"].alias("font_size"), r["cells"].alias("cells"))).alias("r"))
     return _as_table(pages, keys, guided_records(F.col("r"), F.coalesce("merge_cols", F.array().cast("array<int>"))) if mode == "guided" else fold_continuations(F.col("r")))
 
 
@@ -131,7 +131,7 @@ def grid_tables(elements: DataFrame, draw: DataFrame, keys=PAGE) -> DataFrame:
     own = own.withColumn("band", F.size("bands") - 2 - band).filter("band IS NOT NULL").drop("bands")
     lines = _lines_of(table_lines(own, (*keys, "band")), (*keys, "band"), [], F.col("y"), F.col("font_size"))
     rows = lines.join(plan, list(keys)).withColumn("cells", cut_line(F.col("items"), F.col("bounds")))
-    bands = rows.groupBy(*keys, "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("g"))
+    bands = rows.groupBy(*keys, "band").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("g"))
     merged = bands.withColumn("cells", F.transform(F.get("g", F.lit(0)), lambda _, c: X.join_fragments(F.transform("g", lambda line: F.get(line, c)))))
     by_band = merged.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("m"))
     pages = plan.join(by_band, list(keys))
@@ -149,7 +149,7 @@ def rectangle_tables(elements: DataFrame, draw: DataFrame, keys=PAGE) -> DataFra
     box = F.struct(F.col("x"), F.col("y"), F.col("width"), F.col("font_size").alias("height"))
     own = elements.join(boxes, list(keys)).filter(G.overlaps(box, F.col("r")) & ~X.blank(F.col("text"))).drop("r")
     lines = _lines_of(table_lines(own, (*keys, "rect_no")), (*keys, "rect_no"), [], F.col("y"), F.col("font_size"))
-    tables = lines.groupBy(*keys, "rect_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "items"))), lambda x: F.transform(x["items"], lambda i: X.utrim(i["text"]))).alias("g"))
+    tables = lines.groupBy(*keys, "rect_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "items"))), lambda x: F.transform(x["items"], lambda i: X.utrim(i["text"]))).alias("g"))
     n = F.size(F.get("g", F.lit(0)))
     one = F.transform("g", lambda r: F.array(F.array_join(r, " ")))
     many = F.transform("g", lambda r: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(r, i), F.lit(""))))
@@ -170,10 +170,10 @@ def image_tables(blocks: DataFrame, draw: DataFrame, mode: str = "smart", keys=P
     own = own.withColumn("band", F.when(F.col("banded"), G.band_of(F.col("bands"), F.col("top") + F.col("height") / 2)).otherwise(0))
     own = own.filter("band IS NOT NULL").withColumn("col", G.band_of(F.transform("bounds", lambda b: b - 1e-3), F.col("left") + F.col("width") / 2))
     lines = image_table_lines(own, (*keys, "band"))
-    cells = lines.filter("col IS NOT NULL").groupBy(*keys, "band", "line_no", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), separator).alias("text"), F.max(-F.col("top")).alias("y"), F.max("height").alias("size"))
+    cells = lines.filter("col IS NOT NULL").groupBy(*keys, "band", "line_no", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), separator).alias("text"), F.max(-F.col("top")).alias("y"), F.max("height").alias("size"))
     rows = cells.groupBy(*keys, "band", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("y").alias("y"), F.max("size").alias("font_size"))
     rows = rows.join(plan, list(keys)).withColumn("cells", F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), lambda c: X.utrim(F.coalesce(F.element_at("m", c), F.lit("")))))
-    pages = rows.groupBy(*keys).agg(F.any_value("banded").alias("banded"), F.any_value("merge_cols").alias("merge_cols"), F.any_value("bands").alias("bands"), F.any_value("bounds").alias("bounds"), F.array_sort(F.collect_list(F.struct("band", "line_no", "y", "font_size", "cells"))).alias("r"))
+    pages = rows.groupBy(*keys).agg(F.any_value("banded").alias("banded"), F.any_value("merge_cols").alias("merge_cols"), F.any_value("bands").alias("bands"), F.any_value("bounds").alias("bounds"), F.sort_array(F.collect_list(F.struct("band", "line_no", "y", "font_size", "cells"))).alias("r"))
     visual = F.transform("r", lambda r: F.struct(r["y"].alias("y"), r["font_size"].alias("font_size"), r["cells"].alias("cells")))
     folded = guided_records(visual, F.col("merge_cols")) if mode == "guided" else fold_continuations(visual)
     at = F.sequence(F.lit(0), F.size("bounds") - 2)
@@ -261,7 +261,7 @@ def merge_into_markdown(docs: DataFrame, tables: DataFrame, id_col: str = "doc_i
         render_table(F.col("columns"), F.col("rows"), pad=False, escape=False, trailing_newline=True),
     )
     parts = tables.select(F.col(id_col).alias("id"), "table_no", chunk.alias("c"))
-    own = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "c"))), lambda x: x["c"]), "").alias("drawn"))
+    own = parts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("table_no", "c"))), lambda x: x["c"]), "").alias("drawn"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(own, "id", "left")
     merged = F.when(F.col("drawn").isNull(), F.col("t")).when(X.blank(F.col("t")), F.col("drawn")).otherwise(F.concat(X.utrim(F.col("t")), F.lit(DRAWN), F.col("drawn")))
     return rows.select(*[merged.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
