@@ -12,6 +12,11 @@ link, and linked documents form components. The index has two kinds of nodes:
 
 Equal fingerprints are one entry of the index, so copies cost nothing there. Each node returns a spanning forest of its
 links (not all pairs), and rounds of star contraction, each cut by a checkpoint, turn the edges into components.
+
+Groups by the similarity of word shingles (``keep_one`` with ``least``) use the same index twice. A changed word changes
+five five-word shingles but one word, so texts whose shingles are 0.8 alike differ by few bits in a fingerprint of their
+distinct words. The index finds the fingerprints with a neighbour within ``WIDE`` bits; only those enter it again, each
+with a sketch of its shingles (two bits of each of 256 minima), and link where the sketches agree as well.
 """
 
 from __future__ import annotations
@@ -24,10 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fields, partitions, pick, prepare, word_spans
+from .common import fields, mixed, partitions, pick, prepare, word_spans
 
 BITS = 64
 LEAF = 64
+#: Bits that fingerprints of distinct words may differ by, where a sketch decides.
+WIDE = 6
+#: Minima of a sketch, and how far below the wanted similarity a sketch's estimate may lie (its deviation is 0.03).
+MINIMA, SLACK = 256, 0.04
+_MULTIPLY, _ADD = np.split(mixed(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 2)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -59,6 +69,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"id {kind}, fp long"))
 
 
+def word_fingerprint(words: list[bytes]) -> int:
+    """The fingerprint of the distinct words, each once; zero if there is none."""
+    if not words:
+        return 0
+    hashes = np.array([xxh64_intdigest(w, 42) for w in set(words)], "<u8")
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def sketch(words: list[bytes], width: int = 5) -> bytes:
+    """Two bits of each of ``MINIMA`` minima over the word shingles (fewer words: the whole sequence; none: all zero)."""
+    if not words:
+        return bytes(MINIMA // 4)
+    last = max(1, len(words) - width + 1)
+    hashes = np.array(list({xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(last)}), np.uint64)
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[at : at + 256, None] * (_MULTIPLY | np.uint64(1)) + _ADD).min(axis=0), out=least)
+    two = mixed(least)
+    return np.packbits(np.stack([two & np.uint64(1), two >> np.uint64(1) & np.uint64(1)], axis=1).astype(np.uint8)).tobytes()
+
+
+def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, fp long, sketch binary) of each row: its words' fingerprint and its shingles' sketch."""
+
+    def run(batches):
+        for b in batches:
+            words = [(t or "").encode().translate(_LOWER).split() for t in b.column(1).to_pylist()]
+            found = np.array([word_fingerprint(w) for w in words], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array([sketch(w, width) for w in words], pa.binary())], names=["id", "fp", "sketch"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"id {kind}, fp long, sketch binary"))
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their minima two sketches (rows of words) differ in."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
+
+
+def allowed(least: float) -> int:
+    """The minima that two sketches may differ in: shingles that differ still agree in two bits by chance one time in four."""
+    return int(MINIMA * 0.75 * (1 - least + SLACK))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each code in Gray order."""
     x = x.copy()
@@ -73,9 +131,10 @@ def masks(bits: list[int], distance: int) -> list[int]:
     return [a | b for a, b in combinations(blocks, 2)]
 
 
-def forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct codes below one node."""
-    codes = codes[np.argsort(gray_rank(codes))]
+def spanning(codes: np.ndarray, distance: int, sketches: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the codes below one node: pairs of places."""
+    order = np.argsort(gray_rank(codes), kind="stable")
+    codes, sketches = codes[order], None if sketches is None else sketches[order]
     n = len(codes)
     leaves = np.arange(0, n, LEAF)
     ones, zeros = np.bitwise_and.reduceat(codes, leaves), np.bitwise_and.reduceat(~codes, leaves)
@@ -96,17 +155,25 @@ def forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             members = members[members < n]
             members = members[free[members]]
             members = members[np.bitwise_count(codes[members] ^ codes[x]) <= distance]
+            if sketches is not None:
+                members = members[unlike(sketches[members], sketches[x]) <= limit]
             free[members] = False
             np.subtract.at(left, members // LEAF, 1)
-            a.append(np.full(len(members), codes[x]))
-            b.append(codes[members])
+            a.append(np.full(len(members), x))
+            b.append(members)
             queue.extend(members.tolist())
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    none = np.zeros(0, np.int64)
+    return order[np.concatenate([none, *a])], order[np.concatenate([none, *b])]
 
 
-def node_links(node: np.ndarray, codes: np.ndarray, distance: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links below each of many nodes; equal values of ``node`` stand together."""
+def forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct codes below one node."""
+    a, b = spanning(codes, distance)
+    return codes[a], codes[b]
+
+
+def node_links(node: np.ndarray, codes: np.ndarray, distance: int, sketches: np.ndarray | None = None, limit: int = 0, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Links below each of many nodes, as pairs of places; equal values of ``node`` stand together."""
     cut = np.flatnonzero(np.diff(node)) + 1
     starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(node)]])
     size = ends - starts
@@ -115,54 +182,68 @@ def node_links(node: np.ndarray, codes: np.ndarray, distance: int, small: int =
     for step in range(1, min(small, int(size.max(initial=0)))):
         i = np.flatnonzero((node[step:] == node[:-step]) & few[step:])
         i = i[np.bitwise_count(codes[i] ^ codes[i + step]) <= distance]
-        a.append(codes[i])
-        b.append(codes[i + step])
+        if sketches is not None:
+            i = i[unlike(sketches[i], sketches[i + step]) <= limit]
+        a.append(i)
+        b.append(i + step)
     for s, e in zip(starts[size > small].tolist(), ends[size > small].tolist(), strict=True):
-        x, y = forest(codes[s:e], distance)
-        a.append(x)
-        b.append(y)
-    none = np.zeros(0, np.uint64)
+        x, y = spanning(codes[s:e], distance, None if sketches is None else sketches[s:e], limit)
+        a.append(x + s)
+        b.append(y + s)
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14) -> DataFrame:
+def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14, least: float | None = None) -> DataFrame:
     """(u, v): edges that connect all distinct codes ``fp`` within ``distance`` of each other, u > v.
 
-    Exact at any size: an upper node over ``node_limit`` is split by masks over its other bits, three levels deep;
-    what is then still larger differs in a few bits only, and its leaves pass each other over as wholes.
+    With ``least``, codes also hold a ``sketch`` and a ``key`` that names both; edges are pairs of keys whose sketches
+    agree too. Exact at any size: an upper node over ``node_limit`` is split by masks over its other bits, three levels
+    deep; what is then still larger differs in a few bits only, and its leaves pass each other over as wholes.
     """
     spark = codes.sparkSession
+    carried = ["fp"] if least is None else ["fp", "key", "sketch"]
+    kinds = ", ".join(f"{c} {dict(codes.dtypes)[c]}" for c in carried)
+    name, limit = carried[-1 if least is None else 1], 0 if least is None else allowed(least)
 
     def search(batches):
-        node, code = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            node = np.concatenate([node, b.column(0).to_numpy()])
-            code = np.concatenate([code, b.column(1).to_numpy().view(np.uint64)])
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            node = held.column("node").to_numpy()
             keep = int(np.searchsorted(node == node[-1], True))  # the last node may go on in the next batch
-            yield from told(*node_links(node[:keep], code[:keep], distance))
-            node, code = node[keep:], code[keep:]
-        yield from told(*node_links(node, code, distance))
-
-    def told(a, b):
+            yield from told(held.slice(0, keep))
+            held = held.slice(keep)
+        if held is not None:
+            yield from told(held)
+
+    def told(t):
+        if not t.num_rows:
+            return
+        sketches = None if least is None else np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
+        a, b = node_links(t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), distance, sketches, limit)
         if len(a):
-            a, b = a.view(np.int64), b.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+            names = t.column(name).to_numpy()
+            a, b = names[a], names[b]
+            swap = a < b
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a)), pa.array(np.where(swap, a, b))], names=["u", "v"])
 
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     # Upper nodes: the mask and the bits under it. A node's number is a hash of both; should two nodes ever share a
     # number, they are searched as one, which finds the same links.
     level = [(m, i) for i, m in enumerate(masks(list(range(BITS)), distance))]
-    at = codes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for m, i in level])).alias("n"), "fp")
-    at = at.select(F.xxhash64("n.mask", "n.bits").alias("node"), F.col("n.mask").alias("mask"), "fp")
+    at = codes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for m, i in level])).alias("n"), *carried)
+    at = at.select(F.xxhash64("n.mask", "n.bits").alias("node"), F.col("n.mask").alias("mask"), *carried)
     found = None
     for depth in range(3):
         sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > node_limit).select("node")
         large = sizes.checkpoint() if depth < 2 else None
         many = bool(large is not None and large.take(1))
         small = at.join(large, "node", "left_anti") if many else at
-        own = small.select("node", "fp").repartition(partitions(spark), "node").sortWithinPartitions("node").mapInArrow(search, fields("u long, v long"))
+        own = small.select("node", *carried).repartition(partitions(spark), "node").sortWithinPartitions("node").mapInArrow(search, fields("u {0}, v {0}".format(dict(codes.dtypes)[name])))
         found = own if found is None else found.unionByName(own)
         if not many:
             break
@@ -171,14 +252,16 @@ def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14) -> Dat
 
         def split(batches, lower=lower):
             for b in batches:
-                mask, code = b.column("mask").to_numpy(), b.column("fp").to_numpy()
+                mask = b.column("mask").to_numpy()
                 for i in np.unique(mask):
-                    own = code[mask == i]
+                    own = b.filter(pa.array(mask == i)).select(carried)
+                    code = own.column("fp").to_numpy().view(np.uint64)
                     for m, k in lower[int(i)]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array((own.view(np.uint64) & np.uint64(m)).view(np.int64)), pa.array(own)], names=["mask", "bits", "fp"])
+                        under = [pa.array(np.full(len(code), k, np.int32)), pa.array((code & np.uint64(m)).view(np.int64))]
+                        yield pa.RecordBatch.from_arrays([*under, *own.columns], names=["mask", "bits", *carried])
 
-        at = at.join(large, "node", "left_semi").select("mask", "fp").mapInArrow(split, fields("mask int, bits long, fp long"))
-        at = at.select(F.xxhash64("mask", "bits").alias("node"), "mask", "fp")
+        at = at.join(large, "node", "left_semi").select("mask", *carried).mapInArrow(split, fields(f"mask int, bits long, {kinds}"))
+        at = at.select(F.xxhash64("mask", "bits").alias("node"), "mask", *carried)
         level = [x for own in lower.values() for x in own]
     return found.distinct()
 
@@ -217,14 +300,25 @@ def components(edges: DataFrame) -> DataFrame:
 SALTS = 32
 
 
-def _named(each: DataFrame, distance: int, node_limit: int) -> DataFrame:
+def _similar(each: DataFrame, least: float, node_limit: int) -> DataFrame:
+    """(u, v): keys of texts, of rows ``fp``, ``sketch``, ``key``, linked where words and sketches agree."""
+    codes = each.select("fp", "key", "sketch").groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("fp", "key", "sketch").checkpoint()
+    several = codes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    near = links(several.select("fp"), WIDE, node_limit)
+    near = near.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(several.filter("n > 1").select("fp")).distinct().checkpoint()
+    return links(codes.join(near, "fp", "left_semi").checkpoint(), WIDE, node_limit, least)
+
+
+def _named(each: DataFrame, distance: int, node_limit: int, edges: DataFrame | None = None) -> DataFrame:
     """(fp, best): of each fingerprint the smallest ``best`` among the rows of its component. each: fp, best.
 
+    ``edges`` (u, v) links fingerprints, or any other names in their place; without it those within ``distance`` link.
+
     Only components of several fingerprints are joined, and their members by root and salt, so that a component that
     holds a third of all fingerprints meets its name in many tasks.
     """
     codes = each.groupBy("fp").agg(F.min("best").alias("best")).checkpoint()
-    roots = components(links(codes.select("fp"), distance, node_limit)).withColumnsRenamed({"node": "fp"})
+    roots = components(links(codes.select("fp"), distance, node_limit) if edges is None else edges).withColumnsRenamed({"node": "fp"})
     named = codes.join(roots, "fp", "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     named = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).checkpoint()
     names = named.groupBy("root").agg(F.min("best").alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -246,18 +340,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("best.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, node_limit: int = 1 << 14) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, node_limit: int = 1 << 14, least: float | None = None) -> DataFrame:
     """One row of each component, all columns: that with the smallest id, null ids last.
 
     Rows with that same id are told apart by a 128-bit key of their texts, the smallest wins; of rows with the same id
     and the same text any one stays. So ids may repeat, and no two rows that stay are within ``distance``.
+
+    With ``least``, texts link not by ``distance`` but where the sets of their shingles of ``width`` words are ``least``
+    alike or more (Jaccard), as the sketches estimate it less ``SLACK``. Texts without a word are alike.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
-    each = fingerprints(docs.select(key.alias("best"), F.col(f"`{text_col}`").alias("text")), "best", "text", width).withColumnRenamed("id", "best").checkpoint()
+    texts, edges = docs.select(key.alias("best"), F.col(f"`{text_col}`").alias("text")), None
+    if least is None:
+        each = fingerprints(texts, "best", "text", width).withColumnRenamed("id", "best").checkpoint()
+    else:
+        each = sketched(texts, "best", "text", width).withColumnRenamed("id", "best")
+        each = each.withColumn("key", F.md5(F.concat(F.col("fp").cast("string").cast("binary"), "sketch"))).checkpoint()
+        edges = _similar(each, least, 8 * node_limit)  # 28 entries a code here, so splits cost more than large nodes
+        each = each.select("best", F.col("key").alias("fp"))
     # A name is the key of the row that stays, so the names of all components are the rows to keep.
-    chosen = _named(each, distance, node_limit).select("best").distinct()
+    chosen = _named(each, distance, node_limit, edges).select("best").distinct()
     several = each.groupBy("best").agg(F.count(F.lit(1)).alias("n"))
     chosen = chosen.join(several, "best").select("best", (F.col("n") > 1).alias("again")).checkpoint()
     # The row's own columns travel in a struct, so that their names clash with nothing.

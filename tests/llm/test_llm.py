@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out rows, and on awkward tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -648,3 +649,52 @@ def test_stages_on_awkward_rows(spark, awkward, rows):
         assert Counter(r["doc_id"] for r in docs.filter("piece = 0").collect()) == Counter([1, None, 5, 7, 9, -4])
     else:
         assert docs.collect() == []
+
+
+def shingles_of(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_keep_one_by_similarity(spark):
+    """Of 120 texts with altered copies: each group by brute-force similarity is met, and nothing unlike goes."""
+    draw = random.Random(3)
+    vocabulary_ = [f"w{draw.randrange(10**6)}" for _ in range(3000)]
+    rows = []
+    for k in range(120):
+        words = [draw.choice(vocabulary_) for _ in range(draw.choice((9, 60, 200, 900)))]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 5):
+            other = list(words)
+            for _ in range(draw.randrange(1, 1 + max(1, len(words) // (30, 60, 9, 40)[c - 1]))):
+                other[draw.randrange(len(other))] = draw.choice(vocabulary_)
+            rows.append((10 * k + c, " ".join(other)))
+    sets = {i: shingles_of(t) for i, t in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), width=5, least=0.8).collect()}
+    wanted = [i for i in sets if any(alike(i, j) >= 0.8 for j in range(i - i % 10, i))]
+    assert len(wanted) > 100 and sum(i not in kept for i in wanted) >= 0.95 * len(wanted)
+    for i in sets:  # a text that goes has a partner not far below the bound; all firsts stay
+        others = [j for j in range(i - i % 10, i - i % 10 + 5) if j != i]
+        assert i in kept or max(alike(i, j) for j in others) > 0.65
+    assert all(i in kept for i in sets if i % 10 == 0)
+
+
+def test_keep_one_by_similarity_awkward(spark, awkward):
+    kept = simhash.keep_one(awkward, width=5, least=0.8)
+    assert kept.columns == awkward.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, None, 2, 5, 7, 8, 9, -4])
+    assert simhash.keep_one(awkward.limit(0), width=5, least=0.8).collect() == []
+
+
+def test_similarity_splits_large_nodes(spark):
+    """Texts of the same words in other orders share a fingerprint but are not alike; their copies with one more word are."""
+    draw = random.Random(5)
+    words = [f"v{k}" for k in range(60)]
+    rows = []
+    for k in range(12):
+        draw.shuffle(words)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1 << 14, 2):
+        assert sorted(r["doc_id"] for r in simhash.keep_one(table, width=5, least=0.8, node_limit=n).collect()) == list(range(0, 24, 2))
