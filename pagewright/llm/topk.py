@@ -14,7 +14,8 @@ so a pair of nodes is passed over, with all below it, when that is under the wor
    all vectors. Cells larger than a block are dealt into blocks; neighbouring cells' queries form a query group.
 2. A query group searches one block near by for its first k-th scores, then descends together with the upper tree: its
    own tree on one side, cells on the other. What is left are blocks that can hold a better score.
-3. Group and block meet in a join by block; again both trees, now down to their leaves, are descended together.
+3. Blocks stand on shelves, neighbours together, and a group goes once to each shelf that holds a block of its own, not
+   once to each block. There both trees, now down to their leaves, are descended together, block after block.
 
 Results are exact: the bound is never below a score, and ties with the k-th score are kept. How much is passed over
 depends on the data alone; vectors without structure, such as random directions, leave nothing to pass over, and then
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import Scratch, fields
+from .common import Scratch, fields, partitions
 
 #: Most vectors of a query group and of a block, and most components of either, so that a block is 2 MB at most.
 QUERIES, ROWS = 1024, 4096
@@ -41,6 +42,8 @@ NONE = -(1 << 63)
 #: Components beyond this are left out of the trees' geometry; nodes that hold one are never passed over.
 FAR = 1e100
 _PARTS = 1 << 20
+#: Most blocks of a shelf, which a worker holds at once (64 MB).
+SHELF = 32
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,6 +220,23 @@ def search(q_rows: np.ndarray, q: np.ndarray, worst: np.ndarray, x_rows: np.ndar
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def drawn(rows: DataFrame, n: int, most: int, pack) -> list[bytes]:
+    """``most`` (or all) of the vectors of ``n`` rows (row, id, v), packed: those with the smallest hashes.
+
+    Only rows below a bound on the hash leave the executors, few more than ``most`` of them. (A sort with a limit sends
+    ``most`` rows of every partition to the driver, so that a table of many partitions comes there whole.)
+    """
+    share = min(1.0, (most + 8 * most**0.5 + 64) / n)
+    bound = min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("h"), pack(b.column("v").to_pylist())], names=["h", "v"])
+
+    found = rows.select(F.xxhash64("row", "id").alias("h"), "v").filter(F.col("h") <= bound).mapInArrow(run, fields("h long, v binary"))
+    return [bytes(r["v"]) for r in sorted(found.collect(), key=lambda r: r["h"])[:most]]
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(scale * x) for each row where ``queries`` holds.
 
@@ -252,8 +272,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), dim)
 
     sampled = max(1, min(DRAWN * -(-size["n"] // CELL), SAMPLED // dim))
-    draws = rows.select("v", F.xxhash64("row", "id").alias("h")).orderBy("h").limit(sampled).select("v").collect()
-    upper = Tree(whole([r["v"] for r in draws]), 2 * DRAWN)
+    upper = Tree(matrix(drawn(rows, size["n"], sampled, lambda v: packed(whole(v)))), 2 * DRAWN)
 
     def assign(batches):
         for b in batches:
@@ -276,6 +295,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     # A cell's blocks; a query group is the highest node with few enough queries, or part of a cell.
     most_rows, most_asks = max(1, min(ROWS, COMPONENTS // dim)), max(1, min(QUERIES, COMPONENTS // dim))
     blocks = -(-count // most_rows)
+    # Blocks are numbered in the order of the tree, so that a shelf holds neighbours.
+    number = np.zeros(len(count), np.int64)
+    leaves = np.flatnonzero(upper.leaf)[np.argsort(upper.low[upper.leaf], kind="stable")]
+    number[leaves] = np.cumsum(blocks[leaves]) - blocks[leaves]
+    wide = int(min(SHELF, max(1, blocks[leaves].sum() // (2 * partitions(spark)))))
     group, seed_of = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
     largest = upper.upward(np.where(upper.leaf, np.arange(len(count)), 0), lambda own: own[count[own].argmax()])
     for n in range(len(count)):  # parents come first
@@ -295,60 +319,86 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
         for b in batches:
             cell = b.column("cell").to_numpy()
             spread = (b.column("row").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            block = cell * _PARTS + (spread % blocks[cell].astype(np.uint64)).astype(np.int64)
+            part = (spread % blocks[cell].astype(np.uint64)).astype(np.int64)
             of = (group[cell] - 1) * _PARTS + (spread % parts[group[cell] - 1].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "id", "v", "is_query")], pa.array(block), pa.array(of), pa.array(seed_of[group[cell] - 1] * _PARTS)], names=["row", "id", "v", "is_query", "block", "of", "seed"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "id", "v", "is_query")], pa.array(cell * _PARTS + part), pa.array((number[cell] + part) // wide), pa.array(of), pa.array(seed_of[group[cell] - 1] * _PARTS)], names=["row", "id", "v", "is_query", "block", "shelf", "of", "seed"])
 
-    placed = each.select("row", "id", "v", "is_query", "cell").mapInArrow(dealt, fields("row long, id long, v binary, is_query boolean, block long, of long, seed long"))
+    placed = each.select("row", "id", "v", "is_query", "cell").mapInArrow(dealt, fields("row long, id long, v binary, is_query boolean, block long, shelf long, of long, seed long"))
     members = F.collect_list(F.struct("row", "id", "v"))
-    data = scratch.put("data", placed.groupBy("block").agg(members.alias("m")))
+
+    def stacked(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                m = b.column("m")[i].values
+                own, raw = np.argsort(m.field("row").to_numpy()), m.field("v").to_pylist()
+                columns = [m.field(c).to_numpy()[own].astype("<i8").tobytes() for c in ("row", "id")] + [b"".join([raw[k] for k in own])]
+                yield pa.RecordBatch.from_arrays([b.column("shelf").slice(i, 1), b.column("block").slice(i, 1), *[pa.array([c], pa.binary()) for c in columns]], names=["shelf", "block", "rows", "ids", "v"])
+
+    blocked = placed.groupBy("shelf", "block").agg(members.alias("m")).select("shelf", "block", "m")
+    data = scratch.put("data", blocked.mapInArrow(stacked, fields("shelf long, block long, rows binary, ids binary, v binary")))
     ask = placed.filter("is_query").groupBy("of", "seed").agg(members.alias("q"))
 
     def unpack(m):
         m = sorted(m, key=lambda r: r["row"])
         return np.array([r["row"] for r in m], np.int64), np.array([r["id"] for r in m], np.int64), matrix([r["v"] for r in m])
 
+    def unstack(b, i):
+        rows, ids, v = [np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("rows", "<i8"), ("ids", "<i8"), ("v", "<f8"))]
+        return rows, ids, v.reshape(-1, dim)
+
     def seed(batches):
         for b in batches:
             for i in range(b.num_rows):
                 q_rows, q_ids, q = unpack(b.column("q")[i].as_py())
                 worst = np.full(len(q), NONE, np.int64)
-                if m := b.column("m")[i].as_py():
-                    x_rows, x_ids, x = unpack(m)
+                if b.column("rows")[i].is_valid:
+                    x_rows, x_ids, x = unstack(b, i)
                     at, _, scores = search(q_rows, q, worst, x_rows, x_ids, x, k)
                     full = np.bincount(at, minlength=len(q)) >= k
                     np.minimum.at(least := np.full(len(q), -NONE - 1, np.int64), at, scores)
                     worst[full] = least[full]
                 _, cells, _ = leaf_pairs(Tree(q), worst, upper)
-                targets = [int(c) * _PARTS + p for c in np.unique(cells) for p in range(blocks[c])]
+                targets: dict[int, list[int]] = {}
+                for c in np.unique(cells).tolist():
+                    for p in range(blocks[c]):
+                        targets.setdefault(int(number[c] + p) // wide, []).append(c * _PARTS + p)
                 columns = [[v.tobytes()] for v in (q_rows.astype("<i8"), q_ids.astype("<i8"), q.astype("<f8"), worst.astype("<i8"))]
-                yield pa.RecordBatch.from_arrays([b.column("of").slice(i, 1), *[pa.array(c, pa.binary()) for c in columns], pa.array([targets], pa.list_(pa.int64()))], names=["of", "q_rows", "q_ids", "q", "worst", "blocks"])
+                shelves = pa.array([[{"shelf": n, "blocks": own} for n, own in targets.items()]], pa.list_(pa.struct([("shelf", pa.int64()), ("blocks", pa.list_(pa.int64()))])))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], shelves], names=["rows", "ids", "v", "worst", "shelves"])
 
-    first = data.filter(F.col("block") % _PARTS == 0).select(F.col("block").alias("seed"), "m")
-    seeded = scratch.put("queries", ask.join(first, "seed", "left").select("of", "q", "m").mapInArrow(seed, fields("of long, q_rows binary, q_ids binary, q binary, worst binary, blocks array<long>")))
-    # Joined by block, not by cell, so that a cell with a third of all rows spreads over as many keys as it has blocks.
-    met = seeded.select("of", "q_rows", "q_ids", "q", "worst", F.explode("blocks").alias("block")).join(data, "block")
+    first = data.filter(F.col("block") % _PARTS == 0).select(F.col("block").alias("seed"), "rows", "ids", "v")
+    seeded = scratch.put("queries", ask.join(first.hint("merge"), "seed", "left").select("q", "rows", "ids", "v").mapInArrow(seed, fields("rows binary, ids binary, v binary, worst binary, shelves array<struct<shelf: long, blocks: array<long>>>")))
+    # Dealt by shelf, not by cell, so that a cell with a third of all rows spreads over many tasks; and not joined, since
+    # Spark takes the exploded groups for as small as they were and would broadcast all of their copies.
+    asked = seeded.select("rows", "ids", "v", "worst", F.explode("shelves").alias("s")).select("s.shelf", F.lit(None).cast("long").alias("block"), "rows", "ids", "v", "worst", "s.blocks")
+    held = data.select("shelf", "block", "rows", "ids", "v", F.lit(None).cast("binary").alias("worst"), F.lit(None).cast("array<long>").alias("blocks"))
+    met = held.unionByName(asked).repartition(partitions(spark), "shelf").sortWithinPartitions("shelf", F.col("block").isNull())
 
     def meet(batches):
-        known: dict[tuple, tuple] = {}
+        at_shelf, known = None, {}
         for b in batches:
             for i in range(b.num_rows):
-                if len(known) > 8:
-                    known.clear()
-                key = ("x", b.column("block")[i].as_py())
-                if key not in known:
-                    own = unpack(b.column("m")[i].as_py())
-                    known[key] = *own, Tree(own[2])
-                x_rows, x_ids, x, x_tree = known[key]
-                key = ("q", b.column("of")[i].as_py())
-                if key not in known:
-                    own = [np.frombuffer(b.column(c)[i].as_py(), "<i8") for c in ("q_rows", "q_ids", "worst")]
-                    q = np.frombuffer(b.column("q")[i].as_py(), "<f8").reshape(-1, dim)
-                    known[key] = *own, q, Tree(q)
-                q_rows, q_ids, worst, q, q_tree = known[key]
-                at, to, scores = search(q_rows, q, worst, x_rows, x_ids, x, k, q_tree, x_tree)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_rows[at], q_ids[at], x_rows[to], x_ids[to], scores)], names=["q_row", "query_id", "row", "vec_id", "score"])
-
-    found = met.select("of", "q_rows", "q_ids", "q", "worst", "block", "m").mapInArrow(meet, fields("q_row long, query_id long, row long, vec_id long, score long"))
+                if (shelf := b.column("shelf")[i].as_py()) != at_shelf:
+                    at_shelf, known = shelf, {}
+                if (block := b.column("block")[i].as_py()) is not None:  # a shelf's blocks come before its groups
+                    own = unstack(b, i)
+                    known[block] = *own, Tree(own[2])
+                    continue
+                q_rows, q_ids, q = unstack(b, i)
+                q_tree, low = Tree(q), np.frombuffer(b.column("worst")[i].as_py(), "<i8").copy()
+                have = (np.zeros(0, np.int64),) * 4
+                for n in b.column("blocks")[i].as_py():
+                    if n not in known:  # no row fell to it
+                        continue
+                    x_rows, x_ids, x, x_tree = known[n]
+                    at, to, scores = search(q_rows, q, low, x_rows, x_ids, x, k, q_tree, x_tree)
+                    have = tuple(np.concatenate(c) for c in zip(have, (at, x_rows[to], x_ids[to], scores), strict=True))
+                    best, place = _best(have[0], have[2], have[1], have[3], k)
+                    have = tuple(c[best] for c in have)
+                    full = place == k - 1
+                    low[have[0][full]] = np.maximum(low[have[0][full]], have[3][full])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_rows[have[0]], q_ids[have[0]], *have[1:])], names=["q_row", "query_id", "row", "vec_id", "score"])
+
+    found = met.select("shelf", "block", "rows", "ids", "v", "worst", "blocks").mapInArrow(meet, fields("q_row long, query_id long, row long, vec_id long, score long"))
     rank = F.row_number().over(W.Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

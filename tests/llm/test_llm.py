@@ -332,6 +332,30 @@ def test_top_k_on_table(spark):
     assert {tuple(r) for r in queries.op5_exact_top_k(spark, SF).select("query_id", "rank", "vec_id", "score").collect()} == want
 
 
+def test_top_k_sends_little_to_the_driver(spark):
+    """Many partitions, and queries that meet many blocks: neither the draw nor copies of the queries come to the driver."""
+    table = spark.range(0, 20_000, 1, 64).selectExpr("id AS vec_id", "transform(sequence(1, 64), x -> CAST(hash(id, x) / 2147483648.0 AS float)) AS embedding")
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        assert topk.top_k(table, F.col("vec_id") % 5 == 0).count() == 4_000 * 20
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+
+
+def test_top_k_shelves_of_many_blocks(spark):
+    """Blocks that share a shelf, some without a row, and equal scores across them."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.integers(-2, 3, size=(9_000, 64)), np.tile(rng.integers(-2, 3, size=64), (9_000, 1))])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(float).tolist())], "vec_id long, embedding array<double>")
+    got, want, whole = {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 600 == 0, k=7).collect()}, set(), 64 * x
+    for i in range(0, len(x), 600):
+        scores = whole @ whole[i]
+        want |= {(i, k + 1, int(j), int(scores[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(len(x)), -scores)) if j != i][:7])}
+    assert got == want
+
+
 def test_pieces_round_trip(spark, rows):
     path = vocabulary("piece_bpe_32k.model")
     docs = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, "▁ ▁\0x\n  hello  world\r\n日本 ×² ²."), (-4, "é" * 100 + "x" * 130)], "doc_id long, text string")
