@@ -269,30 +269,31 @@ def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14, least:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (u, v) reaches, by alternating stars; roots have no row.
 
-    Large stars link a node's larger neighbours to its smallest, small stars its smaller ones; rounds go on until the
-    edges no longer change. Every round is checkpointed, so a lost executor costs a round at most.
+    Large stars link a node's larger neighbours to its smallest, small stars its smaller ones; rounds go on until each
+    component is a star about its root. Each star is checkpointed, so a lost executor costs half a round at most; what
+    else a round needs is made from those two, as every checkpoint writes a file a partition.
     """
 
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def open_nodes(e: DataFrame) -> int:
+        """How many nodes have several roots, or a root that has one itself."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("of")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("own"), F.lit(1).alias("of")))
+        ends = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("of").alias("of"))
+        return ends.filter((F.col("own") + F.col("of") > 1) & (F.col("own") > 0)).agg(F.count(F.lit(1))).first()[0]
 
-    def star(near: DataFrame, keep) -> DataFrame:
-        # Cut before the join, here and below: then a node that a third of all others hang on can be split.
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
-        return near.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    def beside(near: DataFrame, least: DataFrame) -> DataFrame:
+        # By the node's hash too, so that both sides are dealt out for this join and not as the minima were: then a node
+        # that a third of all others hang on can be split.
+        dealt = F.xxhash64("u").alias("dealt")
+        return near.select("*", dealt).join(least.select("*", dealt), ["u", "dealt"])
 
     edges = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    before = mark(edges)
-    while before[0]:
+    while open_nodes(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, F.col("v") > F.col("u")).filter("u != v").distinct().checkpoint()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = beside(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = beside(large, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -322,8 +323,8 @@ def _named(each: DataFrame, distance: int, node_limit: int, edges: DataFrame | N
     named = codes.join(roots, "fp", "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     named = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).checkpoint()
     names = named.groupBy("root").agg(F.min("best").alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    names = names.select("root", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")).checkpoint()
-    return named.join(names, ["root", "salt"], "left").select("fp", F.coalesce("name", "best").alias("best")).checkpoint()
+    names = names.select("root", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return named.join(names, ["root", "salt"], "left").select("fp", F.coalesce("name", "best").alias("best"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, node_limit: int = 1 << 14) -> DataFrame:

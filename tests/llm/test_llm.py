@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -569,6 +571,36 @@ def brute_components(rows, width=4, distance=4):
     return {(i, f"{fps[i]:016x}", find(i)) for i in ids}
 
 
+def test_components_write_few_checkpoints(spark):
+    simhash.prepare(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+
+    def found(pairs):
+        before = set(folder.glob("rdd-*"))
+        edges = spark.createDataFrame(pairs, "u long, v long")
+        roots = [(r["node"], r["root"]) for r in simhash.components(edges).collect()]
+        assert len(roots) == len(dict(roots))
+        return dict(roots), len(set(folder.glob("rdd-*")) - before)
+
+    def least(pairs):
+        root = {x: x for p in pairs for x in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return {x: r for x, r in root.items() if x != r}
+
+    pairs = [(2 * k + 1, 2 * k) for k in range(50)]
+    star = [(k, 0) for k in range(1, 100)]
+    assert found([]) == ({}, 1) and found(pairs) == (least(pairs), 1) and found(star + [(0, 5), (7, 7)]) == (least(star), 1)
+    # Many roots of one node, and a chain, which halves each round; a round writes two tables.
+    for far in ([(100, k) for k in range(100)], [(k + 1, k) for k in range(40)]):
+        roots, written = found(far + [(500, 400)])
+        assert roots == least(far + [(500, 400)]) and written % 2 == 1 and written <= 13
+    rng = np.random.default_rng(3)
+    mixed = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))]
+    assert found(mixed)[0] == least(mixed)
+
+
 def test_simhash(spark, rows):
     got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in queries.op9_simhash_near_dedup(spark, SF).collect()}
     assert got == brute_components(rows)
