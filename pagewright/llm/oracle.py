@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables.
 
-op1, op6, op7 and op8 need models or tokenizers, op3 and op9 hashes that SQL lacks, op4 a tree: these are tested against
+op1, op6, op7, op8 and op11 need models or tokenizers, op3 and op9 hashes that SQL lacks, op4 a tree: these are tested against
 brute force in ``tests/llm``.
 """
 
@@ -26,6 +26,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+#: Cuts by numbers of code points.
+INFILL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, t, n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def _licenses() -> str:
     """Base phrases by looking at every place; the method's rules as in the scan: votes by diagonal, neighbouring
     diagonals as spans, and of each diagonal what lies past those before it."""
@@ -48,4 +58,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
 coalesce(array_to_string(list_sort(list_distinct(list_concat(b.names, a.names))), ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_license_scan": _licenses(), "op5_exact_top_k": TOP_K, "op10_substring_dedup": SUBSTRINGS}
+ORACLES: dict[str, str] = {"op2_license_scan": _licenses(), "op5_exact_top_k": TOP_K, "op10_substring_dedup": SUBSTRINGS, "op12_infill": INFILL}

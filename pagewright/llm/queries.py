@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
+from . import byte_bpe, infill, language, licenses, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -69,4 +69,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(docs, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("byte_bpe_50k.tiktoken")
+    spelt = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, packed=True), path)
+    return spelt.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(read(spark, sf_dir, "documents"), seed=1)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup, op11_byte_bpe, op12_infill)}
