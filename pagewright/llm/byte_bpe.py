@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from .common import fields, pick, prepare
 
 #: States of the machine, and matches of the pattern, that a worker remembers; a full memory is begun anew.
-STATES, REMEMBERED = 150_000, 700_000
+STATES, REMEMBERED = 120_000, 500_000
 #: Matches of up to so many bytes are remembered, and run side by side, so many at a time; longer ones run alone.
 SHORT, TOGETHER = 48, 2048
 #: Bytes after which the machine emits what is settled; more than twice the longest token.
 WINDOW = 1 << 12
 NEVER = 1 << 62
+NODE_BITS = 32
+NODE = (1 << NODE_BITS) - 1
 #: The code points of Unicode's property White_Space, for which ``\s`` stands in the pattern.
 WHITE = r"\t\n\x0B\f\r \x85\xA0  -     　"
 
@@ -54,7 +56,7 @@ class Merges:
         # The tokens that stand at an edge one after another. A token's rank is also that of the merge that makes it.
         self.left: dict[int, tuple[int, ...]] = {}
         self.right: dict[int, tuple[int, ...]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: (len(x[0]) > 1, x[1])):
             if len(token) == 1:
                 self.left[rank] = self.right[rank] = (rank,)
@@ -83,11 +85,12 @@ class Merges:
                 j += 1
 
     def apart(self, a: int, b: int) -> bool:
-        found = self._apart.get((a, b))
+        key = a << 32 | b
+        found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > 4 * STATES:
+            if len(self._apart) > 2 * STATES:
                 self._apart.clear()
-            self._apart[a, b] = found = self._first_merge(a, b)[0] is None
+            self._apart[key] = found = self._first_merge(a, b)[0] is None
         return found
 
 
@@ -121,8 +124,9 @@ class Transducer:
 
     def forget(self) -> None:
         """Only the start is left: one hypothesis, after no token, at the root of the prefix tree."""
-        self.numbers: dict[tuple, int] = {((-1, 0),): 0}
-        self.states: list[tuple] = [((-1, 0),)]
+        # A hypothesis is one number: 1 + the last token (0 if there is none) and the node.
+        self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
         # Moves by state and byte, -1 where they aren't known yet; only bytes that have come up have a column.
         self.column, self.columns = np.full(256, -1, np.int16), 0
         self.next, self.ends = (np.full((1 << 10, 32), -1, np.int32) for _ in range(2))
@@ -146,19 +150,19 @@ class Transducer:
     def _move(self, number: int, byte: int) -> None:
         """Work out where a byte leads: the next state, and the token that ends here in the sequence that ends here."""
         alive, ended, child, tokens, inner = [], -1, self.child.get, self.token, self.inner
-        for before, node in self.states[number]:
-            node = child(node << 8 | byte)
+        for hypothesis in self.states[number]:
+            node = child((hypothesis & NODE) << 8 | byte)
             if node is None:
                 continue
-            token = tokens[node]
+            token, before = tokens[node], hypothesis >> NODE_BITS
             # One token at most ends here, as a prefix has one sequence.
-            if ended < 0 <= token and (before < 0 or self.merges.apart(before, token)):
+            if ended < 0 <= token and (not before or self.merges.apart(before - 1, token)):
                 ended = token
             if inner[node]:
-                alive.append((before, node))
+                alive.append(before << NODE_BITS | node)
         if ended < 0:
             raise ValueError("the vocabulary does not spell every byte")
-        alive.append((ended, 0))
+        alive.append((ended + 1) << NODE_BITS)
         state = tuple(alive)
         following = self.numbers.setdefault(state, len(self.states))
         if following == len(self.states):
@@ -176,7 +180,7 @@ class Transducer:
 
     def _settled(self, ends: list[int], state: int) -> list[int]:
         """The tokens that all hypotheses alive have in common."""
-        ways = [self._back(ends, len(ends) - self.depth[node])[::-1] for _, node in self.states[state]]
+        ways = [self._back(ends, len(ends) - self.depth[x & NODE])[::-1] for x in self.states[state]]
         n = 0
         while all(n < len(w) and w[n] == ways[0][n] for w in ways):
             n += 1
@@ -348,13 +352,14 @@ def _own(kind, *args):
     return _OWN[kind, *args]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None, packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None, packed: bool = False, decoded: bool = False) -> DataFrame:
     """id and ``ids`` (array of int; with ``packed`` binary, little-endian unsigned 32-bit numbers) of each row's text.
 
     The result is that of merging each match of the pattern separately, without special tokens; a match that is a token
     as a whole is that token. Null and empty texts have no ids; texts of any length are read whole, and so are matches;
     ties between merges of one rank go to the leftmost; repeated rows each come back; an empty table gives an empty
-    result. Ids of documents may be null or repeat. Extra columns play no part, whatever their names.
+    result. Ids of documents may be null or repeat. Extra columns play no part, whatever their names. With ``decoded``
+    the ids are decoded again as they come, and their text is one more column.
     """
     import public_tokenizers
 
@@ -362,7 +367,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches):
-        own = _own(Encoder, path, pattern)
+        own, back = _own(Encoder, path, pattern), _own(Decoder, path) if decoded else None
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -372,10 +377,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 else:
                     ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=[id_col, "ids"])
+                columns = {id_col: part.column("id"), "ids": ids}
+                if decoded:
+                    columns["decoded"] = pa.array([back.decode(np.frombuffer(x, "<u4")) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"`{id_col}` {kind}, ids {'binary' if packed else 'array<int>'}"))
+    more = f"ids {'binary' if packed else 'array<int>'}" + (", decoded string" if decoded else "")
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"`{id_col}` {kind}, {more}"))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -70,8 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary("byte_bpe_50k.tiktoken")
-    spelt = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, packed=True), path)
+    spelt = byte_bpe.encode(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), packed=True, decoded=True)
     return spelt.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
