@@ -36,6 +36,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
 
+#: Every two sources of a language, term by term.
+DIVERGENCE = """WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, row, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT d.lang, d.source, coalesce(any_value(total), 0) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source) GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + v.v))::BIGINT AS p,
+ (1 + 1000000000 * (k.n + 1) // (v.total + v.v))::BIGINT AS q FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
+
 def _licenses() -> str:
     """Base phrases by looking at every place; the method's rules as in the scan: votes by diagonal, neighbouring
     diagonals as spans, and of each diagonal what lies past those before it."""
@@ -58,4 +74,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
 coalesce(array_to_string(list_sort(list_distinct(list_concat(b.names, a.names))), ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_license_scan": _licenses(), "op5_exact_top_k": TOP_K, "op10_substring_dedup": SUBSTRINGS, "op12_infill": INFILL}
+ORACLES: dict[str, str] = {"op2_license_scan": _licenses(), "op5_exact_top_k": TOP_K, "op10_substring_dedup": SUBSTRINGS, "op12_infill": INFILL, "op13_source_divergence": DIVERGENCE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, infill, language, licenses, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
+from . import byte_bpe, divergence, infill, language, licenses, merkle, packing, pieces, sharding, simhash, substrings, topk, toxicity
 from .common import read
 
 
@@ -80,4 +80,8 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup, op11_byte_bpe, op12_infill)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_merkle_fingerprints, op4_kd_sharding, op5_exact_top_k, op6_sampled_pieces, op7_language_id, op8_best_fit_packing, op9_simhash_near_dedup, op10_substring_dedup, op11_byte_bpe, op12_infill, op13_source_divergence)}
