@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fields, pick, prepare
+from .common import fields, own, pick, prepare
 
 #: States of the machine, and matches of the pattern, that a worker remembers; a full memory is begun anew.
 STATES, REMEMBERED = 120_000, 500_000
@@ -342,14 +342,9 @@ class Decoder(dict):
         return "".join(self.stream(np.asarray(ids, np.int64)))
 
 
-_OWN: dict[tuple, object] = {}
-
-
 def _own(kind, *args):
     """The worker's own machine; what it remembers lasts from task to task."""
-    if (kind, *args) not in _OWN:
-        _OWN[kind, *args] = kind(*args)
-    return _OWN[kind, *args]
+    return own(("byte_bpe", kind.__name__, *args), lambda: kind(*args))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None, packed: bool = False, decoded: bool = False) -> DataFrame:
@@ -367,11 +362,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches):
-        own, back = _own(Encoder, path, pattern), _own(Decoder, path) if decoded else None
+        encoder, back = _own(Encoder, path, pattern), _own(Decoder, path) if decoded else None
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = own.encode(part.column("text").to_pylist())
+                found = encoder.encode(part.column("text").to_pylist())
                 if packed:
                     ids = pa.array(found, pa.binary())
                 else:
@@ -399,12 +394,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     packed = kinds[ids_col] == "binary"
 
     def run(batches):
-        own = _own(Decoder, path)
+        decoder = _own(Decoder, path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = part.column("ids").to_pylist()
-                texts = [None if x is None else own.decode(np.frombuffer(x, "<u4") if packed else x) for x in ids]
+                texts = [None if x is None else decoder.decode(np.frombuffer(x, "<u4") if packed else x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(texts, pa.string())], names=[id_col, ids_col, text_col])
 
     return pick(encoded, id=id_col, ids=ids_col).mapInArrow(run, fields(f"`{id_col}` {kinds[id_col]}, `{ids_col}` {kinds[ids_col]}, `{text_col}` string"))

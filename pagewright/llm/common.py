@@ -66,6 +66,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes that a partition should hold at most where its number is given by hand, so that it does not grow with the data.
+PART_BYTES = 256 << 20
+
+
+def parts(spark: SparkSession, size: int) -> int:
+    """Partitions for so many bytes: those of the session, or more."""
+    return max(partitions(spark), -(-size // PART_BYTES))
+
+
+_OWN: dict[tuple, object] = {}
+
+
+def own(key: tuple, make):
+    """What a Python worker keeps from task to task, by key; another operator's goes first, as workers serve them all."""
+    if key not in _OWN:
+        release(key[0])
+        _OWN[key] = make()
+    return _OWN[key]
+
+
+def release(operator: str = "") -> None:
+    """Let go of what this worker keeps for other operators."""
+    for key in [k for k in _OWN if k[0] != operator]:
+        del _OWN[key]
+
+
 def fields(text: str) -> T.StructType:
     """``fields("doc_id long, n int")``: a schema from DDL."""
     return T._parse_datatype_string(text)

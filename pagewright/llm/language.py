@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, pick, prepare
+from .common import fields, pick, prepare, release
 
 DIM_BITS = 12
 MAX_ROWS = 4000
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
         keep = keep | ((F.col("lang") == lang) & (F.pmod("draw", F.lit(1_000_000)) < int(part * 1_000_000) + 1))
 
     def run(batches):
+        release()
         for b in batches:
             out = []
             for text, lang, draw in zip(*[b.column(c).to_pylist() for c in ("text", "lang", "draw")], strict=True):
@@ -173,6 +174,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
     prepare(docs.sparkSession)
 
     def run(batches):
+        release()
         for b in batches:
             lang, score = [], []
             for t in b.column("text").to_pylist():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import fields, partitions, prepare, word_hashes, word_spans
+from .common import fields, parts, prepare, word_hashes, word_spans
 
 #: Paragraphs of up to so many words have a leaf for every word; longer ones cut at one word hash in CUT, or at LONGEST.
 FINE, CUT, LONGEST = 24, 3, 16
@@ -170,8 +170,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    n = partitions(spark)
-    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"]
+    n = parts(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], min(20 * n, 1_000_000)).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
 
     def dealt(batches):

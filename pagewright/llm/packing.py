@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, partitions, pick, prepare, ranked
+from .common import fields, own, partitions, pick, prepare, ranked
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Chunks, and parts of chunks, whose ids a worker remembers at a time (about 200 bytes each).
@@ -116,14 +116,9 @@ class Encoder:
         return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's own; what it remembers lasts from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return own(("packing", path), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -136,10 +131,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for at in range(0, b.num_rows, 256):
                 ids, texts = b.column(0).slice(at, 256), b.column(1).slice(at, 256).to_pylist()
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, own in enumerate(own_encoder.encode(texts)):
-                    own += end
-                    for i, s in enumerate(range(0, len(own), 4 * capacity)):
-                        part = own[s : s + 4 * capacity]
+                for k, ids_of in enumerate(own_encoder.encode(texts)):
+                    ids_of += end
+                    for i, s in enumerate(range(0, len(ids_of), 4 * capacity)):
+                        part = ids_of[s : s + 4 * capacity]
                         row.append(k)
                         piece.append(i)
                         start.append(s // 4)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import WORDS, Rolling, fields, mixed, pick, prepare
 
 MARK = "▁"
@@ -226,13 +227,8 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-_LATTICES: dict[tuple[str, float], Lattices] = {}
-
-
 def lattices(path: str, temperature: float) -> Lattices:
-    if (path, temperature) not in _LATTICES:
-        _LATTICES[path, temperature] = Lattices(path, temperature)
-    return _LATTICES[path, temperature]
+    return common.own(("pieces", path, temperature), lambda: Lattices(path, temperature))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.5, seed: int = 0, digest: bool = False) -> DataFrame:

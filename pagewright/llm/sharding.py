@@ -123,12 +123,14 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
             node += np.where(at[dim[node], each] > cut[node], step[node], 0)
         return at, node
 
-    def descend(keep: list[str]) -> DataFrame:
-        """The named columns of every row with its node."""
+    def descend(keep: list[str], only: np.ndarray | None = None) -> DataFrame:
+        """The named columns of every row with its node, or of the rows whose nodes are marked in ``only``."""
 
         def run(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(placed_in(b)[1].astype(np.int32))], names=[*keep, "node"])
+                node = placed_in(b)[1]
+                found = pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(node.astype(np.int32))], names=[*keep, "node"])
+                yield found if only is None else found.filter(pa.array(only[node] > 0))
 
         schema = T.StructType([*[points.schema[c] for c in keep], *fields("node int")])
         return points.select(*keep, *[c for c in names if c not in keep]).mapInArrow(run, schema)
@@ -159,7 +161,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     while total and any(n > 1 for n in leaves.values()):
         # Nodes are numbered by their first shard, so a leaf's number is its shard.
         split = [n for n, k in leaves.items() if k > 1]
-        stats = descend(["size", *names]).filter(F.col("node").isin(split)).groupBy("node").agg(F.sum("size").alias("size"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).collect()
+        stats = descend(["size", *names], by_node(dict.fromkeys(split, 1))).groupBy("node").agg(F.sum("size").alias("size"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]).collect()
         stats = {r["node"]: r for r in stats}
         wide = {n: max(names, key=lambda c, r=r: r[f"hi_{c}"] - r[f"lo_{c}"]) for n, r in stats.items()}
         dims = {n: names.index(c) for n, c in wide.items()}

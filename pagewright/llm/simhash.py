@@ -13,14 +13,18 @@ link, and linked documents form components. The index has two kinds of nodes:
 Equal fingerprints are one entry of the index, so copies cost nothing there. Each node returns a spanning forest of its
 links (not all pairs), and rounds of star contraction, each cut by a checkpoint, turn the edges into components.
 
-Groups by the similarity of word shingles (``keep_one`` with ``least``) use the same index twice. A changed word changes
-five five-word shingles but one word, so texts whose shingles are 0.8 alike differ by few bits in a fingerprint of their
-distinct words. The index finds the fingerprints with a neighbour within ``WIDE`` bits; only those enter it again, each
-with a sketch of its shingles (two bits of each of 256 minima), and link where the sketches agree as well.
+Groups by the similarity of word shingles (``keep_one`` with ``least``) use the same index twice to propose pairs, and
+decide exactly. A changed word changes five five-word shingles but one word, so texts whose shingles are 0.8 alike differ
+by few bits in a fingerprint of their distinct words. The index finds the fingerprints with a neighbour within ``WIDE``
+bits; only those enter it again, each with a sketch of its shingles (two bits of each of 256 minima). A node then returns
+the spanning forest of the closest sketches: whatever connects two texts over a chain of pairs that are alike, connects
+them in that forest by pairs at least as close. Each of its edges is checked on the whole sets of shingles of both texts,
+and only those that are alike link. So nothing is grouped by an estimate; one can only keep a pair from being proposed.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -29,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fields, mixed, partitions, pick, prepare, word_spans
+from .common import Scratch, fields, mixed, parts, pick, prepare, release, word_spans
 
 BITS = 64
 LEAF = 64
 #: Bits that fingerprints of distinct words may differ by, where a sketch decides.
-WIDE = 6
-#: Minima of a sketch, and how far below the wanted similarity a sketch's estimate may lie (its deviation is 0.03).
-MINIMA, SLACK = 256, 0.04
+WIDE = 7
+#: Minima of a sketch, and how far below the wanted similarity the estimate of a proposed pair may lie (its deviation is 0.03).
+MINIMA, SLACK = 256, 0.06
 _MULTIPLY, _ADD = np.split(mixed(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 2)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -61,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) of each row; null texts count as empty, repeated rows stay."""
 
     def run(batches):
+        release()
         for b in batches:
             found = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
@@ -80,12 +85,18 @@ def word_fingerprint(words: list[bytes]) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def sketch(words: list[bytes], width: int = 5) -> bytes:
-    """Two bits of each of ``MINIMA`` minima over the word shingles (fewer words: the whole sequence; none: all zero)."""
+def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
+    """The hashes of the distinct word shingles, ascending (fewer words: the whole sequence; none: none)."""
     if not words:
-        return bytes(MINIMA // 4)
+        return np.zeros(0, np.uint64)
     last = max(1, len(words) - width + 1)
-    hashes = np.array(list({xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(last)}), np.uint64)
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(last)], np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Two bits of each of ``MINIMA`` minima over the hashes of shingles (of none: all zero)."""
+    if not len(hashes):
+        return bytes(MINIMA // 4)
     least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 256):
         np.minimum(least, (hashes[at : at + 256, None] * (_MULTIPLY | np.uint64(1)) + _ADD).min(axis=0), out=least)
@@ -93,17 +104,27 @@ def sketch(words: list[bytes], width: int = 5) -> bytes:
     return np.packbits(np.stack([two & np.uint64(1), two >> np.uint64(1) & np.uint64(1)], axis=1).astype(np.uint8)).tobytes()
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, fp long, sketch binary) of each row: its words' fingerprint and its shingles' sketch."""
+    """(id, fp long, sketch binary, key string): the words' fingerprint, the shingles' sketch and a digest of their set."""
 
     def run(batches):
+        release()
         for b in batches:
-            words = [(t or "").encode().translate(_LOWER).split() for t in b.column(1).to_pylist()]
-            found = np.array([word_fingerprint(w) for w in words], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), pa.array([sketch(w, width) for w in words], pa.binary())], names=["id", "fp", "sketch"])
+            fps, sketches, keys = [], [], []
+            for text in b.column(1).to_pylist():
+                words = _words(text)
+                own = shingles(words, width)
+                fps.append(word_fingerprint(words))
+                sketches.append(sketch(own))
+                keys.append(md5(own.tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, "<u8").view("<i8"), pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.string())], names=["id", "fp", "sketch", "key"])
 
     kind = dict(docs.dtypes)[id_col]
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"id {kind}, fp long, sketch binary"))
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, fields(f"id {kind}, fp long, sketch binary, key string"))
 
 
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,39 +152,78 @@ def masks(bits: list[int], distance: int) -> list[int]:
     return [a | b for a, b in combinations(blocks, 2)]
 
 
+class Leaves:
+    """Codes in Gray order, in leaves that know the bits that all of their members share."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, n = codes, len(codes)
+        first = np.arange(0, n, LEAF)
+        self.ones, self.zeros = np.bitwise_and.reduceat(codes, first), np.bitwise_and.reduceat(~codes, first)
+        self.free, self.left = np.ones(n, bool), np.diff(np.append(first, n))
+
+    def take(self, places) -> None:
+        self.free[places] = False
+        np.subtract.at(self.left, np.asarray(places) // LEAF, 1)
+
+    def near(self, x: int, distance: int) -> np.ndarray:
+        """The free places within the distance of place x; leaves whose shared bits differ in more are passed over."""
+        code = self.codes[x]
+        leaves = np.flatnonzero((self.left > 0) & (np.bitwise_count((code & self.zeros) | (~code & self.ones)) <= distance))
+        members = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
+        members = members[members < len(self.codes)]
+        members = members[self.free[members]]
+        return members[np.bitwise_count(self.codes[members] ^ code) <= distance]
+
+
 def spanning(codes: np.ndarray, distance: int, sketches: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the codes below one node: pairs of places."""
+    """A spanning forest of the links among the codes below one node, that of the closest sketches if there are any: pairs of places."""
     order = np.argsort(gray_rank(codes), kind="stable")
-    codes, sketches = codes[order], None if sketches is None else sketches[order]
-    n = len(codes)
-    leaves = np.arange(0, n, LEAF)
-    ones, zeros = np.bitwise_and.reduceat(codes, leaves), np.bitwise_and.reduceat(~codes, leaves)
-    free, left = np.ones(n, bool), np.diff(np.append(leaves, n))
+    leaves = Leaves(codes[order])
+    a, b = _any_forest(leaves, distance) if sketches is None else _closest_forest(leaves, distance, sketches[order], limit)
+    none = np.zeros(0, np.int64)
+    return order[np.concatenate([none, *a])], order[np.concatenate([none, *b])]
+
+
+def _any_forest(leaves: Leaves, distance: int) -> tuple[list, list]:
     a, b = [], []
-    for first in range(n):
-        if not free[first]:
+    for first in range(len(leaves.codes)):
+        if not leaves.free[first]:
             continue
-        free[first] = False
-        left[first // LEAF] -= 1
+        leaves.take([first])
         queue = [first]
         while queue:
             x = queue.pop()
-            near = np.flatnonzero((left > 0) & (np.bitwise_count((codes[x] & zeros) | (~codes[x] & ones)) <= distance))
-            if not len(near):
-                continue
-            members = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
-            members = members[members < n]
-            members = members[free[members]]
-            members = members[np.bitwise_count(codes[members] ^ codes[x]) <= distance]
-            if sketches is not None:
-                members = members[unlike(sketches[members], sketches[x]) <= limit]
-            free[members] = False
-            np.subtract.at(left, members // LEAF, 1)
+            members = leaves.near(x, distance)
+            leaves.take(members)
             a.append(np.full(len(members), x))
             b.append(members)
             queue.extend(members.tolist())
-    none = np.zeros(0, np.int64)
-    return order[np.concatenate([none, *a])], order[np.concatenate([none, *b])]
+    return a, b
+
+
+def _closest_forest(leaves: Leaves, distance: int, sketches: np.ndarray, limit: int) -> tuple[list, list]:
+    """Each tree grows by the free place whose sketch differs least from one of its own, as long as any differs in ``limit`` at most."""
+    n = len(leaves.codes)
+    least, parent = np.full(n, MINIMA + 1), np.full(n, -1)
+    a, b = [], []
+    for first in range(n):
+        if not leaves.free[first]:
+            continue
+        x = first
+        while True:
+            leaves.take([x])
+            least[x] = MINIMA + 1
+            if parent[x] >= 0:
+                a.append([parent[x]])
+                b.append([x])
+            members = leaves.near(x, distance)
+            found = unlike(sketches[members], sketches[x])
+            closer = (found <= limit) & (found < least[members])
+            least[members[closer]], parent[members[closer]] = found[closer], x
+            x = int(least.argmin())
+            if least[x] > limit:
+                break
+    return a, b
 
 
 def forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,13 +297,15 @@ def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14, least:
     level = [(m, i) for i, m in enumerate(masks(list(range(BITS)), distance))]
     at = codes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for m, i in level])).alias("n"), *carried)
     at = at.select(F.xxhash64("n.mask", "n.bits").alias("node"), F.col("n.mask").alias("mask"), *carried)
-    found = None
+    found, row = None, 24 if least is None else 144  # bytes of an entry
+    entries = len(level) * codes.agg(F.count(F.lit(1))).first()[0]
     for depth in range(3):
-        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > node_limit).select("node")
+        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > node_limit)
         large = sizes.checkpoint() if depth < 2 else None
-        many = bool(large is not None and large.take(1))
+        below = 0 if large is None else large.agg(F.sum("n")).first()[0] or 0
+        many = bool(below)
         small = at.join(large, "node", "left_anti") if many else at
-        own = small.select("node", *carried).repartition(partitions(spark), "node").sortWithinPartitions("node").mapInArrow(search, fields("u {0}, v {0}".format(dict(codes.dtypes)[name])))
+        own = small.select("node", *carried).repartition(parts(spark, row * entries), "node").sortWithinPartitions("node").mapInArrow(search, fields("u {0}, v {0}".format(dict(codes.dtypes)[name])))
         found = own if found is None else found.unionByName(own)
         if not many:
             break
@@ -263,6 +325,7 @@ def links(codes: DataFrame, distance: int = 4, node_limit: int = 1 << 14, least:
         at = at.join(large, "node", "left_semi").select("mask", *carried).mapInArrow(split, fields(f"mask int, bits long, {kinds}"))
         at = at.select(F.xxhash64("mask", "bits").alias("node"), "mask", *carried)
         level = [x for own in lower.values() for x in own]
+        entries = below * len(masks(list(range(BITS)), distance))
     return found.distinct()
 
 
@@ -301,13 +364,44 @@ def components(edges: DataFrame) -> DataFrame:
 SALTS = 32
 
 
-def _similar(each: DataFrame, least: float, node_limit: int) -> DataFrame:
-    """(u, v): keys of texts, of rows ``fp``, ``sketch``, ``key``, linked where words and sketches agree."""
-    codes = each.select("fp", "key", "sketch").groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("fp", "key", "sketch").checkpoint()
+def _similar(each: DataFrame, texts: DataFrame, least: float, width: int, node_limit: int) -> DataFrame:
+    """(u, v): keys of texts, of rows ``best``, ``fp``, ``sketch``, ``key``, that are proposed and whose sets are alike."""
+    codes = each.groupBy("key").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("best").alias("best")).checkpoint()
     several = codes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     near = links(several.select("fp"), WIDE, node_limit)
     near = near.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(several.filter("n > 1").select("fp")).distinct().checkpoint()
-    return links(codes.join(near, "fp", "left_semi").checkpoint(), WIDE, node_limit, least)
+    proposed = links(codes.select("fp", "key", "sketch").join(near, "fp", "left_semi").checkpoint(), WIDE, node_limit, least).checkpoint()
+    met = proposed.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    return alike(proposed, texts.join(codes.join(met, "key", "left_semi").select("key", "best"), "best").select("key", "text"), least, width)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, least: float, width: int = 5) -> DataFrame:
+    """Of the pairs (u, v) of keys those whose texts' sets of word shingles are ``least`` alike or more (Jaccard), exactly.
+
+    ``texts``: key, text; rows of one key have the same set. Sets are sorted hashes of 64 bits, and travel to the pairs.
+    """
+
+    def sets(batches):
+        for b in batches:
+            found = [shingles(_words(t), width).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.binary())], names=["key", "own"])
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("a"), b.column("b"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                keep.append(not either or both / either >= least)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    scratch = Scratch(pairs.sparkSession)
+    own = scratch.put("sets", texts.mapInArrow(sets, fields("key string, own binary")).groupBy("key").agg(F.first("own").alias("own")))
+    both = pairs.join(own.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+    found = both.select("u", "v", "a", "b").mapInArrow(compare, fields("u string, v string")).checkpoint()
+    scratch.drop("sets")
+    return found
 
 
 def _named(each: DataFrame, distance: int, node_limit: int, edges: DataFrame | None = None) -> DataFrame:
@@ -348,7 +442,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     and the same text any one stays. So ids may repeat, and no two rows that stay are within ``distance``.
 
     With ``least``, texts link not by ``distance`` but where the sets of their shingles of ``width`` words are ``least``
-    alike or more (Jaccard), as the sketches estimate it less ``SLACK``. Texts without a word are alike.
+    alike or more (Jaccard), exactly; so every row that goes has a partner of that similarity. Texts without a word are
+    alike, and alike to no other. Which pairs are compared is up to the index: texts whose distinct words' fingerprints
+    differ in more than ``WIDE`` bits, or whose sketches seem further apart than ``SLACK``, may be passed over.
+
+    Null texts are empty; texts of any length count whole; ids may be null or repeat; of ties the smallest key wins; an
+    empty table gives an empty result; extra columns are kept, whatever their names.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -357,9 +456,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     if least is None:
         each = fingerprints(texts, "best", "text", width).withColumnRenamed("id", "best").checkpoint()
     else:
-        each = sketched(texts, "best", "text", width).withColumnRenamed("id", "best")
-        each = each.withColumn("key", F.md5(F.concat(F.col("fp").cast("string").cast("binary"), "sketch"))).checkpoint()
-        edges = _similar(each, least, 8 * node_limit)  # 28 entries a code here, so splits cost more than large nodes
+        each = sketched(texts, "best", "text", width).withColumnRenamed("id", "best").checkpoint()
+        edges = _similar(each, texts, least, width, 8 * node_limit)  # 28 entries a code here, so splits cost more than large nodes
         each = each.select("best", F.col("key").alias("fp"))
     # A name is the key of the row that stays, so the names of all components are the rows to keep.
     chosen = _named(each, distance, node_limit, edges).select("best").distinct()

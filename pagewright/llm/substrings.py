@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import WORDS, Rolling, Scratch, fields, prepare, word_hashes, word_spans
+from .common import WORDS, Rolling, Scratch, fields, prepare, release, word_hashes, word_spans
 
 #: Words of an anchor k-mer.
 ANCHOR = 6
@@ -101,6 +101,7 @@ def repeated(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFr
     texts = _keyed(docs.select(F.col(f"`{text_col}`").alias("_text")), "_text").select("k1", "k2", F.coalesce("_text", F.lit("")).alias("text"))
 
     def cut(batches):
+        release()
         for b in batches:
             for part in _slices(b):
                 found = [segments(t.encode(), width) for t in part.column("text").to_pylist()]

@@ -372,7 +372,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_
     # Spark takes the exploded groups for as small as they were and would broadcast all of their copies.
     asked = seeded.select("rows", "ids", "v", "worst", F.explode("shelves").alias("s")).select("s.shelf", F.lit(None).cast("long").alias("block"), "rows", "ids", "v", "worst", "s.blocks")
     held = data.select("shelf", "block", "rows", "ids", "v", F.lit(None).cast("binary").alias("worst"), F.lit(None).cast("array<long>").alias("blocks"))
-    met = held.unionByName(asked).repartition(partitions(spark), "shelf").sortWithinPartitions("shelf", F.col("block").isNull())
+    met = held.unionByName(asked).repartition(max(partitions(spark), int(blocks[leaves].sum() // wide) // 4), "shelf").sortWithinPartitions("shelf", F.col("block").isNull())
 
     def meet(batches):
         at_shelf, known = None, {}

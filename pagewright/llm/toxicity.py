@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, pick, prepare
+from .common import fields, pick, prepare, release
 
 MAX_ROWS = 24_000
 SURE = 16.0
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text
     rows = rows.dropDuplicates(["y", "text"]).checkpoint()
 
     def mine(batches):
+        release()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 seen: dict[str, list[int]] = {}
@@ -246,6 +247,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
     prepare(docs.sparkSession)
 
     def run(batches):
+        release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([model.score(t) for t in b.column("text").to_pylist()], pa.float64())], names=[id_col, "score"])
 
