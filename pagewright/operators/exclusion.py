@@ -86,7 +86,8 @@ def exclude_items(items: DataFrame, filters: DataFrame, keys=("doc_id", "page"),
 def rebuild_pages(pages: DataFrame, items: DataFrame, filters: DataFrame, separator: str = " ", keys=("doc_id", "page")) -> DataFrame:
     """Pages with their markdown built anew, without excluded content, where they have boxes.
 
-    Table pages become one table, others lines; pages that need recognition and pages without boxes stay as they are.
+    Table pages become one table, others lines, with the geometry of those lines (``line_meta``; a table has none). Pages
+    that need recognition and pages without boxes stay as they are, their geometry too.
     """
     from .lines import gfm_page, line_table, page_text, text_lines
 
@@ -95,11 +96,14 @@ def rebuild_pages(pages: DataFrame, items: DataFrame, filters: DataFrame, separa
     kept = kept.withColumn("item_no", F.col("item_no") * 10_000 + F.col("part_no"))
     lines = line_table(text_lines(kept, keys), keys, separator)
     table = gfm_page(lines, keys).withColumnRenamed("markdown", "as_table")
-    plain = page_text(lines, keys).select(*keys, F.col("markdown").alias("as_lines"))
+    plain = page_text(lines, keys).select(*keys, F.col("markdown").alias("as_lines"), F.col("line_meta").alias("_fresh"))
     rows = pages.join(filters.select(*keys, F.lit(True).alias("_cut")), list(keys), "left").join(table, list(keys), "left").join(plain, list(keys), "left")
-    new = F.coalesce(F.when(F.col("has_table"), F.col("as_table")).otherwise(F.col("as_lines")), F.lit(""))
+    tabular = F.coalesce(F.col("has_table"), F.lit(False)) if "has_table" in pages.columns else F.lit(False)
+    new = F.coalesce(F.when(tabular, F.col("as_table")).otherwise(F.col("as_lines")), F.lit(""))
     changed = F.coalesce(F.col("_cut"), F.lit(False)) & ~F.coalesce("needs_ocr", F.lit(False))
-    return rows.withColumn("markdown", F.when(changed, new).otherwise(F.col("markdown"))).drop("_cut", "as_table", "as_lines")
+    old = F.col("line_meta") if "line_meta" in pages.columns else F.lit(None)
+    rows = rows.withColumn("line_meta", F.when(changed, F.when(~tabular, F.col("_fresh"))).otherwise(old))
+    return rows.withColumn("markdown", F.when(changed, new).otherwise(F.col("markdown"))).drop("_cut", "as_table", "as_lines", "_fresh")
 
 
 def count_rects(spec: DataFrame, id_col: str = "doc_id") -> DataFrame:

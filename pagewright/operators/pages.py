@@ -42,8 +42,8 @@ def ocr_pages(detected: Column, empty: Column, page_range: Column | None = None,
 
 
 def assemble(pages: DataFrame, text_col: str = "markdown", id_col: str = "doc_id") -> DataFrame:
-    """(id, markdown): pages in order, each below its marker."""
-    chunk = F.concat(X.page_marker(F.col("page")), F.lit("\n\n"), X.utrim(F.col(text_col)))
+    """(id, markdown): pages in order, each below its marker; a page without text keeps its marker."""
+    chunk = F.concat(X.page_marker(F.col("page")), F.lit("\n\n"), X.utrim(F.coalesce(F.col(text_col), F.lit(""))))
     return pages.groupBy(id_col).agg(ordered_text(chunk, F.col("page"), sep="\n\n").alias("markdown"))
 
 
@@ -54,7 +54,7 @@ def hybrid(pages: DataFrame, results: DataFrame, skipped: DataFrame, id_col: str
     """
     comment = F.format_string("<!-- OCR skipped (page %d): %s -->", F.col("page"), F.col("reason"))
     rows = pages.join(results.select(id_col, "page", "ocr_markdown"), [id_col, "page"], "left").join(skipped.select(id_col, "page", "reason"), [id_col, "page"], "left")
-    return rows.withColumn("markdown", F.coalesce(F.when(F.col("reason").isNotNull(), comment), "ocr_markdown", X.utrim(F.col("markdown")))).drop("ocr_markdown", "reason")
+    return rows.withColumn("markdown", F.coalesce(F.when(F.col("reason").isNotNull(), comment), "ocr_markdown", X.utrim(F.col("markdown")), F.lit(""))).drop("ocr_markdown", "reason")
 
 
 def latest_results(attempts: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -73,19 +73,27 @@ def detect_status(detected: DataFrame, pages: DataFrame, id_col: str = "doc_id")
     return detected.join(empty, id_col, "left").select(id_col, "kind", "confidence", ocr_pages(F.col("ocr_pages"), F.col("_e")).alias("ocr_pages"))
 
 
-def convert(pages: DataFrame, specs: DataFrame, mode: str = "guided", id_col: str = "doc_id") -> DataFrame:
+def convert(pages: DataFrame, specs: DataFrame, mode: str = "guided", id_col: str = "doc_id", items: DataFrame | None = None, exclusions: DataFrame | None = None, separator: str = " ") -> DataFrame:
     """(id, markdown, ocr_pages, skipped_pages): the text path from page text to one document.
 
-    ``specs``: id, page_range (text), page_count. Pages that need recognition are reported and left out.
+    ``specs``: id, page_range (text), page_count. Every page of the range is in the document, below its marker. Pages that
+    need recognition, those flagged ``needs_ocr`` and those without text, are reported; nothing recognises them here, so
+    they are the skipped ones too. ``exclusions`` (id, page, rects, as ``exclusion.page_filters`` gives them) take content
+    away after that, so a page that they empty is not reported; the pages are built anew from ``items``. Then visual
+    lines are joined to paragraphs by ``mode``.
     """
+    from .exclusion import rebuild_pages
     from .paragraphs import join_pages
 
     want = specs.select(id_col, parse_range(F.col("page_range"), F.col("page_count")).alias("pages"))
     own = in_range(pages, want, id_col)
-    joined = join_pages(own.filter("NOT needs_ocr"), mode, "line_meta" in pages.columns)
-    text = assemble(joined, id_col=id_col)
-    status = own.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("needs_ocr"), F.col("page")))).alias("ocr_pages"))
-    return specs.select(id_col).join(text, id_col, "left").join(status, id_col, "left").select(id_col, F.coalesce("markdown", F.lit("")).alias("markdown"), F.coalesce("ocr_pages", F.array().cast("array<int>")).alias("ocr_pages"))
+    open_ = F.coalesce(F.col("needs_ocr"), F.lit(False)) | X.blank(F.coalesce("markdown", F.lit("")))
+    status = own.groupBy(id_col).agg(F.sort_array(F.collect_set(F.when(open_, F.col("page")))).alias("ocr_pages"))
+    if exclusions is not None:
+        own = rebuild_pages(own, items, exclusions, separator, (id_col, "page"))
+    text = assemble(join_pages(own, mode, "line_meta" in own.columns), id_col=id_col)
+    found = F.coalesce("ocr_pages", F.array().cast("array<int>"))
+    return specs.select(id_col).join(text, id_col, "left").join(status, id_col, "left").select(id_col, F.coalesce("markdown", F.lit("")).alias("markdown"), found.alias("ocr_pages"), found.alias("skipped_pages"))
 
 
 def merge_images(items: DataFrame, keys=("doc_id",)) -> DataFrame:

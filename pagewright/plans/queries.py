@@ -120,14 +120,6 @@ def text_durations(spark, sf_dir):
     return t.select("event_id", X.duration(1 + F.col("event_id") * 1000).alias("took"), X.confidence_class(F.col("event_id") % 10 / 10.0).alias("class"))
 
 
-@query("""SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) <= 1 THEN text ELSE NULL END AS single, length(text)::INTEGER AS n_in FROM documents""")
-def text_paragraphs_single(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    joined = paragraphs.join_text(d, "smart").select("doc_id", F.col("text").alias("joined"))
-    rows = d.join(joined, "doc_id")
-    return rows.select("doc_id", F.when(F.size(F.split("text", "\n")) <= 1, F.col("joined")).alias("single"), F.length("text").alias("n_in"))
-
-
 # ---- Lines ----
 
 
@@ -151,6 +143,15 @@ UNION ALL SELECT o.doc_id, o.page, o.item_no, o.k, CASE WHEN {new} THEN o.y ELSE
 SELECT doc_id, page, item_no, line_no FROM f"""
 
 
+#: Text lines put together to pages, with each line's left edge.
+PAGE_TEXT = """WITH RECURSIVE {items}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no) AS k FROM items),
+f AS (SELECT o.*, y AS anchor, greatest(font_size, 1) AS size, 1 AS line_no FROM o WHERE k = 1
+UNION ALL SELECT o.*, CASE WHEN abs(o.y - f.anchor) > greatest(0.5 * f.size, 3) THEN o.y ELSE f.anchor END, CASE WHEN abs(o.y - f.anchor) > greatest(0.5 * f.size, 3) THEN greatest(o.font_size, 1) ELSE f.size END, f.line_no + (abs(o.y - f.anchor) > greatest(0.5 * f.size, 3))::INTEGER FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1),
+l AS (SELECT doc_id, page, line_no, string_agg(text, ' ' ORDER BY k) AS line, min(x) AS x0 FROM f GROUP BY ALL),
+p AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS markdown, list(x0 ORDER BY line_no) AS meta FROM l GROUP BY ALL)
+{select}"""
+
+
 @query(_FOLD.format(items=ITEMS, new="abs(o.y - f.anchor) > greatest(0.5 * f.size, 3)"))
 def lines_text_layer(spark, sf_dir):
     return lines.text_lines(items(spark, sf_dir)).select("doc_id", "page", "item_no", "line_no")
@@ -161,7 +162,7 @@ def lines_drawn_table(spark, sf_dir):
     return lines.table_lines(items(spark, sf_dir)).select("doc_id", "page", "item_no", "line_no")
 
 
-@query()
+@query(PAGE_TEXT.format(items=ITEMS, select="SELECT doc_id, page, markdown, len(meta)::INTEGER AS lines FROM p"))
 def lines_page_text(spark, sf_dir):
     return lines.page_text(lines.line_table(lines.text_lines(items(spark, sf_dir)))).select("doc_id", "page", "markdown", F.size("line_meta").alias("lines"))
 
@@ -294,23 +295,31 @@ def pages_hybrid(spark, sf_dir):
     return pages.assemble(pages.hybrid(c, results, skipped))
 
 
-@query("""SELECT conv_id AS doc_id, coalesce(string_agg('<!-- Page ' || (turn + 1) || ' -->' || chr(10) || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) FILTER (turn < 2 AND role <> 'user'), '') AS markdown, coalesce(list_sort(array_agg((turn + 1)::INTEGER) FILTER (turn < 2 AND role = 'user')), []) AS ocr_pages FROM conversations GROUP BY 1""")
-def pages_convert(spark, sf_dir):
+#: Documents of the pages that are ``own``; of these, ``away`` have no text, and pages of the user need recognition.
+_CONVERTED = """SELECT conv_id AS doc_id, coalesce(string_agg('<!-- Page ' || (turn + 1) || ' -->' || chr(10) || chr(10) || CASE WHEN away THEN '' ELSE trim(text, ' ' || chr(10)) END, chr(10) || chr(10) ORDER BY turn) FILTER (own), '') AS markdown,
+coalesce(list_sort(array_agg((turn + 1)::INTEGER) FILTER (own AND (role = 'user' OR away))), []) AS ocr_pages, coalesce(list_sort(array_agg((turn + 1)::INTEGER) FILTER (own AND (role = 'user' OR away))), []) AS skipped_pages FROM c GROUP BY 1"""
+
+
+def _turns(spark, sf_dir):
+    """Turns as pages; every fifth has no text, blank or null."""
     c = table(spark, sf_dir, "conversations")
-    own = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("markdown"), (F.col("role") == "user").alias("needs_ocr"))
-    specs = c.groupBy(F.col("conv_id").alias("doc_id")).agg((F.max("turn") + 1).alias("page_count")).withColumn("page_range", F.lit("1-2"))
-    return pages.convert(own, specs)
+    k = F.col("turn") % 5
+    text = F.when(k == 3, F.lit(" \n")).when(k == 4, None).otherwise(F.col("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), text.alias("markdown"), F.when(F.col("role") == "user", True).when(k != 1, False).alias("needs_ocr"))
+
+
+@query(f"""WITH c AS (SELECT *, true AS own, turn % 5 >= 3 AS away FROM conversations) {_CONVERTED}""")
+def pages_convert(spark, sf_dir):
+    own = _turns(spark, sf_dir)
+    return pages.convert(own, own.groupBy("doc_id").agg(F.max("page").alias("page_count")).withColumn("page_range", F.lit("1-999999")))
 
 
-@query("""WITH c AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN true WHEN 1 THEN turn >= 1 WHEN 2 THEN turn <> 1 ELSE true END AS own FROM conversations)
-SELECT conv_id AS doc_id, coalesce(string_agg('<!-- Page ' || (turn + 1) || ' -->' || chr(10) || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) FILTER (own AND role <> 'user'), '') AS markdown, coalesce(list_sort(array_agg((turn + 1)::INTEGER) FILTER (own AND role = 'user')), []) AS ocr_pages FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT *, CASE conv_id % 4 WHEN 1 THEN turn >= 1 WHEN 2 THEN turn <> 1 ELSE true END AS own, turn % 5 >= 3 AS away FROM conversations) {_CONVERTED}""")
 def pages_convert_whole(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    own = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("markdown"), (F.col("role") == "user").alias("needs_ocr"))
+    own = _turns(spark, sf_dir)
     k = F.col("doc_id") % 4
     page_range = F.when(k == 1, "2-999999").when(k == 2, "1,999999-3").when(k == 3, "none")
-    specs = c.groupBy(F.col("conv_id").alias("doc_id")).agg((F.max("turn") + 1).alias("page_count")).withColumn("page_range", page_range)
-    return pages.convert(own, specs)
+    return pages.convert(own, own.groupBy("doc_id").agg(F.max("page").alias("page_count")).withColumn("page_range", page_range))
 
 
 # ---- Usage, merges ----
@@ -377,9 +386,9 @@ def catalog_unique_names(spark, sf_dir):
 # ---- Filters and page building ----
 
 
-@query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, text FROM items WHERE item_type IN ('Text', 'FormField') AND page = 2""")
+@query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, text FROM items WHERE item_type IN ('Text', 'FormField') """)
 def filter_text_items(spark, sf_dir):
-    return filters.text_items(items(spark, sf_dir), [2]).select("doc_id", "page", "item_no", "text")
+    return filters.text_items(items(spark, sf_dir), [1, 2]).select("doc_id", "page", "item_no", "text")
 
 
 @query(f"""WITH {ITEMS} SELECT doc_id, page, item_no, text FROM items WHERE item_type IN ('Text', 'FormField')""")
@@ -575,4 +584,4 @@ def pages_recognised_letters(spark, sf_dir):
     return _letters(pages_recognised_text(spark, sf_dir))
 
 
-from . import wide  # noqa: E402, F401 - adds its queries
+from . import whole, wide  # noqa: E402, F401 - add their queries

@@ -77,14 +77,12 @@ def md_order_export(spark, sf_dir):
     return markdown.export_totals(orders_markdown(spark, sf_dir), tables_only=False)
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE len(string_split(text, chr(10))) <= 200) SELECT doc_id, 0 AS chunk_no, '' AS marker, array_to_string(l, chr(10)) AS content FROM t
-UNION ALL SELECT 10000000 + l_orderkey, c.k, CASE c.k WHEN 0 THEN '' ELSE '<!-- Page ' || (1 + l_orderkey % 3) || ' -->' END, CASE c.k WHEN 0 THEN 'Order ' || l_orderkey || chr(10) ELSE chr(10) || count(*) || ' items' END FROM lineitem, (VALUES (0), (1)) c(k) GROUP BY l_orderkey, c.k""")
+@query("""SELECT l_orderkey AS doc_id, c.k AS chunk_no, CASE c.k WHEN 0 THEN '' ELSE '<!-- Page ' || (1 + l_orderkey % 3) || ' -->' END AS marker, CASE c.k WHEN 0 THEN 'Order ' || l_orderkey || chr(10) ELSE chr(10) || count(*) || ' items' END AS content FROM lineitem, (VALUES (0), (1)) c(k) GROUP BY l_orderkey, c.k""")
 def md_chunk_text(spark, sf_dir):
-    """Chunks word by word: documents of one chunk, and orders that a page marker cuts in two."""
+    """Chunks word by word: orders that a page marker cuts in two."""
     t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    orders = t.select((10_000_000 + F.col("l_orderkey")).alias("doc_id"), F.concat(F.lit("Order "), "l_orderkey", F.lit("\n<!-- Page "), 1 + F.col("l_orderkey") % 3, F.lit(" -->\n"), "n", F.lit(" items")).alias("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.size(F.split("text", "\n")) <= 200)
-    return markdown.preview_chunks(docs.unionByName(orders))
+    text = F.concat(F.lit("Order "), "l_orderkey", F.lit("\n<!-- Page "), 1 + F.col("l_orderkey") % 3, F.lit(" -->\n"), "n", F.lit(" items"))
+    return markdown.preview_chunks(t.select(F.col("l_orderkey").alias("doc_id"), text.alias("text")))
 
 
 # ---- Drawn tables, cell by cell ----

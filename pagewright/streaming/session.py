@@ -1,9 +1,15 @@
-"""Recognition sessions as a stateful stream, and rolling usage statistics.
-
-Events of a session arrive in any order of pages: ``start`` (with the page count), ``page`` results, ``fail``, ``skip``,
-``finish`` and ``abort``. State is one row a page; a finished session comes out as one document. A session lives for
-30 minutes from its start, whatever happens in it: events after that, or without a session, come out as ``late``. A
-session that never finishes is cleared by an event-time timer, so its state does not stay.
+"""Recognition sessions as stateful streams, and rolling usage statistics.
+
+Events of a session: ``start`` (``page``: how many pages the document has, ``markdown``: the range asked for, if any),
+``text`` (the text layer of a page), ``page`` (a result), ``fail``, ``skip``, ``finish`` and ``abort``. Two operators:
+
+* The gate, under one key, knows the live sessions, ``MAX_LIVE`` at most. A start that finds as many evicts the oldest, and
+  an eviction is one more event of that session. Its state is that many rows, whatever the stream; it sees starts and
+  ends only, not pages.
+* The assembler, by session, keeps a row for each page and layer. A finished session comes out as one document of all
+  pages asked for, in order: a skipped page's comment wins over a result, that over the text layer, and a page without
+  any keeps its marker. A session lives for 30 minutes from its start, whatever happens in it: events after that, after
+  an eviction or without a session come out as ``late``. An event-time timer clears sessions that never finish.
 """
 
 from __future__ import annotations
@@ -16,59 +22,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-#: Milliseconds that a session lives from its start.
+from ..operators.pages import parse_range
+from ..runtime import importable
+
+#: Milliseconds that a session lives from its start, and how many live at once.
 MAX_AGE_MS = 30 * 60 * 1000
+MAX_LIVE = 32
 OUTPUT = "session_id string, status string, markdown string, confidence double, failed_pages array<int>, skipped_pages array<int>"
+EVICTED = "session_id string, seq long, ts timestamp, kind string"
+
+
+def _millis(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1_000_000)
+
+
+class GateProcessor(StatefulProcessor):
+    """State: the live sessions and their starts. Comes out: an event for each session that had to make room."""
+
+    def __init__(self, most: int = MAX_LIVE):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", "session_id string", "start_ms long, seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        live = {k[0]: (v[0], v[1]) for k, v in self.live.iterator()}
+        before, out = set(live), []
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            live.pop(e.session_id, None)
+            if e.kind != "start":
+                continue
+            now = _millis(e.ts)
+            live = {k: v for k, v in live.items() if now - v[0] < MAX_AGE_MS}
+            while len(live) >= self.most:
+                oldest = min(live, key=live.get)
+                del live[oldest]
+                out.append((oldest, e.seq, e.ts, "evict"))
+            live[e.session_id] = (now, int(e.seq))
+        for gone in before - set(live):
+            self.live.removeKey((gone,))
+        for k, v in live.items():
+            self.live.updateValue((k,), v)
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "seq", "ts", "kind"])
+
+    def close(self) -> None:
+        pass
 
 
 class SessionProcessor(StatefulProcessor):
-    """State: ``head`` (start, page count, sums of confidence) and ``pages`` (page to text)."""
+    """State: ``head`` (start, pages asked for, sums of confidence), ``pages`` (text by page and layer), ``failed``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "start_ms long, total int, confidence double, results int")
-        self.pages = handle.getMapState("pages", "page int", "markdown string, kind string")
+        self.head = handle.getValueState("head", "start_ms long, targets array<int>, confidence double, results int")
+        self.pages = handle.getMapState("pages", "page int, layer string", "markdown string")
         self.failed = handle.getListState("failed", "page int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq")
         out = []
-        for e in events.itertuples(index=False):
-            ms = int(pd.Timestamp(e.ts).value // 1_000_000)
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            ms, page = _millis(e.ts), int(e.page) if pd.notna(e.page) else 0
             if e.kind == "start":
                 self._clear()
-                self.head.update((ms, int(e.page) if pd.notna(e.page) else 0, 0.0, 0))
+                self.head.update((ms, [int(p) for p in e.targets], 0.0, 0))
                 self.handle.registerTimer(ms + MAX_AGE_MS)
                 continue
-            if not self.head.exists() or ms - self.head.get()[0] >= MAX_AGE_MS:
-                if self.head.exists():
-                    self._clear()
-                if e.kind != "abort":
-                    out.append((key[0], "late", None, None, [], []))
+            if e.kind in ("abort", "evict"):
+                self._clear()
                 continue
-            start, total, confidence, results = self.head.get()
-            if e.kind == "page":
-                self.pages.updateValue((int(e.page),), (e.markdown, "ocr"))
-                self.head.update((start, total, confidence + float(e.confidence), results + 1))
-            elif e.kind == "text":
-                if not self.pages.containsKey((int(e.page),)):
-                    self.pages.updateValue((int(e.page),), ((e.markdown or "").strip(), "text"))
-            elif e.kind == "skip":
-                self.pages.updateValue((int(e.page),), (f"<!-- OCR skipped (page {int(e.page)}): {e.error} -->", "skip"))
-            elif e.kind == "fail":
-                self.pages.updateValue((int(e.page),), (f"<!-- OCR failed (page {int(e.page)}): {e.error} -->", "ocr"))
-                self.failed.appendValue((int(e.page),))
-            elif e.kind == "abort":
+            if not self.head.exists() or ms - self.head.get()[0] >= MAX_AGE_MS:
                 self._clear()
+                out.append((key[0], "late", None, None, [], []))
             elif e.kind == "finish":
-                found = sorted((p[0], v[0], v[1]) for p, v in self.pages.iterator())
-                text = "\n\n".join(f"<!-- Page {p} -->\n\n{m}" for p, m, _ in found)
-                mean = confidence / results if results else None
-                out.append((key[0], "finished", text, mean, sorted({f[0] for f in self.failed.get()}), [p for p, _, k in found if k == "skip"]))
+                out.append((key[0], *self._document()))
                 self._clear()
+            elif e.kind == "text":
+                self.pages.updateValue((page, "text"), ((e.markdown or "").strip(),))
+            elif e.kind == "skip":
+                self.pages.updateValue((page, "skip"), (f"<!-- OCR skipped (page {page}): {e.error} -->",))
+            elif e.kind == "fail":
+                self.pages.updateValue((page, "result"), (f"<!-- OCR failed (page {page}): {e.error} -->",))
+                self.failed.appendValue((page,))
+            elif e.kind == "page":
+                self.pages.updateValue((page, "result"), (e.markdown or "",))
+                if pd.notna(e.confidence):
+                    start, targets, confidence, results = self.head.get()
+                    self.head.update((start, targets, confidence + float(e.confidence), results + 1))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "status", "markdown", "confidence", "failed_pages", "skipped_pages"])
 
+    def _document(self) -> tuple:
+        _, targets, confidence, results = self.head.get()
+        found = {(k[0], k[1]): v[0] for k, v in self.pages.iterator()}
+        texts = [next((found[p, layer] for layer in ("skip", "result", "text") if (p, layer) in found), "") for p in targets]
+        markdown = "\n\n".join(f"<!-- Page {p} -->\n\n{text}" for p, text in zip(targets, texts, strict=True))
+        return "finished", markdown, confidence / results if results else None, [f[0] for f in self.failed.get()], sorted(p for p, layer in found if layer == "skip")
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark is past the session's end: nothing that belongs to it can still come."""
         self._clear()
@@ -85,13 +135,22 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def assemble_sessions(events: DataFrame, delay: str = "30 minutes") -> DataFrame:
-    """A stream of finished and late sessions; ``events``: session_id, seq, ts, kind, page, markdown, confidence, error.
+def assemble_sessions(events: DataFrame, delay: str = "30 minutes", most: int = MAX_LIVE) -> DataFrame:
+    """Finished and late sessions; ``events``: session_id, seq, ts, kind, page, markdown, confidence, error.
 
-    Needs the RocksDB state store. Age is judged by event times. A session's state goes when it finishes, or once the
-    watermark, ``delay`` behind the latest event, is past its end; events later than the watermark are left out.
+    ``seq`` orders events, of a session and of starts and ends among each other. A stream needs the RocksDB state store; a
+    table of events works as well. Age is judged by event times. A session's state goes when it finishes, aborts or is
+    evicted, or once the watermark, ``delay`` behind the latest event, is past its end; events later than the watermark
+    are left out. A failed page stands in ``failed_pages`` as often as it failed.
     """
-    own = events.withWatermark("ts", delay).groupBy("session_id")
+    # State stores, a table's too, are looked after by the session's stream manager, which begins when it is asked for.
+    assert importable(events.sparkSession).streams is not None
+    every = F.when(F.col("page") >= 1, F.sequence(F.lit(1), F.col("page"))).otherwise(F.array().cast("array<int>"))
+    targets = F.when(F.col("kind") == "start", F.coalesce(parse_range(F.col("markdown"), F.col("page")), every))
+    events = events.withColumn("targets", targets).withWatermark("ts", delay)
+    gate = events.filter(F.col("kind").isin("start", "finish", "abort")).select(F.lit("all").alias("gate"), "session_id", "seq", "ts", "kind").groupBy("gate")
+    evicted = gate.transformWithStateInPandas(statefulProcessor=GateProcessor(most), outputStructType=EVICTED, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts" if events.isStreaming else "")
+    own = events.unionByName(evicted, allowMissingColumns=True).groupBy("session_id")
     return own.transformWithStateInPandas(statefulProcessor=SessionProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 

@@ -98,6 +98,49 @@ def test_sessions(spark, tmp_path):
     assert abs(got["a"]["confidence"] - 0.7) < 1e-9 and got["a"]["failed_pages"] == [3]
 
 
+def run_sessions(spark, tmp_path, name, *batches, most=session.MAX_LIVE):
+    """What a stream of the given batches of events, one file each, puts out."""
+    names = [f.split(" ")[0] for f in EVENTS.split(", ")]
+    (tmp_path / name).mkdir()
+    for k, own in enumerate(batches):
+        (tmp_path / f"{name}/{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in own))
+        os.utime(tmp_path / f"{name}/{k}.json", (k + 1, k + 1))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = session.assemble_sessions(session.paced(spark, str(tmp_path / name), EVENTS), most=most)
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return spark.table(name).collect()
+
+
+def moment(second):
+    return f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}Z"
+
+
+def test_a_finished_session_has_all_pages_asked_for(spark, tmp_path):
+    """Over two batches: a page without any text keeps its marker, a skip wins over a result, that over the text layer,
+    whichever comes first; failures stand as often as they came; a range leaves pages out."""
+    begun = [("a", 1, moment(0), "start", 4, None, None, None), ("r", 2, moment(0), "start", 9, "7-5,99", None, None), ("a", 3, moment(1), "page", 1, "recognised", 0.5, None), ("a", 4, moment(1), "skip", 2, None, None, "user"), ("r", 5, moment(2), "text", 6, " six ", None, None)]
+    ended = [("a", 6, moment(3), "text", 1, "layer", None, None), ("a", 7, moment(3), "page", 2, "too late", 1.0, None), ("a", 8, moment(4), "fail", 3, None, None, "x"), ("a", 9, moment(4), "fail", 3, None, None, "y"), ("r", 10, moment(5), "page", 1, "not asked for", None, None), ("a", 11, moment(6), "finish", None, None, None, None), ("r", 12, moment(6), "finish", None, None, None, None)]
+    got = {r["session_id"]: r for r in run_sessions(spark, tmp_path, "whole", begun, ended)}
+    chunks = ["recognised", "<!-- OCR skipped (page 2): user -->", "<!-- OCR failed (page 3): y -->", ""]
+    assert got["a"]["markdown"] == "\n\n".join(f"<!-- Page {k + 1} -->\n\n{t}" for k, t in enumerate(chunks))
+    assert (got["a"]["confidence"], got["a"]["failed_pages"], got["a"]["skipped_pages"]) == (0.75, [3, 3], [2])
+    assert got["r"]["markdown"] == "<!-- Page 5 -->\n\n\n\n<!-- Page 6 -->\n\nsix\n\n<!-- Page 7 -->\n\n" and got["r"]["confidence"] is None
+
+
+def test_the_oldest_session_makes_room(spark, tmp_path):
+    """The 33rd start evicts the oldest that lives; finished and aborted sessions don't count."""
+    starts = [(f"s{k}", k, moment(k), "start", 1, None, None, None) for k in range(34)]
+    first = starts[:32] + [("s1", 100, moment(40), "abort", None, None, None, None)]
+    second = [(f"s{k}", 200 + k, moment(60 + k), "start", 1, None, None, None) for k in (32, 33)]  # room for one, then s0 goes
+    third = [(f"s{k}", 300 + k, moment(120), "finish", None, None, None, None) for k in range(34) if k != 1]
+    got = {r["session_id"]: r["status"] for r in run_sessions(spark, tmp_path, "room", first, second, third)}
+    assert got == {f"s{k}": "late" if k == 0 else "finished" for k in range(34) if k != 1}
+    small = [(f"t{k}", k, moment(k), "start", 1, None, None, None) for k in range(5)] + [(f"t{k}", 10 + k, moment(10), "finish", None, None, None, None) for k in range(5)]
+    got = {r["session_id"]: r["status"] for r in run_sessions(spark, tmp_path, "few", small, most=2)}
+    assert got == {"t0": "late", "t1": "late", "t2": "late", "t3": "finished", "t4": "finished"}
+
+
 def test_sessions_are_forgotten_and_progress_is_told(spark, tmp_path):
     at = lambda h, m: f"2024-01-01T{h:02d}:{m:02d}:00Z"
     names = [f.split(" ")[0] for f in EVENTS.split(", ")]
@@ -115,13 +158,13 @@ def test_sessions_are_forgotten_and_progress_is_told(spark, tmp_path):
         q = stream.writeStream.format("memory").queryName("forgotten").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination(180)
         batches = [p["numInputRows"] for p in q.recentProgress]
-        left = q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
-        assert batches[:3] == [2, 1, 1] and left == 0
+        left = [o["numRowsTotal"] for o in q.recentProgress[-1]["stateOperators"]]
+        assert batches[:3] == [4, 2, 2] and left == [0, 0]  # events are read for the gate and for the sessions
         for _ in range(100):
-            if told and told[-1][0] == 4:
+            if told and told[-1][0] == 8:
                 break
             time.sleep(0.1)
-        assert told[-1][0] == 4
+        assert told[-1][0] == 8
     finally:
         spark.streams.removeListener(listener)
 
