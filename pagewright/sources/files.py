@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import mime
+from .sink import write_files
 
 USAGE = "date string, kind string, fileCount long, pageCount long, ocrPageCount long, engine string, totalMs long"
 
@@ -78,9 +79,11 @@ def list_models(spark: SparkSession, path: str, meta_name: str = "layout-meta.js
     return meta.join(models, "dir", "left").na.fill(False, ["available"]).orderBy("dir")
 
 
-def write_markdown(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """One folder for each document, its text as it stands; existing output is replaced."""
-    docs.select(F.col(id_col), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(id_col).option("lineSep", "\n").text(path)
+def write_markdown(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> None:
+    """A file for each document, its text as it stands; names are the ids, or those of ``name_col``. Files of the same names
+    are replaced; all are written or none."""
+    name = F.col(name_col) if name_col else F.concat(F.col(id_col).cast("string"), F.lit(".md"))
+    write_files(docs.select(name.alias("name"), F.col(text_col).alias("content")), path)
 
 
 def export_config(rows: DataFrame, secrets: tuple[str, ...] = ("api_key",), include_secrets: bool = False) -> DataFrame:

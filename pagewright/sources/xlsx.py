@@ -1,21 +1,20 @@
-"""An XLSX sink: one workbook a document, written by Spark's Python data source interface with the standard library.
+"""An XLSX sink: one workbook a document, made with the standard library and written by the committed file sink.
 
-Rows are those of ``sheet_cells``. Each task writes whole workbooks, so rows must be grouped by document; ``write_xlsx``
-sees to that.
+Rows are those of ``sheet_cells``; a task holds the cells of one document at a time.
 """
 
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
-from collections.abc import Iterator
-from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from ..runtime import importable
+from .sink import write_files
 
 #: Cell formats by name, as numbers of the style sheet below.
 STYLES = {"cell": 1, "label": 2, "header": 3, "0.00%": 4}
@@ -75,53 +74,29 @@ def workbook(cells: list[tuple[int, int, str | None, float | None, str]]) -> byt
     return buffer.getvalue()
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: int
-
-
-class XlsxWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
-
-    def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
-        open_, cells, files = None, [], 0
-        for r in rows:
-            if open_ is not None and r["doc_id"] != open_:
-                files += self._put(open_, cells)
-                cells = []
-            open_ = r["doc_id"]
-            cells.append((r["row"], r["col"], r["str_value"], r["num_value"], r["format"]))
-        if open_ is not None:
-            files += self._put(open_, cells)
-        return Written(files)
-
-    def _put(self, doc_id, cells) -> int:
-        # A retried task replaces its own files: names depend on the document only.
-        end = os.path.join(self.path, f"{doc_id}.xlsx")
-        with open(f"{end}.part", "wb") as f:
-            f.write(workbook(cells))
-        os.replace(f"{end}.part", end)
-        return 1
-
-
-class XlsxSource(DataSource):
-    """``format("pagewright_xlsx")``; the path must be a folder that all executors share."""
+def workbooks(cells: DataFrame) -> DataFrame:
+    """(name, content): a workbook for each document of cells (doc_id, row, col, str_value, num_value, format)."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "pagewright_xlsx"
+    def run(batches):
+        open_, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if held and r["doc_id"] != open_:
+                    yield told(open_, held)
+                    held = []
+                open_ = r["doc_id"]
+                held.append((r["row"], r["col"], r["str_value"], r["num_value"], r["format"]))
+        if held:
+            yield told(open_, held)
 
-    def schema(self) -> str:
-        return "doc_id long, row long, col int, kind string, str_value string, num_value double, format string"
+    def told(doc_id, held):
+        return pa.RecordBatch.from_arrays([pa.array([f"{doc_id}.xlsx"]), pa.array([workbook(held)], pa.binary())], names=["name", "content"])
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return XlsxWriter(self.options["path"])
+    importable(cells.sparkSession)
+    own = cells.select("doc_id", "row", "col", "str_value", "num_value", "format")
+    return own.repartition("doc_id").sortWithinPartitions("doc_id", "row", "col").mapInArrow(run, "name string, content binary")
 
 
 def write_xlsx(cells: DataFrame, path: str) -> None:
-    spark = cells.sparkSession
-    spark.dataSource.register(XlsxSource)
-    own = cells.select("doc_id", "row", "col", "kind", "str_value", "num_value", "format")
-    own.repartition("doc_id").sortWithinPartitions("doc_id", "row", "col").write.format("pagewright_xlsx").mode("append").option("path", path).save()
+    """A workbook file for each document; all are written or none."""
+    write_files(workbooks(cells), path)

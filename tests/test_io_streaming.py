@@ -5,10 +5,11 @@ import os
 import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import catalog, filters, markdown
-from pagewright.sources import files, xlsx
+from pagewright.sources import documents, files, sink, xlsx
 from pagewright.streaming import session
 
 
@@ -71,7 +72,86 @@ def test_xlsx(spark, tmp_path):
 
 def test_markdown_out(spark, tmp_path):
     files.write_markdown(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), str(tmp_path / "o"))
-    assert "".join(p.read_text() for p in (tmp_path / "o").glob("doc_id=1/part*")) == "a\nb\n"
+    assert [p.name for p in (tmp_path / "o").iterdir()] == ["1.md"] and (tmp_path / "o/1.md").read_text() == "a\nb"
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("d"), F.col("id") % 3, F.lit("/n"), "id", F.lit(".md")).alias("name"))
+    files.write_markdown(many, str(tmp_path / "many"), name_col="name")
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == ["d0", "d1", "d2"] and (tmp_path / "many/d1/n1000.md").read_text() == "text 1000"
+    assert len(list((tmp_path / "many").rglob("*.md"))) == 2000
+
+
+def test_all_files_or_none(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/0.md").write_text("old")
+    rows = spark.range(0, 40, 1, 4).select(F.concat("id", F.lit(".md")).alias("name"), F.concat(F.lit("new "), "id").alias("content"))
+    left = lambda: {p.name: p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    broken = rows.withColumn("content", F.when(F.col("name") == "37.md", F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    outside = rows.withColumn("name", F.when(F.col("name") == "37.md", "../37.md").otherwise(F.col("name")))
+    twice = rows.unionByName(rows.limit(1))
+    for bad in (broken, outside, twice):
+        with pytest.raises(Exception, match="no|not a name|several rows"):
+            sink.write_files(bad, str(tmp_path / "out"))
+        assert left() == {"0.md": "old"} and [p.name for p in (tmp_path / "out").iterdir()] == ["0.md"]
+    with pytest.raises(Exception, match="0.md"):
+        sink.write_files(rows, str(tmp_path / "out"), replace=False)
+    assert left() == {"0.md": "old"}
+    sink.write_files(rows, str(tmp_path / "out"))
+    assert left() == {f"{k}.md": f"new {k}" for k in range(40)} and not [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
+
+
+def test_copy_missing(spark, tmp_path):
+    for name, text in (("a/x.bin", "1"), ("a/y.bin", "2"), ("z z.bin", "3")):
+        (tmp_path / "from" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "from" / name).write_text(text)
+    (tmp_path / "to/a").mkdir(parents=True)
+    (tmp_path / "to/a/x.bin").write_text("mine")
+    there = lambda d: {str(p.relative_to(tmp_path / d)): p.read_text() for p in (tmp_path / d).rglob("*.bin")}
+    assert sink.copy_missing(spark, str(tmp_path / "from"), str(tmp_path / "to")) == 2
+    assert there("to") == {"a/x.bin": "mine", "a/y.bin": "2", "z z.bin": "3"}
+    assert sink.copy_missing(spark, str(tmp_path / "from"), str(tmp_path / "to")) == 0
+    assert sink.copy_missing(spark, str(tmp_path / "from"), str(tmp_path / "new")) == 3 and there("new") == there("from")
+    assert sink.copy_missing(spark, str(tmp_path / "nowhere"), str(tmp_path / "to")) == 0
+
+
+class CountingPages(documents.StoredPages):
+    """Leaves a file for each page that it decodes."""
+
+    def decode(self, handle):
+        page = super().decode(handle)
+        with open(f"{os.environ['PAGEWRIGHT_COUNT']}/{page['page']}-{time.time_ns()}", "w"):
+            return page
+
+
+def test_page_source(spark, tmp_path, monkeypatch):
+    page_rows = spark.createDataFrame([(d, p, f"text {d}.{p}", p == 3) for d in (1, 2, 3) for p in (1, 2, 3)], "doc_id long, page int, markdown string, needs_ocr boolean")
+    item_rows = spark.createDataFrame([(d, p, k, f"i{k}", 1.0 * k, 2.0, 3.0, 12.0, 12.0, "Image" if k == 2 else "Text") for d in (1, 2, 3) for p in (1, 2) for k in (0, 1, 2)], "doc_id long, page int, item_no long, text string, x double, y double, width double, height double, font_size double, item_type string")
+    at = str(tmp_path / "docs")
+    sink.write_files(documents.stored(page_rows, item_rows), at)
+    back = documents.read_pages(spark, at).select(F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long").alias("doc_id"), "page", "markdown", "needs_ocr")
+    assert sorted(back.collect()) == sorted(page_rows.collect())
+    columns = item_rows.columns[1:]
+    again = documents.read_items(spark, at).select(F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long").alias("doc_id"), *columns)
+    assert sorted(again.collect()) == sorted(item_rows.collect())
+
+    # Only the pages asked for are decoded.
+    (tmp_path / "count").mkdir()
+    monkeypatch.setitem(spark.sparkContext.environment, "PAGEWRIGHT_COUNT", str(tmp_path / "count"))
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", f"{os.path.dirname(__file__)}:{spark.sparkContext.environment['PYTHONPATH']}")
+    counted = lambda: sorted(p.name[0] for p in (tmp_path / "count").iterdir())
+    decoder = f"{os.path.basename(__file__)[:-3]}:CountingPages"
+    assert documents.read_items(spark, at, decoder).filter("page = 2 AND item_type IN ('Text', 'FormField')").count() == 6 and counted() == ["2"] * 3
+    assert documents.read_pages(spark, at, decoder).filter("page >= 3").count() == 3 and counted() == ["2"] * 3 + ["3"] * 3
+    assert documents.read_pages(spark, at, decoder).filter("page < 2 AND markdown LIKE '%.1'").count() == 3 and counted() == ["1"] * 3 + ["2"] * 3 + ["3"] * 3
+    plan = documents.read_items(spark, at).filter("page = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan
+
+    # What can't be read is told, and stops nothing.
+    (tmp_path / "docs/bad.jsonl").write_text("no pages here")
+    (tmp_path / "docs/half.jsonl").write_text('{"page": 1, "markdown": "fine"}\n{"page": 2, broken')
+    found = documents.read_pages(spark, at)
+    errors = {(r["path"].rsplit("/", 1)[1], r["page"]) for r in found.filter("error IS NOT NULL").collect()}
+    assert errors == {("bad.jsonl", None), ("half.jsonl", 2)} and found.filter("error IS NULL").count() == 10
+    assert found.filter("page = 1").count() == 4 and documents.read_items(spark, at).filter("error IS NOT NULL").count() == 2
+    assert documents.read_pages(spark, str(tmp_path / "docs/1.jsonl")).count() == 3
 
 
 EVENTS = "session_id string, seq long, ts timestamp, kind string, page int, markdown string, confidence double, error string"
