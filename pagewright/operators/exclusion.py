@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.arrays import runs
 
 
 def rects_for_page(spec_pages: Column, use_for_all: Column, page: Column) -> Column:
@@ -50,15 +51,9 @@ def split_outside(rects: Column, left: Column, bottom: Column, width: Column, he
     counted = rects if strict_reference else F.filter(rects, lambda r: (bottom < r["y"] + r["height"]) & (r["y"] < bottom + height))
     inside = lambda i, own: F.exists(own, lambda r: (left + i * advance < r["x"] + r["width"]) & (left + (i + 1) * advance > r["x"]))
     kept = X.let(counted, lambda own: F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~inside(i, own)))
-
-    def grow(acc: Column, i: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        more = (F.size(acc) > 0) & (last["start"] + last["n"] == i)
-        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n"))))
-        return F.when(more, longer).otherwise(F.concat(acc, F.array(F.struct(i.alias("start"), F.lit(1).alias("n")))))
-
-    runs = F.aggregate(kept, F.array().cast("array<struct<start:int,n:int>>"), grow)
-    pieces = F.transform(runs, lambda r: F.struct((left + r["start"] * advance).alias("x"), (r["n"] * advance).alias("width"), F.substr(text, r["start"] + 1, r["n"]).alias("text")))
+    # Runs of kept characters: cut before each that does not follow the one before it.
+    found = X.let(kept, lambda own: runs(own, lambda k: F.get(own, k) != F.get(own, k - 1) + 1))
+    pieces = F.transform(found, lambda r: F.struct((left + F.get(r, F.lit(0)) * advance).alias("x"), (F.size(r) * advance).alias("width"), F.substr(text, F.get(r, F.lit(0)) + 1, F.size(r)).alias("text")))
     pieces = F.filter(pieces, lambda p: ~X.blank(p["text"]))
     whole = F.array(F.struct(left.alias("x"), width.alias("width"), text.alias("text")))
     none = F.slice(whole, 1, 0)

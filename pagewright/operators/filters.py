@@ -60,7 +60,7 @@ def ocr_page_text(blocks: DataFrame, separator: str = " ", mode: str = "smart",
     rows = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "t", "m"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["t"]), "\n")
     text = X.clean_ocr(text) if clean else text
-    found = rows.select(*keys, X.utrim(joined(text, F.transform("s", lambda x: x["m"]), F.lit(mode))).alias("markdown"))
+    found = rows.select(*keys, X.utrim(joined(text, F.transform("s", lambda x: x["m"]), mode)).alias("markdown"))
     every = blocks.select(*keys).distinct().join(found, list(keys), "left")
     return every.select(*keys, F.coalesce("markdown", F.lit("")).alias("markdown"), F.when(F.coalesce("markdown", F.lit("")) == "", "no text recognised").alias("error"))
 

@@ -1,7 +1,7 @@
 """Positioned text into lines.
 
 Two families that give different results. Anchored grouping compares each item with the first item of the open line,
-which never moves, so a line is a fold over the page's sorted items (an ``aggregate`` expression, no Python). Gap
+which never moves, so lines come from one pass over the page's sorted items that keeps the open line alone (``scan``). Gap
 grouping compares each block with the one before it, which windows express.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as X
+from ..functions.arrays import scan
 
 PAGE = ("doc_id", "page")
 
@@ -22,15 +23,15 @@ def anchored_numbers(items: Column, rule: str) -> Column:
     ``rule``: ``text`` opens a line beyond max(0.5 of the anchor's size, 3); ``table`` from max(0.4 of the item's own
     size, 3) on. ``at`` runs downwards or upwards, only distances count.
     """
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.abs(x["at"] - acc["at"])
-        size = F.greatest(acc["size"], F.lit(1.0))
-        far = gap > F.greatest(size * 0.5, F.lit(3.0)) if rule == "text" else gap >= F.greatest(x["size"] * 0.4, F.lit(3.0))
-        new = (F.size(acc["n"]) == 0) | far
-        return F.struct(F.when(new, x["at"]).otherwise(acc["at"]).alias("at"), F.when(new, x["size"]).otherwise(acc["size"]).alias("size"), F.concat(acc["n"], F.array(F.coalesce(F.try_element_at(acc["n"], F.lit(-1)), F.lit(0)) + new.cast("int"))).alias("n"))
-
-    zero = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("size"), F.array().cast("array<int>").alias("n"))
-    return F.aggregate(items, zero, step)["n"]
+    def step(line: Column, x: Column) -> Column:
+        gap = F.abs(x["at"] - line["at"])
+        far = gap > F.greatest(F.greatest(line["size"], F.lit(1.0)) * 0.5, F.lit(3.0)) if rule == "text" else gap >= F.greatest(x["size"] * 0.4, F.lit(3.0))
+        new = (line["n"] == 0) | far
+        n = line["n"] + new.cast("int")
+        state = F.struct(F.when(new, x["at"]).otherwise(line["at"]).alias("at"), F.when(new, x["size"]).otherwise(line["size"]).alias("size"), n.alias("n"))
+        return F.struct(state.alias("state"), n.alias("value"))
+
+    return scan(items, F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("size"), F.lit(0).alias("n")), step, "int")
 
 
 def _grouped(items: DataFrame, keys, at: Column, cross: Column, size: Column, no: str, rule: str, down: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.arrays import runs, scan
 from . import exclusion
 from .lines import image_table_lines, table_lines
 
@@ -59,18 +60,20 @@ def fold_continuations(rows: Column) -> Column:
     starts further right than the row before, in a column that has text above it, or in the same column as a row that
     itself continued. Rows without text are passed over.
     """
-    def step(acc: Column, r: Column) -> Column:
-        col, last = first_column(r["cells"]), F.try_element_at(acc, F.lit(-1))
+    kind = "struct<y:double,font_size:double,cells:array<string>,col:int,on:boolean>"
+
+    def step(last: Column, r: Column) -> Column:
+        col = first_column(r["cells"])
         wide = last["y"] - r["y"] > last["font_size"] * ROW_GAP
         right = (last["col"] < col) & ~X.blank(F.get(last["cells"], col))
-        goes_on = (F.size(acc) > 0) & ~wide & (col > 0) & (right | ((last["col"] == col) & last["on"]))
+        goes_on = F.coalesce(last.isNotNull() & ~wide & (col > 0) & (right | ((last["col"] == col) & last["on"])), F.lit(False))
         cells = F.transform(last["cells"], lambda c, i: F.when(X.blank(F.coalesce(F.get(r["cells"], i), F.lit(""))), c).otherwise(X.join_fragments(F.array(c, F.get(r["cells"], i)))))
-        record = lambda y, size, own, on: F.array(F.struct(y.alias("y"), size.alias("font_size"), own.alias("cells"), col.alias("col"), F.lit(on).alias("on")))
-        folded = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), record(r["y"], last["font_size"], cells, True))
-        return F.when(col.isNull(), acc).when(F.coalesce(goes_on, F.lit(False)), folded).otherwise(F.concat(acc, record(r["y"], r["font_size"], r["cells"], False)))
+        record = lambda size, own, on: F.struct(r["y"].alias("y"), size.alias("font_size"), own.alias("cells"), col.alias("col"), F.lit(on).alias("on"))
+        state = F.when(col.isNull(), last).when(goes_on, record(last["font_size"], cells, True)).otherwise(record(r["font_size"], r["cells"], False))
+        return F.struct(state.alias("state"), F.when(col.isNotNull() & ~goes_on & last.isNotNull(), last["cells"]).alias("value"))
 
-    zero = F.array().cast("array<struct<y:double,font_size:double,cells:array<string>,col:int,on:boolean>>")
-    return F.transform(F.aggregate(rows, zero, step), lambda x: x["cells"])
+    ended = lambda last: F.when(last.isNotNull(), F.array(last["cells"])).otherwise(F.array().cast("array<array<string>>"))
+    return scan(rows, F.lit(None).cast(kind), step, "array<string>", ended)
 
 
 def guided_records(rows: Column, merge_cols: Column) -> Column:
@@ -79,13 +82,11 @@ def guided_records(rows: Column, merge_cols: Column) -> Column:
     A record starts at each of the first two rows, at text in the first column and after a wide gap. Without chosen
     columns every row stays.
     """
-    def step(acc: Column, r: Column) -> Column:
-        group = F.try_element_at(acc, F.lit(-1))
-        before = F.try_element_at(group, F.lit(-1))
-        new = (F.size(acc) <= 1) | (F.coalesce(first_column(r["cells"]), F.lit(-1)) == 0) | (before["y"] - r["y"] > before["font_size"] * ROW_GAP)
-        return F.when(new, F.concat(acc, F.array(F.array(r)))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(group, F.array(r)))))
+    def starts(i: Column) -> Column:
+        row, before = F.get(rows, i), F.get(rows, i - 1)
+        return (i <= 1) | (F.coalesce(first_column(row["cells"]), F.lit(-1)) == 0) | (before["y"] - row["y"] > before["font_size"] * ROW_GAP)
 
-    groups = F.aggregate(rows, F.array().cast("array<array<struct<y:double,font_size:double,cells:array<string>>>>"), step)
+    groups = runs(rows, starts)
 
     def merge(group: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(F.get(group, F.lit(0))["cells"]) - 1)

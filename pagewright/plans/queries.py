@@ -584,4 +584,4 @@ def pages_recognised_letters(spark, sf_dir):
     return _letters(pages_recognised_text(spark, sf_dir))
 
 
-from . import whole, wide  # noqa: E402, F401 - add their queries
+from . import wide, whole  # noqa: E402, F401 - add their queries

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import exclusion, pages
+from ..functions import sql
+from ..operators import exclusion, lines, pages, paragraphs, tables
 from ..streaming import session
 from .inputs import ITEMS, items, table
-from .queries import _RECTS, PAGE_TEXT, _box, query
+from .queries import _RECTS, ORACLES, PAGE_TEXT, _box, query
+from .wide import orders_markdown
 
 # ---- Exclusions ----
 
@@ -81,3 +83,56 @@ def sessions_assembled(spark, sf_dir):
     its finish comes late; the last ones stay."""
     found = session.assemble_sessions(session_events(spark, sf_dir))
     return found.withColumn("failed_pages", F.sort_array("failed_pages"))
+
+
+# ---- Paragraphs by geometry, guided records, functions in SQL ----
+
+#: Lines of pages with their geometry, and for each whether it begins a paragraph.
+_LINES = PAGE_TEXT[: PAGE_TEXT.index("l AS (")].format(items=ITEMS) + """l AS (SELECT doc_id, page, line_no, string_agg(text, ' ' ORDER BY k) AS line, max(y) AS y, greatest(max(font_size), 1) AS font, min(x) AS x0, max(x + width) AS x1 FROM f GROUP BY ALL),
+b AS (SELECT *, lag(y) OVER w AS py, lag(font) OVER w AS pf, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, min(x0) OVER p AS l0, greatest(max(x1) OVER p - min(x0) OVER p, 1) AS wide FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no), p AS (PARTITION BY doc_id, page)),
+c AS (SELECT *, bool_or(coalesce(x0 - l0 >= font * 3.5 AND x0 <= px1 + font * 0.5, false)) OVER (PARTITION BY doc_id, page) AS in_columns FROM b),
+s AS (SELECT *, CASE WHEN py IS NULL OR py - y > pf * 1.2 * 1.5 OR abs(font - pf) > 0.5 THEN 1 WHEN x0 - l0 >= font * 3.5 AND x0 <= px1 + font * 0.5 THEN 0 WHEN in_columns AND x0 - l0 < font * 0.5 THEN 1 WHEN x0 - l0 > font * 1.5 AND px0 - l0 < pf * 0.5 THEN 1 WHEN px1 - l0 < wide * 0.6 AND x0 - l0 < font * 0.5 THEN 1 ELSE 0 END AS new FROM c),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS para FROM s)"""
+
+
+@query(f"""{_LINES} SELECT doc_id, page, string_agg(body, chr(10) ORDER BY para) AS markdown FROM (SELECT doc_id, page, para, string_agg(line, ' ' ORDER BY line_no) AS body FROM n GROUP BY ALL) GROUP BY ALL""")
+def text_paragraphs_geometric(spark, sf_dir):
+    """Paragraphs of pages whose every line has its geometry."""
+    built = lines.page_text(lines.line_table(lines.text_lines(items(spark, sf_dir))))
+    return paragraphs.join_pages(built, "smart", all_have_geometry=True).select("doc_id", "page", "markdown")
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no) AS k FROM items),
+f AS (SELECT o.*, y AS anchor, 1 AS line_no FROM o WHERE k = 1
+UNION ALL SELECT o.*, CASE WHEN abs(o.y - f.anchor) >= greatest(0.4 * o.font_size, 3) THEN o.y ELSE f.anchor END, f.line_no + (abs(o.y - f.anchor) >= greatest(0.4 * o.font_size, 3))::INTEGER FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1),
+c AS (SELECT doc_id, page, line_no, k, unnest(range(0, length(text))) AS j, text, x, width FROM f),
+g AS (SELECT doc_id, page, line_no, k, j, text[j + 1:j + 1] AS ch, x + (j + 0.5) * width / length(text) AS mid FROM c),
+v AS (SELECT doc_id, page, line_no, CASE WHEN mid < 200 THEN 0 WHEN mid < 350 THEN 1 ELSE 2 END AS col, string_agg(ch, '' ORDER BY k, j) AS v FROM g GROUP BY ALL),
+m AS (SELECT doc_id, page, line_no, max(y) AS y, max(font_size) AS font FROM f GROUP BY ALL),
+r AS (SELECT m.*, (SELECT min(col) FROM v WHERE v.doc_id = m.doc_id AND v.page = m.page AND v.line_no = m.line_no) AS first_col, lag(y) OVER w AS py, lag(font) OVER w AS pf, row_number() OVER w AS i FROM m WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+n AS (SELECT *, sum((i <= 2 OR first_col = 0 OR py - y > pf * 2.5)::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS row_no FROM r),
+j AS (SELECT n.doc_id, n.page, n.row_no, v.col, string_agg(v.v, ' ' ORDER BY n.line_no) AS every, arg_min(v.v, n.line_no) AS first FROM n JOIN v ON v.doc_id = n.doc_id AND v.page = n.page AND v.line_no = n.line_no GROUP BY ALL)
+SELECT t.doc_id, t.page, t.row_no::INTEGER AS row_no, k.col AS col_no, coalesce(CASE WHEN k.col = 1 THEN j.every ELSE j.first END, '') AS value FROM (SELECT DISTINCT doc_id, page, row_no FROM n) t CROSS JOIN (VALUES (0), (1), (2)) k(col) LEFT JOIN j ON j.doc_id = t.doc_id AND j.page = t.page AND j.row_no = t.row_no AND j.col = k.col""")
+def tables_guided_cells(spark, sf_dir):
+    """Records of drawn tables, cell by cell: the second column's lines joined, of the others the first with text."""
+    e = items(spark, sf_dir).select("doc_id", "page", "item_no", "text", "x", "y", "width", "font_size")
+    draw = e.select("doc_id", "page").distinct().select("*", F.array(F.lit(200.0), F.lit(350.0)).alias("v_lines"), F.lit(2000.0).alias("page_width"), F.array(F.lit(1)).alias("merge_cols"))
+    found = tables.vertical_tables(e, draw, mode="guided")
+    grid = found.select("doc_id", "page", F.posexplode(F.concat(F.array("columns"), "rows")).alias("row_no", "r"))
+    return grid.select("doc_id", "page", "row_no", F.posexplode("r").alias("col_no", "value"))
+
+
+@query(ORACLES["md_order_cells"])
+def sql_order_cells(spark, sf_dir):
+    """Cells of the tables in each order's Markdown by the table function, in SQL."""
+    sql.register(spark)
+    orders_markdown(spark, sf_dir).createOrReplaceTempView("order_texts")
+    return spark.sql("SELECT d.doc_id, t.table_no, t.row_no, t.col_no, t.value FROM order_texts d, LATERAL md_tables(d.text, cells => true) t")
+
+
+@query("""SELECT conv_id, turn, '<!-- Page ' || (turn + 1) || ' -->' AS marker, text[-1:] IN ('.', '!', '?', ';') AS ends, trim(text, ' ' || chr(10)) || ' next' AS joined, substr(text, 1, 300) AS snippet, lower(hex(role)) AS role, CASE WHEN turn < 3 THEN 'error' WHEN turn < 4 THEN 'warn' ELSE 'ok' END AS class FROM conversations""")
+def sql_turns(spark, sf_dir):
+    """Functions in a plain SQL query over all turns."""
+    sql.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("turns")
+    return spark.sql("SELECT conv_id, turn, page_marker(CAST(turn + 1 AS INT)) AS marker, ends_sentence(text) AS ends, join_pieces(unicode_trim(text), 'next') AS joined, text_snippet(text) AS snippet, to_lower_hex(role) AS role, confidence_class(turn / 5.5) AS class FROM turns")

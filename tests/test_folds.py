@@ -1,11 +1,13 @@
 """Folds and page sets against small models, many random cases in one DataFrame each."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from pagewright.functions import arrays
 from pagewright.functions import text as X
-from pagewright.operators import catalog, lines, pages, tables
+from pagewright.operators import catalog, lines, pages, paragraphs, tables
 
 
 def test_anchored_lines(spark):
@@ -103,3 +105,60 @@ def test_folded_rows(spark):
 def test_paths_and_addresses(spark):
     row = spark.sql("SELECT 1").select(X.completions_url(F.lit("http://a/v1/")).alias("a"), X.completions_url(F.lit("http://a/v1"), True).alias("b"), X.completions_url(F.lit("http://a")).alias("c"), X.display_name(F.lit("abcdefghij"), 6).alias("d"), X.is_inside(F.lit("C:\\x\\y"), F.lit("C:/x/")).alias("e"), X.is_inside(F.lit("/xy/z"), F.lit("/x")).alias("f"), X.snippet(F.lit("abc"), 2).alias("g")).first()
     assert tuple(row) == ("http://a/v1/chat/completions", "http://a/v1", "http://a/v1/chat/completions", "abc…ij", True, False, "ab")
+
+
+def test_long_pages_take_linear_time(spark):
+    """A page of 100 000 items into lines, and texts of 10 000 and 20 000 lines into paragraphs: twice as many lines take
+    about twice as long, not four times."""
+    n = 100_000
+    items = spark.range(0, n, 1, 1).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("item_no"), (F.col("id") % 7).cast("double").alias("x"), (-F.floor(F.col("id") / 7) * 20).cast("double").alias("y"), F.lit(12.0).alias("font_size"))
+    began = time.perf_counter()
+    found = lines.text_lines(items).agg(F.max("line_no").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    assert (found["m"], found["n"]) == (-(-n // 7), n) and time.perf_counter() - began < 60
+
+    def seconds(size):
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.lit("word "), i, F.lit(" goes on and on"), F.when(i % 5 == 0, ".").otherwise(""))), "\n")
+        docs = spark.range(0, 1, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            out = paragraphs.join_text(docs, "smart").first()["text"]
+            took.append(time.perf_counter() - began)
+        assert out.count("\n") == size // 5 - 1
+        return min(took)
+
+    seconds(1000)
+    assert seconds(20_000) < 3.2 * seconds(10_000) + 1
+
+
+def test_runs_and_scans(spark):
+    """Cut arrays and running values equal plain ones, over the borders of chunks too."""
+    rows = spark.createDataFrame([(k, list(range(k))) for k in (0, 1, 2, 255, 256, 257, 513, 800)], "k int, own array<int>")
+    cut = arrays.runs(F.col("own"), lambda i: F.get(F.col("own"), i) % 3 == 0)
+    total = arrays.scan(F.col("own"), F.lit(0), lambda s, x: F.struct((s + x).alias("state"), F.when(x % 2 == 0, s + x).alias("value")), "int", lambda s: F.array(s))
+    for r in rows.select("k", cut.alias("cut"), total.alias("total")).collect():
+        k = r["k"]
+        assert r["cut"] == [list(range(s, min(s + 3, k))) for s in range(0, k, 3)]
+        sums = [sum(range(x + 1)) for x in range(k)]
+        assert r["total"] == [s for x, s in enumerate(sums) if x % 2 == 0] + [sums[-1] if sums else 0]
+
+
+def test_neighbours_alone_decide_by_geometry(spark):
+    """Pages on which every line has its geometry come out as the fold has them, without an aggregate in the plan."""
+    draw = random.Random(12)
+    texts = ["Some words", "inter-", "national", "一行字", "二行 ", "  indented", "| a | b |", "```", "", "1. item", "ends.", "x-", "UPPER-", "-", "a b"]
+    meta = lambda y: (float(y), draw.choice([12.0, 12.0, 14.0]), float(draw.choice([72, 72, 96, 130, 300])), float(draw.choice([100, 300, 500])))
+    rows = []
+    for k in range(300):
+        n = draw.randrange(1, 14)
+        own = [draw.choice(texts) for _ in range(n)]
+        own = own if own[-1] else [*own[:-1], "end"]
+        rows.append((k, "\n".join(own), [meta(800 - draw.choice([14, 14, 14, 40]) * i) for i in range(n)]))
+    pages = spark.createDataFrame(rows, "doc_id int, markdown string, line_meta array<struct<y:double,font_size:double,x0:double,x1:double>>")
+    fast = paragraphs.join_pages(pages, "smart", all_have_geometry=True)
+    # A geometry for one line too many sends a page to the fold.
+    folded = paragraphs.join_pages(pages.withColumn("line_meta", F.concat("line_meta", F.slice("line_meta", 1, 0), F.array(F.lit(None).cast("struct<y:double,font_size:double,x0:double,x1:double>")))), "smart")
+    got, want = ({r["doc_id"]: r["markdown"] for r in df.collect()} for df in (fast, folded))
+    assert got == want and "aggregate(" not in fast._jdf.queryExecution().analyzed().toString()
+    none = paragraphs.join_pages(pages, "none")
+    assert "aggregate(" not in none._jdf.queryExecution().analyzed().toString()
