@@ -10,19 +10,24 @@ LARGEST = 4294967295
 COUNTERS = ["file_count", "page_count", "ocr_page_count", "total_ms", "pdf_file_count", "pdf_page_count", "pdf_ocr_page_count", "image_file_count", "local_ocr_page_count", "ai_ocr_page_count"]
 
 
-def usage_stats(log: DataFrame, today: str) -> DataFrame:
-    """(period, ten counters) for total, month and today: one row each, zeros where nothing happened.
-
-    ``log``: date (text, YYYY-MM-DD), kind, fileCount, pageCount, ocrPageCount, engine, totalMs. One pass: partial sums
-    by period, which overlap, are conditional aggregates.
-    """
+def counters() -> dict[str, Column]:
+    """What a line of the log adds to each counter, null for nothing."""
     pdf, image = F.col("kind").isin("pdf", "drawTable"), F.col("kind").isin("image", "imageTable", "screenshot")
-    values = {
+    return {
         "file_count": F.col("fileCount"), "page_count": F.col("pageCount"), "ocr_page_count": F.col("ocrPageCount"), "total_ms": F.col("totalMs"),
         "pdf_file_count": F.when(pdf, F.col("fileCount")), "pdf_page_count": F.when(pdf, F.col("pageCount")), "pdf_ocr_page_count": F.when(pdf, F.col("ocrPageCount")),
         "image_file_count": F.when(image, F.col("fileCount")),
         "local_ocr_page_count": F.when(F.col("engine") == "local", F.col("ocrPageCount")), "ai_ocr_page_count": F.when(F.col("engine") == "ai", F.col("ocrPageCount")),
     }
+
+
+def usage_stats(log: DataFrame, today: str) -> DataFrame:
+    """(period, ten counters) for total, month and today: one row each, zeros where nothing happened.
+
+    ``log``: date (text, YYYY-MM-DD), kind, fileCount, pageCount, ocrPageCount, engine, totalMs. One pass: partial sums
+    by period, which overlap, are conditional aggregates.
+    """
+    values = counters()
     periods = {"total": F.lit(True), "month": F.substring("date", 1, 7) == today[:7], "today": F.col("date") == today}
 
     def total(when: Column, name: str) -> Column:

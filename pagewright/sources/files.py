@@ -38,11 +38,17 @@ def decode_image(image: Column, scale: Column) -> Column:
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
     """The usage log (JSON lines); lines that can't be read are passed over."""
-    return spark.read.schema(USAGE).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(USAGE).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(path)
 
 
-def append_usage(rows: DataFrame, path: str) -> None:
-    rows.select(*[f.split(" ")[0] for f in USAGE.split(", ")]).write.mode("append").json(path)
+def append_usage(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Add to the usage log. A stream's batch has a part of the log to itself, so one that is written again, after a
+    failure, takes its own place and nothing counts twice: ``writeStream.foreachBatch(lambda b, n: append_usage(b, path, n))``."""
+    own = rows.select(*[f.split(" ")[0] for f in USAGE.split(", ")])
+    if batch_id is None:
+        own.write.mode("append").json(path)
+    else:
+        own.write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch_id}")
 
 
 def parse_config(text: Column, schema: str, defaults: dict, strict: bool = False) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators.pages import parse_range
+from ..operators.usage import COUNTERS, LARGEST, counters
 from ..runtime import importable
 
 #: Milliseconds that a session lives from its start, and how many live at once.
@@ -187,6 +188,70 @@ class Progress(StreamingQueryListener):
         self.report(self.rows, self.batch)
 
 
+class PeriodProcessor(StatefulProcessor):
+    """State: the day that is today, and the sums of each period. Midnight, by the watermark, is a timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.today = handle.getValueState("today", "day string")
+        self.sums = handle.getMapState("sums", "period string", "sums array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        days = pd.concat(list(rows)).groupby("date")[COUNTERS].sum().sort_index()
+        for day, added in days.iterrows():
+            if not self.today.exists() or day > self.today.get()[0]:
+                self._roll(day)
+            today = self.today.get()[0]
+            for period, own in (("total", True), ("month", day[:7] == today[:7]), ("today", day == today)):
+                if own:
+                    self.sums.updateValue((period,), ([a + int(b) for a, b in zip(self._of(period), added, strict=True)],))
+        yield self._told()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = str(pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms").date())
+        if day > self.today.get()[0]:
+            self._roll(day)
+            yield self._told()
+
+    def _of(self, period: str) -> list[int]:
+        return list(self.sums.getValue((period,))[0]) if self.sums.containsKey((period,)) else [0] * len(COUNTERS)
+
+    def _roll(self, day: str) -> None:
+        if self.today.exists():
+            self.handle.deleteTimer(self._midnight(self.today.get()[0]))
+            if self.today.get()[0][:7] != day[:7] and self.sums.containsKey(("month",)):
+                self.sums.removeKey(("month",))
+            if self.sums.containsKey(("today",)):
+                self.sums.removeKey(("today",))
+        self.today.update((day,))
+        self.handle.registerTimer(self._midnight(day))
+
+    @staticmethod
+    def _midnight(day: str) -> int:
+        return _millis(pd.Timestamp(day) + pd.Timedelta(days=1))
+
+    def _told(self) -> pd.DataFrame:
+        shown = [[p, *[n if c == "total_ms" else min(n, LARGEST) for c, n in zip(COUNTERS, self._of(p), strict=True)]] for p in ("total", "month", "today")]
+        return pd.DataFrame(shown, columns=["period", *COUNTERS]).assign(day=self.today.get()[0])
+
+    def close(self) -> None:
+        pass
+
+
+def usage_periods(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """A stream of the usage statistics: (period, ten counters, day) for total, month and today, whenever they change.
+
+    ``log``: the usage log as a stream. Its days are its event times; today is the latest day that has come, or that the
+    watermark, ``delay`` behind, has reached: then today, and with a new month the month, begin at zero. A line that comes
+    late counts in the periods that its day lies in. One key, as there is one log.
+    """
+    importable(log.sparkSession)
+    added = {c: F.coalesce(v, F.lit(0)).cast("long").alias(c) for c, v in counters().items()}
+    own = log.withColumn("ts", F.to_timestamp("date")).withWatermark("ts", delay).select(F.lit("all").alias("log"), "ts", "date", *added.values())
+    found = "period string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", day string"
+    return own.groupBy("log").transformWithStateInPandas(statefulProcessor=PeriodProcessor(), outputStructType=found, outputMode="Update", timeMode="EventTime")
+
+
 def rolling_usage(log: DataFrame) -> DataFrame:
     """A stream of usage by day and kind (complete mode); ``log``: the usage log as a stream."""
     return log.groupBy("date", "kind").agg(F.sum("fileCount").alias("file_count"), F.sum("pageCount").alias("page_count"), F.sum("ocrPageCount").alias("ocr_page_count"), F.sum("totalMs").alias("total_ms"))

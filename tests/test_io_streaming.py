@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import catalog, filters, markdown
+from pagewright.operators import catalog, filters, markdown, usage
 from pagewright.sources import documents, files, sink, xlsx
 from pagewright.streaming import session
 
@@ -38,6 +38,54 @@ def test_usage_log(spark, tmp_path):
     assert files.read_usage(spark, str(tmp_path / "log")).count() == 2
 
 
+def test_a_batch_of_the_log_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-05", "pdf", 1, 10, 3, "local", 900), ("2024-01-06", "image", 2, 0, 2, "ai", 5)], files.USAGE)
+    for batch in (0, 1, 1, 0):
+        files.append_usage(rows, str(tmp_path / "log"), batch)
+    assert files.read_usage(spark, str(tmp_path / "log")).count() == 4
+
+
+def test_usage_periods_roll_over(spark, tmp_path):
+    """After every batch the stream has what the statistics of the whole log so far are; a new day and a new month begin
+    at zero, and lines that come late count where their day lies."""
+    names = [f.split(" ")[0] for f in files.USAGE.split(", ")]
+    line = lambda day, kind="pdf", n=1, engine="local": (day, kind, n, 10 * n, 3 * n, engine, 100 * n)
+    batches = [[line("2024-01-30"), line("2024-01-31", "image", 2)], [line("2024-01-31", n=5), line("2024-01-29", "screenshot", 3, "ai")], [line("2024-02-01", n=7)], [line("2024-02-01", "drawTable", 11), line("2024-01-31", n=13)], [line("2024-02-03", n=17)]]
+    (tmp_path / "in").mkdir()
+    for k, own in enumerate(batches):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in own))
+        os.utime(tmp_path / f"in/{k}.json", (k + 1, k + 1))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seen = []
+    stream = session.usage_periods(session.paced(spark, str(tmp_path / "in"), files.USAGE), "30 days")
+    q = stream.writeStream.foreachBatch(lambda b, n: seen.append(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    seen = [rows for rows in seen if rows]
+    assert len(seen) == len(batches)
+    for k, rows in enumerate(seen):
+        log = [r for own in batches[: k + 1] for r in own]
+        today = max(r[0] for r in log)
+        want = usage.usage_stats(spark.createDataFrame(log, files.USAGE), today).collect()
+        assert {tuple(r)[:-1] for r in rows} == {tuple(r) for r in want} and {r["day"] for r in rows} == {today}
+    assert {r["period"]: r["file_count"] for r in seen[2]} == {"total": 18, "month": 7, "today": 7}
+
+
+def test_days_and_months_without_lines(spark, tmp_path):
+    """A day without a line lies between two that have some, and the month ends there; timers of days gone by change nothing."""
+    names = [f.split(" ")[0] for f in files.USAGE.split(", ")]
+    (tmp_path / "in").mkdir()
+    for k, day in enumerate(("2024-03-31", "2024-04-02")):
+        (tmp_path / f"in/{k}.json").write_text(json.dumps(dict(zip(names, (day, "pdf", 1, 1, 1, "local", 1), strict=True))))
+        os.utime(tmp_path / f"in/{k}.json", (k + 1, k + 1))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seen = []
+    log = session.paced(spark, str(tmp_path / "in"), files.USAGE)
+    q = session.usage_periods(log).writeStream.foreachBatch(lambda b, n: seen.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    last = {r["period"]: (r["file_count"], r["day"]) for r in seen[-3:]}
+    assert last == {"total": (2, "2024-04-02"), "month": (1, "2024-04-02"), "today": (1, "2024-04-02")}
+
+
 def test_config(spark):
     rows = spark.createDataFrame([('{"a": 5}',), ("broken",), (None,)], "t string")
     got = [r["c"].asDict() for r in rows.select(files.parse_config(F.col("t"), "a int, b string", {"a": 1, "b": "x"}).alias("c")).collect()]
