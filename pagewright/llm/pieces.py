@@ -238,6 +238,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     made of the seed and the id alone. Null and empty texts give no ids; rows with equal ids and texts give equal
     segmentations. With ``digest``: n_chars, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32
     (of the decoded text's UTF-8) and lossless (whether decoding gave back the text).
+
+    Texts of any length are segmented whole. Repeated rows each come back. An empty table gives no rows. Extra columns play
+    no part, whatever their names.
     """
     prepare(docs.sparkSession)
 

@@ -177,7 +177,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learn from rows where ``train`` holds and the label is 0 or 1.
 
-    Of ids with several labels the largest counts. Without labels of both kinds the model scores every text 0.
+    Of ids with several labels the largest counts; null ids and labels teach nothing. Copies of a text count once, whatever
+    their ids. Texts of any length are read whole. Without labels of both kinds, as on empty tables, the model scores
+    every text 0. Extra columns play no part.
     """
     spark = prepare(docs.sparkSession)
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -243,7 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id and score of each row; null and empty texts get the score of a text in which no voter fires."""
+    """id and score of each row; null and empty texts get the score of a text in which no voter fires.
+
+    Texts of any length are read whole. Equal texts score equal, so repeated rows and ties do too; each row comes back. An
+    empty table gives no rows. Extra columns play no part, whatever their names.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
