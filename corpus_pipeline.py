@@ -1,6 +1,8 @@
 """The corpus pipeline: language, toxicity, near duplicates, repeated passages, packing.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents,
+whatever other columns there are and whatever their names. Null texts are empty texts, and texts of any length are read
+whole. Ids may be null or repeat: rows are told apart by id and text. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,22 +18,32 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned and can be told; those that the model isn't sure of go."""
+    """Documents in a language that was learned and can be told; those that the model isn't sure of go.
+
+    Null and empty texts, and texts without a letter, go. Repeated rows stay as they are.
+    """
     return language.known(docs, train=F.lit(True), least=language.LEAST)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier scores below 0.5."""
+    """Documents that the toxicity classifier scores below 0.5; a score of 0.5 goes. Empty texts stay, repeated rows too."""
     return toxicity.harmless(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), train=F.lit(True)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group whose five-word shingles are 0.8 alike or more."""
+    """One document, that with the smallest id, of each group whose five-word shingles are 0.8 alike or more.
+
+    Similarity is exact, so every document that goes has a partner that is alike; a similarity of 0.8 itself links. Of
+    repeated rows one stays; null ids stay only where their group has no other.
+    """
     return simhash.keep_one(docs, width=5, least=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; of texts with passages that repeat across the corpus only the other words stay."""
+    """All documents; of texts with passages that repeat across the corpus only the other words stay, joined by one space.
+
+    Texts without such passages stay letter by letter, null ones too; of repeated rows every copy's passages go.
+    """
     # The row travels in a struct, so that no column of documents clashes with one of the operator's.
     found = substrings.remove_repeated(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
@@ -42,7 +54,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 2048 tokens."""
+    """Pieces of token sequences of at most 2048 tokens; an empty text is its separator alone, repeated rows are packed each."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
