@@ -11,8 +11,8 @@ from ..sources import files
 from .inputs import BLOCKS, ITEMS, blocks, items, table
 from .queries import BOX, query
 
-#: Line numbers repeat within an order: a number that tells its items apart, and the same in SQL.
-_SEQ = "l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey"
+#: Line numbers repeat within an order: a number that tells apart items that differ in what is asked of them, the same in SQL.
+_SEQ = "((l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT))"
 
 # ---- Markdown: a document for each order ----
 
