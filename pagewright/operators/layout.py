@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..runtime import checkpointed
 from .lines import grid_cells, is_table_like, ocr_lines, ordered_text
 from .markdown import render_table
 
@@ -106,34 +107,47 @@ def assemble(blocks: DataFrame, regions: DataFrame, pages: DataFrame, separator:
     return pages.select(*keys).join(found, list(keys), "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
 
 
-def _cut(boxes: pd.DataFrame, width: float, height: float) -> list[int]:
-    """Reading order of boxes by recursive cuts along the widest gap, columns before rows."""
-    if len(boxes) < 2:
-        return list(boxes.index)
-    for low, size, extent in (("x", "width", width), ("y", "height", height)):
-        own = boxes.sort_values([low, "region_no"])
-        reach = (own[low] + own[size]).cummax().shift()
-        gap = (own[low] - reach).fillna(0.0)
-        if gap.max() >= max(0.02 * extent, 12.0):
-            at = int(gap.to_numpy().argmax())
-            return _cut(own.iloc[:at], width, height) + _cut(own.iloc[at:], width, height)
-    return list(boxes.sort_values(["y", "x", "region_no"]).index)
+#: Gaps that a cut needs: a share of the page's side, and pixels at least.
+GAP_SHARE, GAP_LEAST = 0.02, 12.0
 
 
-def reading_order(regions: DataFrame, pages: DataFrame, keys=PAGE) -> DataFrame:
-    """Regions with ``reading_no`` (from 0) by recursive XY cuts; for detectors without an order of their own.
+def _cut_level(rows: DataFrame, keys) -> DataFrame:
+    """Each node's boxes with ``cut`` (whether the node has a gap that is wide enough) and ``side`` (0 before it, 1 from it on).
 
-    The cuts recurse, which expressions can't, so each page is one small pandas group.
+    Along an axis boxes stand by their low edge, and a gap lies between a box and the furthest reach of those before it.
+    The first of the widest gaps counts, columns before rows.
     """
-    rows = regions.join(pages, list(keys)).select(*keys, "region_no", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height", "width_px", "height_px")])
+    node = W.Window.partitionBy(*keys, "path")
+    for a, low, size, extent in (("_x", "x", "width", "width_px"), ("_y", "y", "height", "height_px")):
+        order = node.orderBy(low, "region_no")
+        reach = F.max(F.col(low) + F.col(size)).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
+        rows = rows.withColumns({f"{a}at": F.row_number().over(order), f"{a}gap": F.coalesce(F.col(low) - reach, F.lit(0.0))})
+        rows = rows.withColumn(f"{a}widest", F.max(f"{a}gap").over(node))
+        rows = rows.withColumn(f"{a}first", F.min(F.when(F.col(f"{a}gap") == F.col(f"{a}widest"), F.col(f"{a}at"))).over(node))
+        rows = rows.withColumn(f"{a}cut", F.col(f"{a}widest") >= F.greatest(F.col(extent) * GAP_SHARE, F.lit(GAP_LEAST)))
+    side = F.when(F.col("_xcut"), F.col("_xat") >= F.col("_xfirst")).otherwise(F.col("_yat") >= F.col("_yfirst")).cast("int")
+    return rows.withColumns({"cut": F.col("_xcut") | F.col("_ycut"), "side": side}).drop(*[f"{a}{n}" for a in ("_x", "_y") for n in ("at", "gap", "widest", "first", "cut")])
+
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        order = _cut(page.reset_index(drop=True), page["width_px"].iloc[0], page["height_px"].iloc[0])
-        own = page.reset_index(drop=True).loc[order, [*keys, "region_no"]]
-        return own.assign(reading_no=range(len(own)))
+def reading_order(regions: DataFrame, pages: DataFrame, keys=PAGE) -> DataFrame:
+    """Regions with ``reading_no`` (from 0) by recursive XY cuts; for detectors without an order of their own.
 
-    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in (*keys, "region_no")) + ", reading_no int"
-    return regions.join(rows.groupBy(*keys).applyInPandas(run, schema), [*keys, "region_no"])
+    The cuts of all pages are made level by level: a round finds the widest gaps of all open nodes by windows over (page,
+    node), and splits them, until none splits; a node is named by its path of sides, so paths put nodes in reading order.
+    Boxes of a node that isn't cut stand by y, then x. A round is cut off from the one before by a checkpoint; there are
+    as many as the deepest page has levels.
+    """
+    rows = regions.join(pages, list(keys)).select(*keys, "region_no", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height", "width_px", "height_px")], F.lit("").alias("path"))
+    done = None
+    while True:
+        level = checkpointed(_cut_level(rows, keys))
+        leaves = level.filter("NOT cut").select(*keys, "region_no", "x", "y", "path")
+        done = leaves if done is None else done.unionByName(leaves)
+        if not level.filter("cut").take(1):
+            break
+        rows = level.filter("cut").withColumn("path", F.concat("path", F.col("side").cast("string"))).drop("cut", "side")
+    number = F.row_number().over(W.Window.partitionBy(*keys).orderBy("path", "y", "x", "region_no")) - 1
+    return regions.join(done.select(*keys, "region_no", number.alias("reading_no")), [*keys, "region_no"])
 
 
 def mean_confidence(blocks: DataFrame, keys=PAGE) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import sql
-from ..operators import exclusion, lines, pages, paragraphs, tables
+from ..operators import exclusion, layout, lines, pages, paragraphs, tables
 from ..streaming import session
 from .inputs import ITEMS, items, table
 from .queries import _RECTS, ORACLES, PAGE_TEXT, _box, query
-from .wide import orders_markdown
+from .wide import _SEQ, orders_markdown
 
 # ---- Exclusions ----
 
@@ -136,3 +137,21 @@ def sql_turns(spark, sf_dir):
     sql.register(spark)
     table(spark, sf_dir, "conversations").createOrReplaceTempView("turns")
     return spark.sql("SELECT conv_id, turn, page_marker(CAST(turn + 1 AS INT)) AS marker, ends_sentence(text) AS ends, join_pieces(unicode_trim(text), 'next') AS joined, text_snippet(text) AS snippet, to_lower_hex(role) AS role, confidence_class(turn / 5.5) AS class FROM turns")
+
+
+# ---- Reading order ----
+
+
+@query(f"""WITH i AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SEQ}) - 1 AS k FROM lineitem),
+b AS (SELECT doc_id, k AS region_no, CASE WHEN k = 0 THEN 0 WHEN k % 2 = 1 THEN 1 ELSE 2 END AS part, k FROM i)
+SELECT doc_id, 1 AS page, region_no::BIGINT AS region_no, (row_number() OVER (PARTITION BY doc_id ORDER BY part, k DESC) - 1)::INTEGER AS reading_no FROM b""")
+def layout_reading_order(spark, sf_dir):
+    """A page for each order: a title over both columns, below it the items by turns in the left and the right one, from the
+    bottom up. Rows are cut first where the title spans the columns, then columns, then rows."""
+    t = table(spark, sf_dir, "lineitem")
+    own = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy(F.expr(_SEQ))) - 1).cast("long").alias("region_no"))
+    k = F.col("region_no")
+    title = k == 0
+    boxes = own.select("*", F.when(title, 0.0).when(k % 2 == 1, 0.0).otherwise(320.0).alias("x"), F.when(title, 0.0).otherwise(F.lit(5000.0) - 60 * k).alias("y"), F.when(title, 600.0).otherwise(280.0).alias("width"), F.lit(30.0).alias("height"))
+    pages_ = own.select("doc_id", "page").distinct().select("*", F.lit(600.0).alias("width_px"), F.lit(1000.0).alias("height_px"))
+    return layout.reading_order(boxes, pages_).select("doc_id", "page", "region_no", "reading_no")

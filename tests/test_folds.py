@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import arrays
 from pagewright.functions import text as X
-from pagewright.operators import catalog, lines, pages, paragraphs, tables
+from pagewright.operators import catalog, layout, lines, pages, paragraphs, tables
 
 
 def test_anchored_lines(spark):
@@ -162,3 +162,38 @@ def test_neighbours_alone_decide_by_geometry(spark):
     assert got == want and "aggregate(" not in fast._jdf.queryExecution().analyzed().toString()
     none = paragraphs.join_pages(pages, "none")
     assert "aggregate(" not in none._jdf.queryExecution().analyzed().toString()
+
+
+def test_reading_order_by_recursive_cuts(spark):
+    """Random boxes, grids and ties on pages of several sizes, against cuts made one after another."""
+    draw = random.Random(21)
+
+    def cuts(boxes, width, height):
+        for low, size, extent in ((1, 3, width), (2, 4, height)):
+            own = sorted(boxes, key=lambda b: (b[low], b[0]))
+            gaps, reach = [0.0], own[0][low] + own[0][size]
+            for b in own[1:]:
+                gaps.append(b[low] - reach)
+                reach = max(reach, b[low] + b[size])
+            if max(gaps) >= max(0.02 * extent, 12.0):
+                at = gaps.index(max(gaps))
+                return cuts(own[:at], width, height) + cuts(own[at:], width, height)
+        return [b[0] for b in sorted(boxes, key=lambda b: (b[2], b[1], b[0]))]
+
+    pages, boxes = [], []
+    for p in range(120):
+        width, height = draw.choice([(600, 800), (2000, 1000)])
+        step = draw.choice([1, 20, 50])
+        own = [(k, float(draw.randrange(0, width, step)), float(draw.randrange(0, height, step)), float(draw.randrange(1, 150, max(1, step // 2))), float(draw.randrange(1, 80))) for k in range(draw.randrange(1, 25))]
+        pages.append((p, 1, float(width), float(height), cuts(own, width, height)))
+        boxes += [(p, 1, *b) for b in own]
+    regions = spark.createDataFrame(boxes, "doc_id int, page int, region_no int, x double, y double, width double, height double")
+    sizes = spark.createDataFrame([p[:4] for p in pages], "doc_id int, page int, width_px double, height_px double")
+    found = layout.reading_order(regions, sizes)
+    got = {}
+    for r in found.select("doc_id", "region_no", "reading_no").collect():
+        got.setdefault(r["doc_id"], []).append((r["reading_no"], r["region_no"]))
+    assert {p: [n for _, n in sorted(v)] for p, v in got.items()} == {p[0]: p[4] for p in pages}
+    assert all(sorted(n for n, _ in v) == list(range(len(v))) for v in got.values())
+    assert found.columns == [*regions.columns, "reading_no"] or set(found.columns) == {*regions.columns, "reading_no"}
+    assert layout.reading_order(regions.limit(0), sizes).collect() == []
