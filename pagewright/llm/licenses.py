@@ -1,6 +1,6 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Templates (license notices and texts, and the base phrases) and documents are cut into words; every rolling word bigram
+Templates (license notices, excerpts of license texts, and the base phrases) and documents are cut into words; every rolling word bigram
 of a text is hashed and joined with the bigrams of the templates. A hit at text position p and template position t votes
 for the diagonal p - t: a template that stands in the text whole puts all its votes on one diagonal. Votes are counted
 by diagonal; neighbouring diagonals, which words put in or left out lead to, are merged into one span. A span is then
@@ -43,7 +43,7 @@ NOTICES = {
     "licensed under the mozilla public license version 2 0": "mpl-2",
     "all rights reserved no part of this publication may be reproduced": "proprietary",
 }
-#: Whole license texts by label, without their title and copyright lines.
+#: Excerpts of license texts by label, without title and copyright lines; some leave the disclaimer out.
 TEXTS = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
