@@ -9,7 +9,7 @@ from ..functions import sql
 from ..operators import exclusion, layout, lines, pages, paragraphs, tables
 from ..streaming import session
 from .inputs import ITEMS, items, table
-from .queries import _IOU, _RECTS, ORACLES, PAGE_TEXT, _box, _detections, query
+from .queries import _IOU, _RECTS, ORACLES, PAGE_TEXT, _box, query
 from .wide import _SEQ, orders_markdown
 
 # ---- Exclusions ----
@@ -160,18 +160,16 @@ def layout_reading_order(spark, sf_dir):
 # ---- Suppressed detections, and wrapped cells folded back ----
 
 
-@query(f"""WITH {ITEMS}, d AS (SELECT doc_id, page, (item_no % 6)::INTEGER AS class_id, CASE item_no % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'seal' WHEN 2 THEN 'table' WHEN 3 THEN 'title' WHEN 4 THEN 'figure' ELSE 'other' END AS class, item_no % 100 / 100.0 AS score, (item_no % 17)::DOUBLE AS ro,
+#: SQL for the query that keeps box by box what greedy suppression leaves, in reading order.
+ORACLES["layout_suppress"] = f"""WITH {ITEMS}, d AS (SELECT doc_id, page, (item_no % 6)::INTEGER AS class_id, CASE item_no % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'seal' WHEN 2 THEN 'table' WHEN 3 THEN 'title' WHEN 4 THEN 'figure' ELSE 'other' END AS class, item_no % 100 / 100.0 AS score, (item_no % 17)::DOUBLE AS ro,
  least(x, 800) AS x, least(y, 800) AS y, least(x + width * 2, 800) - least(x, 800) AS w, least(y + 40, 800) - least(y, 800) AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY item_no, x, y) - 1 AS n FROM items),
 l AS (SELECT doc_id, page, array_agg({{'n': n, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score, 'ro': ro, 'class_id': class_id, 'class': class}} ORDER BY score DESC, n) AS s FROM d WHERE score >= 0.3 AND w > 0 AND h > 0 GROUP BY 1, 2),
 k AS (SELECT doc_id, page, list_reduce(s, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_IOU})) > 0 THEN acc ELSE list_append(acc, x) END, list_slice(s, 1, 0)) AS kept FROM l),
 u AS (SELECT doc_id, page, unnest(kept) AS r, generate_subscripts(kept, 1) AS i FROM k)
-SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY r.ro, i) - 1)::INTEGER AS region_no, r.n::INTEGER AS row_no, r.class_id, r.score::DOUBLE AS score, r.x, r.y, r.w AS width, r.h AS height, r.ro AS reading_order, r.class FROM u""")
-def layout_suppressed(spark, sf_dir):
-    """What greedy suppression keeps, box by box, in reading order."""
-    return layout.suppress(layout.decode_detections(_detections(spark, sf_dir)))
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY r.ro, i) - 1)::INTEGER AS region_no, r.n::INTEGER AS row_no, r.class_id, r.score::DOUBLE AS score, r.x, r.y, r.w AS width, r.h AS height, r.ro AS reading_order, r.class FROM u"""
 
-
-@query(f"""WITH RECURSIVE {ITEMS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no) AS k FROM items),
+#: Lines cut at the drawn columns, and folded row by row: a row goes on or begins a record.
+_FOLDED = f"""WITH RECURSIVE {ITEMS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no) AS k FROM items),
 f AS (SELECT o.*, y AS anchor, 1 AS line_no FROM o WHERE k = 1
 UNION ALL SELECT o.*, CASE WHEN abs(o.y - f.anchor) >= greatest(0.4 * o.font_size, 3) THEN o.y ELSE f.anchor END, f.line_no + (abs(o.y - f.anchor) >= greatest(0.4 * o.font_size, 3))::INTEGER FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1),
 c AS (SELECT doc_id, page, line_no, k, unnest(range(0, length(text))) AS j, text, x, width FROM f),
@@ -182,8 +180,12 @@ r AS (SELECT m.doc_id, m.page, m.y, m.font, [a, b, z] AS cells, CASE WHEN a <> '
 w AS (SELECT doc_id, page, i, 0 AS rec, y, font, cells, col, false AS goes FROM r WHERE i = 1
 UNION ALL SELECT s.doc_id, s.page, s.i, s.rec + (NOT s.on_)::INTEGER, s.y, CASE WHEN s.on_ THEN s.last_font ELSE s.font END, CASE WHEN s.on_ THEN list_transform([1, 2, 3], lambda n: CASE WHEN s.cells[n] = '' THEN s.before[n] WHEN s.before[n] = '' THEN s.cells[n] ELSE s.before[n] || ' ' || s.cells[n] END) ELSE s.cells END, s.col, s.on_
  FROM (SELECT r.*, w.rec, w.font AS last_font, w.cells AS before, NOT (w.y - r.y > w.font * 2.5) AND r.col > 0 AND ((w.col < r.col AND w.cells[r.col + 1] <> '') OR (w.col = r.col AND w.goes)) AS on_ FROM w JOIN r ON r.doc_id = w.doc_id AND r.page = w.page AND r.i = w.i + 1) s),
-e AS (SELECT doc_id, page, rec, arg_max(cells, i) AS cells FROM w GROUP BY ALL)
-SELECT doc_id, page, rec AS row_no, k.col AS col_no, cells[k.col + 1] AS value FROM e CROSS JOIN (VALUES (0), (1), (2)) k(col)""")
+e AS (SELECT doc_id, page, rec, arg_max(cells, i) AS cells FROM w GROUP BY ALL)"""
+
+ORACLES["tables_vertical"] = f"""{_FOLDED} SELECT doc_id, page, any_value(cells) FILTER (rec = 0) AS columns, coalesce(list(cells ORDER BY rec) FILTER (rec > 0), []) AS "rows" FROM e GROUP BY doc_id, page"""
+
+
+@query(f"""{_FOLDED} SELECT doc_id, page, rec AS row_no, k.col AS col_no, cells[k.col + 1] AS value FROM e CROSS JOIN (VALUES (0), (1), (2)) k(col)""")
 def tables_vertical_cells(spark, sf_dir):
     """Drawn columns, cell by cell, with wrapped cells folded back into the record above."""
     i = items(spark, sf_dir)
