@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..runtime import importable
+
 
 def upsert_vendors(existing: DataFrame, imported: DataFrame) -> DataFrame:
     """(id, ord, name, base_url, models): imported fields win, blanks keep the stored ones; new ones follow in order."""
@@ -62,6 +64,40 @@ def unique_names(names: Column, ext: str = ".md") -> Column:
     return F.transform(F.aggregate(names, F.array().cast("array<string>"), step), lambda x: F.concat(x, F.lit(ext)))
 
 
+def _greedy(rows):
+    """One family of names in order: each takes the first number whose name no earlier row took."""
+    used, last, numbers = set(), {}, []
+    for low in rows.sort_values("_at")["_low"]:
+        n = last.get(low, 0) + 1
+        while (own := low if n == 1 else f"{low} ({n})") in used:
+            n += 1
+        used.add(own)
+        last[low] = n
+        numbers.append(n)
+    return rows.sort_values("_at").assign(_n=numbers)
+
+
+def unique_rows(rows: DataFrame, name: str, order: list[str], keys=("id",), ext: str = ".md") -> DataFrame:
+    """Rows with ``unique``: what ``unique_names`` makes of each key's names in the given order, of any number of rows.
+
+    Names can only meet those of their family: the same name, in any case, but for numbers in brackets at its end. A family
+    of one name is numbered by a window; one that has names with and without such numbers (``a`` and ``a (2)``) is settled
+    in order, and fits a task. A null name counts as an empty one.
+    """
+    importable(rows.sparkSession)
+    low = F.lower(F.coalesce(name, F.lit("")))
+    own = rows.withColumns({"_low": low, "_family": F.regexp_replace(low, r"(?: \([0-9]+\))+$", "")})
+    family = W.Window.partitionBy(*keys, "_family")
+    own = own.withColumn("_at", F.row_number().over(family.orderBy(*order)))
+    own = own.withColumn("_mixed", F.min("_low").over(family) != F.max("_low").over(family))
+    plain = own.filter("NOT _mixed").withColumn("_n", F.col("_at"))
+    mixed = own.filter("_mixed").withColumn("_n", F.lit(0))
+    mixed = mixed.groupBy(*keys, "_family").applyInPandas(_greedy, mixed.schema)
+    number = F.when(F.col("_n") == 1, "").otherwise(F.concat(F.lit(" ("), "_n", F.lit(")")))
+    found = plain.unionByName(mixed).withColumn("unique", F.concat(F.coalesce(name, F.lit("")), number, F.lit(ext)))
+    return found.drop("_low", "_family", "_at", "_mixed", "_n")
+
+
 def exportable(jobs: DataFrame, tables_only: bool) -> DataFrame:
     done = F.col("status") == "done"
     return jobs.filter(done & (F.col("table_count") > 0) if tables_only else done)
