@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.arrays import runs, scan
 from . import exclusion
-from .lines import image_table_lines, table_lines
+from .lines import anchored_numbers, image_table_lines, table_lines
 
 PAGE = ("doc_id", "page")
 #: Fixed value: what stands between a document and the tables drawn on it.
@@ -34,15 +34,22 @@ def cut_line(items: Column, bounds: Column, strict_reference: bool = False) -> C
 
     With ``strict_reference`` a character on a bound, within 1e-6, falls into both columns; otherwise to the right one.
     """
-    chars = F.flatten(F.transform(items, lambda e: F.transform(F.filter(F.split(e["text"], ""), lambda c: c != ""), lambda c, k: F.struct(c.alias("c"), (e["x"] + (k + 0.5) * e["width"] / F.length(e["text"])).alias("at")))))
     slack = 1e-6
+    at = lambda e, k: e["x"] + (k + 0.5) * e["width"] / F.length(e["text"])
 
     def cell(k: Column) -> Column:
         left, right = F.get(bounds, k), F.get(bounds, k + 1)
         last = k == F.size(bounds) - 2
-        low = left - slack
         high = right + slack if strict_reference else F.when(last, right + slack).otherwise(right - slack)
-        return X.utrim(F.array_join(F.transform(F.filter(chars, lambda c: (c["at"] >= low) & (c["at"] < high)), lambda c: c["c"]), ""))
+        return X.let(F.struct((left - slack).alias("low"), high.alias("high")), lambda b: X.utrim(F.array_join(F.transform(items, lambda e: part(e, b)), "")))
+
+    def part(e: Column, b: Column) -> Column:
+        # Characters lie from left to right: those of most items are all in the cell or all out of it.
+        first, final = at(e, F.lit(0)), at(e, F.length(e["text"]) - 1)
+        chars = F.filter(F.split(e["text"], ""), lambda c: c != "")
+        one = F.array_join(F.filter(chars, lambda c, i: (at(e, i) >= b["low"]) & (at(e, i) < b["high"])), "")
+        ahead = (F.length(e["text"]) > 0) & (e["width"] >= 0)
+        return F.when(ahead & (first >= b["low"]) & (final < b["high"]), e["text"]).when(ahead & ((final < b["low"]) | (first >= b["high"])), "").otherwise(one)
 
     return F.when(F.size(bounds) > 1, F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), cell))
 
@@ -63,17 +70,22 @@ def fold_continuations(rows: Column) -> Column:
     kind = "struct<y:double,font_size:double,cells:array<string>,col:int,on:boolean>"
 
     def step(last: Column, r: Column) -> Column:
-        col = first_column(r["cells"])
+        col = r["col"]
         wide = last["y"] - r["y"] > last["font_size"] * ROW_GAP
         right = (last["col"] < col) & ~X.blank(F.get(last["cells"], col))
-        goes_on = F.coalesce(last.isNotNull() & ~wide & (col > 0) & (right | ((last["col"] == col) & last["on"])), F.lit(False))
+        on = F.coalesce(last.isNotNull() & ~wide & (col > 0) & (right | ((last["col"] == col) & last["on"])), F.lit(False))
         cells = F.transform(last["cells"], lambda c, i: F.when(X.blank(F.coalesce(F.get(r["cells"], i), F.lit(""))), c).otherwise(X.join_fragments(F.array(c, F.get(r["cells"], i)))))
         record = lambda size, own, on: F.struct(r["y"].alias("y"), size.alias("font_size"), own.alias("cells"), col.alias("col"), F.lit(on).alias("on"))
-        state = F.when(col.isNull(), last).when(goes_on, record(last["font_size"], cells, True)).otherwise(record(r["font_size"], r["cells"], False))
-        return F.struct(state.alias("state"), F.when(col.isNotNull() & ~goes_on & last.isNotNull(), last["cells"]).alias("value"))
+
+        def move(goes_on: Column) -> Column:
+            state = F.when(col.isNull(), last).when(goes_on, record(last["font_size"], cells, True)).otherwise(record(r["font_size"], r["cells"], False))
+            return F.struct(state.alias("state"), F.when(col.isNotNull() & ~goes_on & last.isNotNull(), last["cells"]).alias("value"))
+
+        return X.let(on, move)
 
     ended = lambda last: F.when(last.isNotNull(), F.array(last["cells"])).otherwise(F.array().cast("array<array<string>>"))
-    return scan(rows, F.lit(None).cast(kind), step, "array<string>", ended)
+    placed = F.transform(rows, lambda r: F.struct(r["y"].alias("y"), r["font_size"].alias("font_size"), r["cells"].alias("cells"), first_column(r["cells"]).alias("col")))
+    return scan(placed, F.lit(None).cast(kind), step, "array<string>", ended)
 
 
 def guided_records(rows: Column, merge_cols: Column) -> Column:
@@ -90,8 +102,8 @@ def guided_records(rows: Column, merge_cols: Column) -> Column:
 
     def merge(group: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(F.get(group, F.lit(0))["cells"]) - 1)
-        own = lambda c: F.filter(F.transform(group, lambda r: X.utrim(F.coalesce(F.get(r["cells"], c), F.lit("")))), lambda x: x != "")
-        return F.transform(at, lambda c: F.when(F.array_contains(merge_cols, c), X.join_fragments(own(c))).otherwise(F.coalesce(F.get(own(c), F.lit(0)), F.lit(""))))
+        filled = lambda c: F.filter(F.transform(group, lambda r: X.utrim(F.coalesce(F.get(r["cells"], c), F.lit("")))), lambda x: x != "")
+        return F.transform(at, lambda c: X.let(filled(c), lambda own: F.when(F.array_contains(merge_cols, c), X.join_fragments(own)).otherwise(F.coalesce(F.get(own, F.lit(0)), F.lit("")))))
 
     return F.when(F.size(merge_cols) == 0, F.transform(rows, lambda r: r["cells"])).otherwise(F.transform(groups, merge))
 
@@ -104,8 +116,24 @@ def _lines_of(lines: DataFrame, keys, more: list[str], y: Column, size: Column)
     )
 
 
+def _page_lines(elements: DataFrame, keys, *carried: str) -> DataFrame:
+    """(keys, lines, carried): one row a page, its lines as an array of (y, font_size, items) from the top.
+
+    The same lines as ``table_lines`` gives; they stay in their page's row, so that items are grouped once.
+    """
+    item = F.struct((-F.col("y")).alias("o"), F.col("x").alias("x"), F.col("item_no").alias("no"), F.col("y").alias("at"), F.col("font_size").cast("double").alias("size"), F.col("text").alias("text"), F.col("width").alias("width"))
+    pages = elements.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s"), *[F.any_value(c).alias(c) for c in carried])
+    pages = pages.withColumn("_n", anchored_numbers(F.transform("_s", lambda x: F.struct(x["at"].cast("double").alias("at"), x["size"].alias("size"))), "table"))
+    found = runs(F.col("_s"), lambda i: F.get("_n", i) != F.get("_n", i - 1))
+    line = lambda own: F.struct(F.array_max(F.transform(own, lambda x: x["at"])).alias("y"), F.array_max(F.transform(own, lambda x: x["size"])).alias("font_size"), F.transform(own, lambda x: F.struct(x["text"].alias("text"), x["x"].alias("x"), x["width"].alias("width"))).alias("items"))
+    return pages.select(*keys, F.transform(found, line).alias("lines"), *carried)
+
+
 def _as_table(rows: DataFrame, keys, grid: Column) -> DataFrame:
-    return rows.select(*keys, F.coalesce(F.get(grid, F.lit(0)), F.array().cast("array<string>")).alias("columns"), F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))).alias("rows")).filter(F.size("columns") > 0)
+    of = lambda own: F.struct(F.coalesce(F.get(own, F.lit(0)), F.array().cast("array<string>")).alias("columns"), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))).alias("rows"))
+    # A fold's result is taken apart by a row of its own, so that no fold is worked out twice.
+    found = rows.select(*keys, F.explode(F.transform(F.array(grid), of)).alias("_t"))
+    return found.select(*keys, "_t.columns", "_t.rows").filter(F.size("columns") > 0)
 
 
 def vertical_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", keys=PAGE) -> DataFrame:
@@ -113,11 +141,10 @@ def vertical_tables(elements: DataFrame, draw: DataFrame, mode: str = "smart", k
 
     ``draw``: keys, v_lines, page_width, merge_cols.
     """
-    lines = _lines_of(table_lines(elements, keys), keys, [], F.col("y"), F.col("font_size"))
-    rows = lines.join(draw.select(*keys, column_bounds(F.col("v_lines"), F.col("page_width")).alias("bounds"), "merge_cols"), list(keys))
-    rows = rows.withColumn("cells", cut_line(F.col("items"), F.col("bounds")))
-    pages = rows.groupBy(*keys).agg(F.any_value("merge_cols").alias("merge_cols"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "y", "font_size", "cells"))), lambda r: F.struct(r["y"].alias("y"), r["font_size"].alias("font_size"), r["cells"].alias("cells"))).alias("r"))
-    return _as_table(pages, keys, guided_records(F.col("r"), F.coalesce("merge_cols", F.array().cast("array<int>"))) if mode == "guided" else fold_continuations(F.col("r")))
+    plan = draw.select(*keys, column_bounds(F.col("v_lines"), F.col("page_width")).alias("bounds"), F.coalesce("merge_cols", F.array().cast("array<int>")).alias("merge_cols"))
+    pages = _page_lines(elements, keys).join(plan, list(keys))
+    cut = F.transform("lines", lambda r: F.struct(r["y"].alias("y"), r["font_size"].alias("font_size"), cut_line(r["items"], F.col("bounds")).alias("cells")))
+    return _as_table(pages, keys, X.let(cut, lambda rows: guided_records(rows, F.col("merge_cols")) if mode == "guided" else fold_continuations(rows)))
 
 
 def grid_tables(elements: DataFrame, draw: DataFrame, keys=PAGE) -> DataFrame:
@@ -127,12 +154,10 @@ def grid_tables(elements: DataFrame, draw: DataFrame, keys=PAGE) -> DataFrame:
     keys, v_lines, h_lines, page_width, page_height.
     """
     plan = draw.select(*keys, column_bounds(F.col("v_lines"), F.col("page_width")).alias("bounds"), F.reverse(row_bounds(F.col("h_lines"), F.col("page_height"))).alias("bands"))
-    own = elements.join(plan.select(*keys, "bands"), list(keys))
+    own = elements.join(plan, list(keys))
     band = G.band_of(F.col("bands"), F.col("y") + F.col("font_size") / 2)
     own = own.withColumn("band", F.size("bands") - 2 - band).filter("band IS NOT NULL").drop("bands")
-    lines = _lines_of(table_lines(own, (*keys, "band")), (*keys, "band"), [], F.col("y"), F.col("font_size"))
-    rows = lines.join(plan, list(keys)).withColumn("cells", cut_line(F.col("items"), F.col("bounds")))
-    bands = rows.groupBy(*keys, "band").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("g"))
+    bands = _page_lines(own, (*keys, "band"), "bounds").withColumn("g", F.transform("lines", lambda r: cut_line(r["items"], F.col("bounds"))))
     merged = bands.withColumn("cells", F.transform(F.get("g", F.lit(0)), lambda _, c: X.join_fragments(F.transform("g", lambda line: F.get(line, c)))))
     by_band = merged.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("m"))
     pages = plan.join(by_band, list(keys))
