@@ -109,45 +109,72 @@ def assemble(blocks: DataFrame, regions: DataFrame, pages: DataFrame, separator:
 
 #: Gaps that a cut needs: a share of the page's side, and pixels at least.
 GAP_SHARE, GAP_LEAST = 0.02, 12.0
+#: Boxes of a partition on average, so that a task's sorts stay small however many pages there are.
+BOXES_AT_ONCE = 300_000
 
 
 def _cut_level(rows: DataFrame, keys) -> DataFrame:
-    """Each node's boxes with ``cut`` (whether the node has a gap that is wide enough) and ``side`` (0 before it, 1 from it on).
+    """Each node's boxes with ``_cut`` (whether the node is cut) and ``_piece`` (the number of the piece a box falls to).
 
     Along an axis boxes stand by their low edge, and a gap lies between a box and the furthest reach of those before it.
-    The first of the widest gaps counts, columns before rows.
+    Columns are cut before rows, at the first of the widest gaps. Where all boxes are sound (finite, of no negative size)
+    two shortcuts give the same order: a cut between columns leaves the other gaps as they are, so all wide ones are cut at
+    once; and a node whose boxes all lie so close over each other that none of its parts can have columns is only cut
+    into rows, which is its order by y.
     """
-    node = W.Window.partitionBy(*keys, "path")
-    for a, low, size, extent in (("_x", "x", "width", "width_px"), ("_y", "y", "height", "height_px")):
+    node = W.Window.partitionBy("_at", *keys, "_path")
+    # Doubles as they are: windows by one column share its sort, those by one expression don't.
+    box = {c: F.col(c) if kind == "double" else F.col(c).cast("double") for c, kind in rows.select("x", "y", "width", "height").dtypes}
+    fine = (F.least("width", "height") >= 0) & (F.greatest(*map(F.abs, box.values())) < float("inf"))
+    known = F.lit(True)
+    for c in box.values():
+        known = known & c.isNotNull()
+    rows = rows.withColumn("_sound", F.coalesce(known & fine, F.lit(False)))
+    for a, low, size, extent in (("_x", box["x"], box["width"], "_wide"), ("_y", box["y"], box["height"], "_tall")):
         order = node.orderBy(low, "region_no")
-        reach = F.max(F.col(low) + F.col(size)).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
-        rows = rows.withColumns({f"{a}at": F.row_number().over(order), f"{a}gap": F.coalesce(F.col(low) - reach, F.lit(0.0))})
-        rows = rows.withColumn(f"{a}widest", F.max(f"{a}gap").over(node))
+        least = F.greatest(F.col(extent) * GAP_SHARE, F.lit(GAP_LEAST))
+        reach = F.max(low + size).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
+        rows = rows.withColumns({f"{a}at": F.row_number().over(order), f"{a}gap": F.coalesce(low - reach, F.lit(0.0))})
+        whole = {"_plain": F.bool_and("_sound").over(node), "_room": F.max(low).over(node) - F.min(low + size).over(node)} if a == "_x" else {}
+        rows = rows.withColumns({f"{a}widest": F.max(f"{a}gap").over(node), **whole})
         rows = rows.withColumn(f"{a}first", F.min(F.when(F.col(f"{a}gap") == F.col(f"{a}widest"), F.col(f"{a}at"))).over(node))
-        rows = rows.withColumn(f"{a}cut", F.col(f"{a}widest") >= F.greatest(F.col(extent) * GAP_SHARE, F.lit(GAP_LEAST)))
-    side = F.when(F.col("_xcut"), F.col("_xat") >= F.col("_xfirst")).otherwise(F.col("_yat") >= F.col("_yfirst")).cast("int")
-    return rows.withColumns({"cut": F.col("_xcut") | F.col("_ycut"), "side": side}).drop(*[f"{a}{n}" for a in ("_x", "_y") for n in ("at", "gap", "widest", "first", "cut")])
+        rows = rows.withColumn(f"{a}cut", F.col(f"{a}widest") >= least)
+        if a == "_x":
+            begins = F.when(F.col("_plain"), F.col("_xgap") >= least).otherwise(F.col("_xat") == F.col("_xfirst"))
+            rows = rows.withColumns({"_column": F.sum(begins.cast("int")).over(order.rowsBetween(W.Window.unboundedPreceding, 0)), "_rows_only": F.col("_plain") & (F.col("_room") < least)})
+    piece = F.when(F.col("_xcut"), F.col("_column")).otherwise((F.col("_yat") >= F.col("_yfirst")).cast("int"))
+    rows = rows.withColumns({"_cut": (F.col("_xcut") | F.col("_ycut")) & ~F.col("_rows_only"), "_piece": piece})
+    return rows.drop("_sound", "_plain", "_room", "_rows_only", "_column", *[f"{a}{n}" for a in ("_x", "_y") for n in ("at", "gap", "widest", "first", "cut")])
 
 
 def reading_order(regions: DataFrame, pages: DataFrame, keys=PAGE) -> DataFrame:
     """Regions with ``reading_no`` (from 0) by recursive XY cuts; for detectors without an order of their own.
 
-    The cuts of all pages are made level by level: a round finds the widest gaps of all open nodes by windows over (page,
-    node), and splits them, until none splits; a node is named by its path of sides, so paths put nodes in reading order.
-    Boxes of a node that isn't cut stand by y, then x. A round is cut off from the one before by a checkpoint; there are
-    as many as the deepest page has levels.
+    The cuts of all pages are made level by level: a round finds the gaps of all open nodes by windows over (page, node),
+    and splits them, until none splits; a node is named by its path of pieces, so paths put nodes in reading order. Boxes of
+    a node that isn't cut stand by y, then x. A round is cut off from the one before by a checkpoint; there are as many as
+    the deepest page has levels. Each deals pages out to a number of partitions that goes with the number of boxes; by a
+    hash of their own, as a partitioning by keys is lost where one of them is a constant.
     """
-    rows = regions.join(pages, list(keys)).select(*keys, "region_no", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height", "width_px", "height_px")], F.lit("").alias("path"))
+    columns = [*keys, "region_no", *[c for c in regions.columns if c not in (*keys, "region_no")]]
+    parts = regions.count() // BOXES_AT_ONCE + 1
+    # A page's size comes to its boxes as one more row of the page: a join's sorts would hold far more rows at once.
+    sizes = pages.select(*keys, F.col("width_px").cast("double").alias("_wide"), F.col("height_px").cast("double").alias("_tall"), F.lit(True).alias("_page"))
+    rows = regions.unionByName(sizes, allowMissingColumns=True).dropna(subset=list(keys)).withColumns({"_at": F.xxhash64(*keys), "_path": F.lit("")}).repartition(parts, "_at")
+    page = W.Window.partitionBy("_at", *keys, "_path").orderBy("x", "region_no").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
+    rows = rows.withColumns({"_known": F.max("_page").over(page), "_wide": F.max("_wide").over(page), "_tall": F.max("_tall").over(page)}).filter("_known AND _page IS NULL").drop("_known", "_page")
     done = None
     while True:
         level = checkpointed(_cut_level(rows, keys))
-        leaves = level.filter("NOT cut").select(*keys, "region_no", "x", "y", "path")
+        leaves = level.filter("NOT _cut").select(*columns, "_at", "_path")
         done = leaves if done is None else done.unionByName(leaves)
-        if not level.filter("cut").take(1):
+        if not level.filter("_cut").take(1):
             break
-        rows = level.filter("cut").withColumn("path", F.concat("path", F.col("side").cast("string"))).drop("cut", "side")
-    number = F.row_number().over(W.Window.partitionBy(*keys).orderBy("path", "y", "x", "region_no")) - 1
-    return regions.join(done.select(*keys, "region_no", number.alias("reading_no")), [*keys, "region_no"])
+        # A number's digits stand behind their count, so that texts sort as the numbers do.
+        digits = F.hex("_piece")
+        rows = level.filter("_cut").withColumn("_path", F.concat("_path", F.length(digits).cast("string"), digits)).drop("_cut", "_piece").repartition(parts, "_at")
+    number = F.row_number().over(W.Window.partitionBy("_at", *keys).orderBy("_path", F.col("y").cast("double"), F.col("x").cast("double"), "region_no")) - 1
+    return done.repartition(parts, "_at").select(*columns, number.alias("reading_no"))
 
 
 def mean_confidence(blocks: DataFrame, keys=PAGE) -> DataFrame:

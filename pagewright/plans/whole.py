@@ -149,6 +149,7 @@ def layout_reading_order(spark, sf_dir):
     """A page for each order: a title over both columns, below it the items by turns in the left and the right one, from the
     bottom up. Rows are cut first where the title spans the columns, then columns, then rows."""
     t = table(spark, sf_dir, "lineitem")
+    t = t.repartition(t.count() // layout.BOXES_AT_ONCE + 1, "l_orderkey")
     own = t.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy(F.expr(_SEQ))) - 1).cast("long").alias("region_no"))
     k = F.col("region_no")
     title = k == 0
