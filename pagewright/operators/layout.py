@@ -8,8 +8,9 @@ from pyspark.sql import window as W
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.arrays import runs
 from ..runtime import checkpointed
-from .lines import grid_cells, is_table_like, ocr_lines, ordered_text
+from .lines import is_table_like
 from .markdown import render_table
 
 PAGE = ("doc_id", "page")
@@ -59,52 +60,81 @@ def assign_regions(blocks: DataFrame, regions: DataFrame, keys=PAGE) -> DataFram
     return blocks.join(own, list(keys), "left").withColumn("region_no", F.get(hit, F.lit(0))["region_no"]).drop("_r")
 
 
-def _lines(blocks: DataFrame, keys, separator: str) -> DataFrame:
-    rows = ocr_lines(blocks, keys).groupBy(*keys, "line_no").agg(ordered_text(F.col("text"), F.col("left"), F.col("block_no"), sep=separator).alias("t"))
-    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]).alias("lines"))
+def _lines(blocks: Column, height: Column) -> Column:
+    """Recognised lines (``lines.ocr_lines``) of an array of blocks by top, each an array of blocks from left to right."""
+    far = lambda i: F.abs(F.get(blocks, i)["top"] - F.get(blocks, i - 1)["top"]) > F.greatest(height * 0.015, F.lit(8.0))
+    across = lambda b: F.struct(b["left"].alias("left"), b["block_no"].alias("block_no"), b["text"].alias("text"), b["width"].alias("width"))
+    return F.transform(runs(blocks, lambda i: F.coalesce(far(i), F.lit(True))), lambda line: F.sort_array(F.transform(line, across)))
 
 
-def _grid(blocks: DataFrame, keys) -> DataFrame:
-    cells = grid_cells(blocks, keys).groupBy(*keys, "line_no", "cell_no").agg(ordered_text(F.col("text"), F.col("left"), F.col("block_no"), sep=" ").alias("t"))
-    rows = cells.groupBy(*keys, "line_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell_no", "t"))), lambda x: x["t"]).alias("cells"))
-    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("grid"))
+def _joined(blocks: Column, separator: str) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: b["text"]), separator)
+
+
+def _cells(line: Column, width: Column) -> Column:
+    """A line's texts, cut where the gap to the block before is wide (``lines.grid_cells``)."""
+    def wide(i: Column) -> Column:
+        before = F.get(line, i - 1)
+        return F.get(line, i)["left"] - (before["left"] + before["width"]) > F.greatest(width * 0.02, F.lit(12.0))
+
+    return F.transform(runs(line, lambda i: F.coalesce(wide(i), F.lit(True))), lambda cell: _joined(cell, " "))
 
 
 def grid_markdown(grid: Column) -> Column:
     return render_table(F.get(grid, F.lit(0)), F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))), pad=True, escape=True)
 
 
+def _text(lines: Column, separator: str, glue: str) -> Column:
+    return F.array_join(F.transform(lines, lambda line: _joined(line, separator)), glue)
+
+
+def _chunk(region: Column, blocks: Column, height: Column, width: Column, separator: str, drop_header_footer: bool) -> Column:
+    """A region's Markdown from its blocks, by its class."""
+    kind = region["class"]
+    label = F.when(kind == "header", FILTERED["header"]).otherwise(FILTERED["footer"])
+    comment = lambda flat: F.when(X.blank(flat), "").otherwise(F.concat(F.lit("<!-- 已过滤"), label, F.lit(": "), flat, F.lit(" -->")))
+    title = lambda flat: F.when(flat == "", "").otherwise(F.concat(F.repeat(F.lit("#"), G.title_level(region["height"], height)), F.lit(" "), flat))
+    grid = lambda lines: F.transform(lines, lambda line: _cells(line, width))
+
+    def rendered(lines: Column) -> Column:
+        text, flat = _text(lines, separator, "\n"), _text(lines, separator, " ")
+        return (
+            F.when(kind.isin("header", "footer"), X.let(flat, comment) if drop_header_footer else text)
+            .when(kind == "table", X.let(grid(lines), grid_markdown))
+            .when(kind == "title", X.let(flat, title))
+            .when(F.size(lines) < 2, text)
+            .otherwise(X.let(grid(lines), lambda g: F.when(is_table_like(g), grid_markdown(g)).otherwise(text)))
+        )
+
+    return F.when(kind == "figure", FIGURE).when((kind == "seal") | (F.size(blocks) == 0), "").otherwise(X.let(_lines(blocks, height), rendered))
+
+
 def assemble(blocks: DataFrame, regions: DataFrame, pages: DataFrame, separator: str = " ", drop_header_footer: bool = True, keys=PAGE) -> DataFrame:
     """(keys, markdown): each region rendered by its class in reading order, uncovered blocks after them.
 
     ``pages``: keys, width_px, height_px. Titles get hashes by height; tables, and text that stands in columns, become
     GFM tables; figures a placeholder; seals nothing; headers and footers a comment, or their text.
+
+    A page's blocks and its regions are gathered once, and the page is rendered in its own row.
     """
-    own = assign_regions(blocks.filter(~X.blank(F.col("text"))).join(pages, list(keys)), regions, keys)
-    by_region = (*keys, "region_no")
-    inside = own.filter("region_no IS NOT NULL")
-    lines, grid = _lines(inside, by_region, separator), _grid(inside, by_region)
-    rows = regions.join(pages, list(keys)).join(lines, list(by_region), "left").join(grid, list(by_region), "left")
-    none = F.array().cast("array<string>")
-    text = F.array_join(F.coalesce("lines", none), "\n")
-    flat = F.array_join(F.coalesce("lines", none), " ")
-    label = F.when(F.col("class") == "header", FILTERED["header"]).otherwise(FILTERED["footer"])
-    comment = F.when(X.blank(flat), "").otherwise(F.concat(F.lit("<!-- 已过滤"), label, F.lit(": "), flat, F.lit(" -->")))
-    table = F.coalesce(grid_markdown(F.col("grid")), F.lit(""))
-    title = F.when(flat == "", "").otherwise(F.concat(F.repeat(F.lit("#"), G.title_level(F.col("height"), F.col("height_px"))), F.lit(" "), flat))
-    chunk = (
-        F.when(F.col("class").isin("header", "footer"), comment if drop_header_footer else text)
-        .when(F.col("class") == "seal", "")
-        .when(F.col("class") == "figure", FIGURE)
-        .when(F.col("class") == "table", table)
-        .when(F.col("class") == "title", title)
-        .otherwise(F.when(is_table_like(F.coalesce("grid", F.array().cast("array<array<string>>"))), table).otherwise(text))
-    )
-    chunks = rows.select(*keys, F.col("region_no").alias("o"), chunk.alias("c"))
-    rest = _lines(own.filter("region_no IS NULL"), keys, separator).select(*keys, F.lit((1 << 31) - 1).alias("o"), F.array_join("lines", "\n").alias("c"))
-    both = chunks.unionByName(rest).filter(~X.blank(F.col("c")))
-    found = both.groupBy(*keys).agg(ordered_text(F.col("c"), F.col("o"), sep="\n\n").alias("markdown"))
-    return pages.select(*keys).join(found, list(keys), "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
+    across = (F.col("left") + F.col("width") / 2).alias("cx")
+    down = (F.col("top") + F.col("height") / 2).alias("cy")
+    own = blocks.filter(~X.blank(F.col("text"))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("top", "block_no", "left", "width", "text", across, down))).alias("_b"))
+    areas = regions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((F.col("width") * F.col("height")).alias("area"), "region_no", "x", "y", "width", "height", "class"))).alias("_r"))
+    rows = pages.select(*keys, F.col("width_px").alias("_wide"), F.col("height_px").alias("_tall")).join(own, list(keys), "left").join(areas, list(keys), "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("_b", "_r")})
+    height, width = F.col("_tall"), F.col("_wide")
+    placed = F.transform("_b", lambda b: F.struct(F.get(F.filter("_r", lambda r: G.contains(r, b["cx"], b["cy"])), F.lit(0))["region_no"].alias("region_no"), b.alias("b")))
+    part = lambda all_, test: F.transform(F.filter(all_, lambda p: test(p["region_no"])), lambda p: p["b"])
+
+    def chunks(all_: Column) -> Column:
+        inside = F.transform("_r", lambda r: F.struct(r["region_no"].cast("long").alias("o"), X.let(part(all_, lambda n: n == r["region_no"]), lambda own: _chunk(r, own, height, width, separator, drop_header_footer)).alias("c")))
+        rest = X.let(part(all_, lambda n: n.isNull()), lambda own: F.when(F.size(own) > 0, X.let(_lines(own, height), lambda lines: _text(lines, separator, "\n"))))
+        return F.concat(inside, F.array(F.struct(F.lit((1 << 31) - 1).cast("long").alias("o"), rest.alias("c"))))
+
+    found = X.let(placed, chunks)
+    kept = F.sort_array(F.filter(found, lambda c: ~X.blank(c["c"])))
+    return rows.select(*keys, F.coalesce(F.array_join(F.transform(kept, lambda c: c["c"]), "\n\n"), F.lit("")).alias("markdown"))
 
 
 #: Gaps that a cut needs: a share of the page's side, and pixels at least.
